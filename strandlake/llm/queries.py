@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import bpe, exact_dedup, media, mixing, token_counts, url_filter, warc
+from strandlake.llm import bpe, exact_dedup, media, mixing, quality, token_counts, url_filter, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,6 +29,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -46,7 +50,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_byte_bpe, op5_warc, op7_token_counts, op8_media, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_warc, op7_token_counts, op8_media, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
