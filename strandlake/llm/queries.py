@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import bpe, exact_dedup, media, mixing, quality, token_counts, url_filter, warc
+from strandlake.llm import bpe, exact_dedup, media, mixing, quality, substring, token_counts, url_filter, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,6 +37,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeats(_documents(spark, sf_dir)).drop("spans")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), PIECES)
 
@@ -50,8 +54,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_warc, op7_token_counts, op8_media, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_warc, op6_substring_dedup, op7_token_counts, op8_media, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op6_substring_dedup": substring.ORACLE, "op10_url_filter": url_filter.ORACLE}
