@@ -39,26 +39,28 @@ def salt(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
-def group_lookup(df: DataFrame, key: list[str], salted_by: Column, aggregates: dict[str, tuple[Column, str]], salts: int = 64) -> DataFrame:
-    """df with a column for each aggregate over the rows of its key, however many rows one key has.
+def _same(left: str, right: str, on: list[str]) -> Column:
+    out = F.lit(True)
+    for c in on:
+        out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return out
+
+
+def salted_join(df: DataFrame, table: DataFrame, key: list[str], salted_by: Column, salts: int = 64) -> DataFrame:
+    """df with the columns of table, which has one row a key, however many rows of df have one key. Null keys are equal.
 
-    aggregates: name -> (column, one of min, max, sum). Rows of a key are dealt over ``salts`` parts, aggregated in
-    each part, then over the parts; what comes back to a part is one row for each of its keys. Null keys form groups.
+    Rows of df are dealt over ``salts`` parts; table goes to the parts that hold a key, one row for each of them.
     """
-    part, names = "_part", list(aggregates)
+    part, more = "_part", [c for c in table.columns if c not in key]
     df = df.withColumn(part, salt(salted_by, salts))
-    fold = {k: getattr(F, how) for k, (_, how) in aggregates.items()}
-    parts = df.groupBy(*key, part).agg(*[fold[k](c).alias(k) for k, (c, _) in aggregates.items()])
-    whole = parts.groupBy(*key).agg(*[fold[k](k).alias(k) for k in names])
-
-    def same(left: str, right: str, on: list[str]) -> Column:
-        out = F.lit(True)
-        for c in on:
-            out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-        return out
-
-    back = parts.select(*key, part).alias("p").join(whole.alias("w"), same("p", "w", key)).select("p.*", *[f"w.{k}" for k in names])
-    return df.alias("d").join(back.alias("b"), same("d", "b", [*key, part])).select(*[f"d.{c}" for c in df.columns if c != part], *[f"b.{k}" for k in names])
+    back = df.select(*key, part).distinct().alias("p").join(table.alias("t"), _same("p", "t", key)).select("p.*", *[f"t.{c}" for c in more])
+    return df.alias("d").join(back.alias("b"), _same("d", "b", [*key, part])).select(*[f"d.{c}" for c in df.columns if c != part], *[f"b.{c}" for c in more])
+
+
+def group_lookup(df: DataFrame, key: list[str], salted_by: Column, aggregates: dict[str, tuple[Column, str]], salts: int = 64) -> DataFrame:
+    """df with a column for each aggregate over the rows of its key. aggregates: name -> (column, one of min, max, sum)."""
+    table = df.groupBy(*key).agg(*[getattr(F, how)(c).alias(k) for k, (c, how) in aggregates.items()])
+    return salted_join(df, table, key, salted_by, salts)
 
 
 def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import bpe, exact_dedup, media, mixing, quality, substring, token_counts, url_filter, warc
+from strandlake.llm import bpe, exact_dedup, jaccard, media, mixing, quality, substring, token_counts, url_filter, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -49,13 +49,17 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_documents(spark, sf_dir))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(_documents(spark, sf_dir))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_warc, op6_substring_dedup, op7_token_counts, op8_media, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_warc, op6_substring_dedup, op7_token_counts, op8_media, op9_jaccard_join, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op6_substring_dedup": substring.ORACLE, "op10_url_filter": url_filter.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_jaccard_join": jaccard.ORACLE, "op10_url_filter": url_filter.ORACLE}
