@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 PRIOR, UPPER, LOWER = 8.0, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-MODEL_ROWS, _WHOLE = 100_000, Window.partitionBy()
+MODEL_ROWS = 100_000
 
 
 def _judged(pages: DataFrame, rules) -> DataFrame:
@@ -59,7 +59,8 @@ def _model(grams: DataFrame) -> DataFrame:
     parts = three.select("*", before2.alias("_xy"), before1.alias("_y"), last.alias("_z"))
     for names, cols, n in ((["_xy"], [before2], "xy"), (["_y", "_z"], [before1, last], "yz"), (["_y"], [before1], "y"), (["_z"], [last], "z")):
         parts = parts.join(F.broadcast(summed(cols, names, n)), names)
-    parts = parts.withColumn("_all_a", F.sum("a3").over(_WHOLE)).withColumn("_all_b", F.sum("b3").over(_WHOLE))
+    whole = Window.partitionBy()
+    parts = parts.withColumn("_all_a", F.sum("a3").over(whole)).withColumn("_all_b", F.sum("b3").over(whole))
 
     def log_of(k: str) -> Column:
         low = (F.col(f"{k}z") + 1.0) / (F.col(f"_all_{k}") + 45.0)
