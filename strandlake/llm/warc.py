@@ -29,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from strandlake.llm.archives import ByteRange, Written, commit, discard, file_system, part_name, ranges
 from strandlake.llm.common import group_lookup, new_folder
 
-SUFFIX, MAGIC, HEAD = ".warc.gz", b"\x1f\x8b\x08", 1 << 16
+SUFFIX, MAGIC, HEAD, PIECE = ".warc.gz", b"\x1f\x8b\x08", 1 << 16, 1 << 14
 FILE_BYTES, SPLIT_BYTES, BATCH_BYTES, LEVEL = 1 << 30, 64 << 20, 8 << 20, 3
 SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, payload_digest string, http_length long, payload binary, file string, offset long"
 
@@ -51,14 +51,9 @@ def member(record_type: str, record_id: str, target_uri: str, payload: bytes, re
     return press.compress("\r\n".join(head).encode()) + press.compress(block + b"\r\n\r\n") + press.flush()
 
 
-def starts_record(data: bytes) -> bool:
-    """Whether data begins with a gzip member that decodes to a whole WARC header."""
-    try:
-        head = zlib.decompressobj(31).decompress(data[:HEAD], HEAD)
-    except zlib.error:
-        return False
-    end = head.find(b"\r\n\r\n")
-    return head.startswith(b"WARC/1.") and end > 0 and b"\r\ncontent-length:" in head[: end + 2].lower()
+def _whole_head(data: bytes) -> bool:
+    end = data.find(b"\r\n\r\n")
+    return data.startswith(b"WARC/1.") and end > 0 and b"\r\ncontent-length:" in data[: end + 2].lower()
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -85,39 +80,51 @@ def parse(record: bytes) -> dict:
 
 def records(f, start: int, end: int, size: int, step: int = 4 << 20) -> Iterator[tuple[int, bytes]]:
     """(offset, decoded record) for the records of file f that start in [start, end)."""
-    at, base, buf = start, start, b""
-
-    def fill(upto: int) -> None:
-        nonlocal buf
-        while base + len(buf) < min(upto, size):
-            f.seek(base + len(buf))
-            more = f.read(min(step, size - base - len(buf)))
-            if not more:
-                raise OSError("the file ends early")
-            buf += more
+    buf, base, at = b"", start, start
+
+    def ahead(place: int, n: int) -> None:
+        """Reads on, and forgets what lies before place, unless n bytes from place on are there (or the file ends)."""
+        nonlocal buf, base
+        if place + n > base + len(buf) < size:
+            buf, base = buf[place - base :], place
+            while len(buf) < min(max(n, step), size - base):
+                f.seek(base + len(buf))
+                more = f.read(min(max(n, step), size - base) - len(buf))
+                if not more:
+                    raise OSError("the file ends early")
+                buf += more
 
     while at < end:
-        buf, base = buf[at - base :], at
-        fill(at + step)
-        hit = buf.find(MAGIC)
+        ahead(at, 3)
+        hit = buf.find(MAGIC, at - base)
         if hit < 0:
-            at = base + max(1, len(buf) - 2)
+            at = max(at + 1, base + len(buf) - 2)
             continue
         at = base + hit
         if at >= end:
             return
-        fill(at + HEAD)
-        if not starts_record(buf[hit : hit + HEAD]):
+        gunzip, out, used, valid = zlib.decompressobj(31), [], at, False
+        try:
+            while not gunzip.eof:
+                if used >= size:
+                    raise OSError("a gzip member is cut off")
+                ahead(used, PIECE)
+                piece = buf[used - base : used - base + PIECE]
+                out.append(gunzip.decompress(piece))
+                used += len(piece) - len(gunzip.unused_data)
+                if not valid and sum(map(len, out)):
+                    valid = _whole_head(out[0] if len(out) == 1 else b"".join(out))
+                    if not valid and (gunzip.eof or used - at >= HEAD):
+                        break
+        except (zlib.error, OSError):
+            if valid:
+                raise
+        if not valid:
             at += 1
+            ahead(at, 0)
+            if at < base:  # reading on for the candidate has passed it by
+                buf, base = b"", at
             continue
-        whole, out, used = zlib.decompressobj(31), [], at
-        while not whole.eof:
-            fill(used + 1)
-            if used >= size:
-                raise OSError("a gzip member is cut off")
-            chunk = buf[used - base :]
-            out.append(whole.decompress(chunk))
-            used += len(chunk) - len(whole.unused_data)
         yield at, b"".join(out)
         at = used
 
