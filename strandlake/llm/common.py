@@ -63,23 +63,28 @@ def group_lookup(df: DataFrame, key: list[str], salted_by: Column, aggregates: d
     return salted_join(df, table, key, salted_by, salts)
 
 
-def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of edges (a long, b long): one row (node, root) a node, root its smallest node.
 
-    Each round takes for each node the smallest root next to it and then the root of that root (so paths halve), by
-    joins and grouped minima only; rounds are written to the shared folder. It ends when no root changes.
+    Each round every node moves to its smallest neighbour, and on along that one's way; then edges are drawn between the
+    places moved to. Edges within one place vanish, so a round works on what is not joined yet. The smallest node of a
+    component never moves, and all others do until they are there. Rounds are written to the shared folder.
     """
-    both = staged(edges.union(edges.select("b", "a")).where("a <> b").distinct().toDF("node", "other"), f"{label}-edges")
-    roots = staged(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), f"{label}-roots")
-    for _ in range(max_rounds):
-        seen = both.join(roots.select(F.col("node").alias("other"), F.col("root").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        near = roots.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = staged(near.join(up, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "old"), f"{label}-roots")
-        changed = new.where("root <> old").limit(1).count()
-        roots = new.select("node", "root")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return roots
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    left = staged(edges.where("a <> b").select(low.alias("a"), high.alias("b")).distinct(), f"{label}-edges")
+    places = None
+    while places is None or left.limit(1).count():
+        both = left.toDF("node", "other").unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        up = staged(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("up")), f"{label}-up")
+        for _ in range(2):
+            on = up.select(F.col("node").alias("up"), F.col("up").alias("on"))
+            up = up.join(on, "up").select("node", F.col("on").alias("up"))
+        up = staged(up, f"{label}-up")
+        if places is None:
+            places = up.withColumnRenamed("up", "root")
+        else:
+            moved = places.join(up.select(F.col("node").alias("root"), "up"), "root", "left")
+            places = staged(moved.select("node", F.coalesce("up", "root").alias("root")), f"{label}-places")
+        ends = left.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
+        left = staged(ends.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), f"{label}-edges")
+    return places

@@ -33,7 +33,7 @@ from strandlake.llm.common import components, salted_join, staged
 from strandlake.llm.substring import Words, _mixed
 
 SHINGLE, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE, SIDE = 5, 0.8, 128, 4, 16, 1e-6, 1024
-BLOCK_BYTES, CHUNK_ROWS = 2 << 20, 20_000
+BLOCK_BYTES, CHUNK_ROWS, SLICE_ROWS = 2 << 20, 20_000, 500
 _SEEDS = _mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _XOR, _TIMES = _SEEDS[:HASHES].astype(np.uint32), _SEEDS[HASHES:].astype(np.uint32) | np.uint32(1)
 
@@ -54,8 +54,25 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
+def _in_blocks(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """texts, about BLOCK_BYTES at a time: the arrays over their bytes stay small."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < BLOCK_BYTES:
+            size += len(texts[end] or b"")
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
 def shingles(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of words of texts, and how many each text has; in the order of the texts."""
+    parts = [_shingles(block, size) for block in _in_blocks(texts)]
+    return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _shingles(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
     w = Words(texts)
     at = [w.runs(size), *(w.first[w.count == n] for n in range(1, size))]
     h = np.concatenate([w.hashes(a, n) for a, n in zip(at, [size, *range(1, size)], strict=True)])
@@ -126,7 +143,7 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int, size: Callable[[pa.Table], int] | None = None, most: int = 0) -> Iterator[pa.Table]:
     """Tables of whole groups (equal values of _group follow each other), of about that many rows, or that size."""
     held: list[pa.RecordBatch] = []
-    for b in batches:
+    for b in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
         held.append(b)
         t = pa.Table.from_batches(held)
         if t.num_rows >= rows or (size and size(t) >= most):
@@ -160,17 +177,12 @@ def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            sigs, keys, at = [], [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < BLOCK_BYTES:
-                    size += len(texts[end] or b"")
-                    end += 1
-                h, n = shingles(texts[at:end])
+            sigs, keys = [], []
+            for block in _in_blocks(texts):
+                h, n = shingles(block)
                 s = signatures(h, n)
                 sigs += map(bytes, s.astype(np.uint8))
                 keys += [k if c else None for k, c in zip(band_keys(s), n, strict=True)]
-                at = end
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("uid"), b.column("digest"), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "uid", "digest", "sig", "keys"]
             )
@@ -261,7 +273,7 @@ def _joined(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     firsts = signed.join(texts.select(F.col("node").alias("uid")), "uid").where("keys is not null").select(F.col("uid").alias("node"), "sig", "keys")
     clustered = staged(_clusters(firsts).join(texts, "node").select("node", "root", "members", "digest", "rep_id", "copies"), "jaccard-clustered")
     rows = docs.select(F.col("doc_id").alias("_id"), _digest(), F.col("text").cast("string").alias("text"))
-    rows = rows.join(clustered, (F.col("_id").eqNullSafe(F.col("rep_id"))) & (rows["digest"] == clustered["digest"]))
+    rows = rows.join(clustered.hint("merge"), (F.col("_id").eqNullSafe(F.col("rep_id"))) & (rows["digest"] == clustered["digest"]))
     found = staged(_verified(_blocks(rows, "root", "members").select("_group", "_side", "node", "copies", "text"), threshold), "jaccard-links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"), F.sum("documents").alias("n_linked_docs"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-classes")
