@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import barcode
 from strandlake.model import Layer, expand
+from strandlake.operators.ordering import numbered
 
 
 def in_lists(names: Column, lists) -> Column:
@@ -46,14 +47,7 @@ def first_appearance(df: DataFrame, key: str, known: DataFrame | None = None) ->
         start = (known.agg(F.max("id")).first()[0] or -1) + 1 if known.limit(1).count() else 0
         old = known.join(found, key, "left").select(key, "id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
         found = found.join(known, key, "left_anti")
-    placed = found.repartitionByRange("first").sortWithinPartitions("first").withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id())
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("nth").alias("low")).orderBy("part").collect()  # a row a partition
-    offsets, at = [], start
-    for part, rows, low in sizes:
-        offsets.append((part, at - low))
-        at += rows
-    table = df.sparkSession.createDataFrame(offsets, "part int, offset long")
-    new = placed.join(F.broadcast(table), "part").select(key, (F.col("nth") + F.col("offset")).alias("id"), "n")
+    new = numbered(found, ["first"], "id", start).select(key, "id", "n")
     return new if known is None else old.unionByName(new)
 
 

@@ -16,6 +16,14 @@ from strandlake.operators.scan import find_tags
 ADDED = ("hits", "names", "groups", "umis", "assigned", "discard", "passes", "out", "ofile", "key", "id", "sub_id", "cuts")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, with its columns worked out here once: a later filter isn't moved below, where it would repeat what they are made of.
+
+    A generator of one row a row does that: the optimizer carries no expression on its output across it.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, ids: bool = True) -> DataFrame:
     """reads with the columns of ADDED.
 
@@ -58,12 +66,14 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
     if trims and layer.qtrim_pre:
         df = quality_trimmed(df, "_s{}_", "_q{}_")
         df = df.withColumns({f"_a{j}": F.col(f"_a{j}") + F.col(f"_l5{j}") for j in range(n)})
+    df = settled(df.select(*reads.columns, *[f"{c}{j}{e}" for j in range(n) for c, e in (("_s", ""), ("_q", ""), ("_a", ""), ("_s", "_"), ("_q", "_"))], *[f"{c}{j}" for j in range(n) for c in ("_l5", "_l3") if trims and layer.qtrim_pre]))
     df = df.withColumns({"_seqs": F.array(*[normalised(F.col(f"_s{j}_")) for j in range(n)]), "_quals": F.array(*[F.col(f"_q{j}_") for j in range(n)])})
     if layer.tags:
         df = df.withColumn("_found", find_tags(df.sparkSession, layer, F.col("_seqs")))
         df = df.withColumns({"hits": F.col("_found.hits"), "_unmet": F.col("_found.unmet")})
     else:
         df = df.withColumns({"hits": F.array().cast(_hits_type()), "_unmet": F.lit(False)})
+    df = settled(df.drop("_found"))
     # extraction
     given = [_placed(p, segs) for p in layer.placements[::-1] if p.pos == -1]  # the last listed comes first
     df = df.withColumn("umis", extractions(layer, F.col("hits"), F.col("_seqs"), F.col("_quals"), given) if layer.extracts else F.array().cast("array<struct<value:string,qual:string>>"))
@@ -80,6 +90,7 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
     df = df.withColumns(cols)
     if trims and not layer.qtrim_pre:
         df = quality_trimmed(df, "_t{}", "_u{}")
+    df = settled(df)
     passes = F.lit(True)
     for j, (lo, hi) in enumerate(layer.filter_len[:n]):
         passes = passes & (F.length(f"_t{j}") >= lo if lo else F.lit(True)) & (F.length(f"_t{j}") <= hi if hi else F.lit(True))
@@ -114,7 +125,7 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
         df = df.withColumn("discard", F.col("discard") | (some & F.col("id").isNull()))
     strict = ~F.col("discard") & some
     df = df.withColumn("assigned", strict if layer.assign else F.lit(True))
-    df = df.withColumn("key", F.when(strict, F.col("names")))
+    df = settled(df.withColumn("key", F.when(strict, F.col("names"))))
     # what is written: cut and substituted reads where they are assigned, else as they came
     cols = {}
     for j in range(n):
@@ -131,11 +142,12 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
         F.struct(
             F.length(f"_s{j}").alias("before"), F.length(f"_t{j}").alias("after"), F.col(f"_a{j}").alias("hard5"), F.length(f"_s{j}_").alias("scanned"), F.col(f"_b{j}").alias("tag5"),
             F.col(f"_c{j}").alias("tag3"), (F.col(f"_l5{j}") if trims else F.lit(0)).alias("qual5"), (F.col(f"_l3{j}") if trims else F.lit(0)).alias("qual3"), F.length(f"_x{j}").alias("written"),
+            (F.col(f"_a{j}") + F.col(f"_b{j}") + (F.col(f"_l5{j}") if trims and not layer.qtrim_pre else F.lit(0))).alias("five"),
         )
         for j in range(n)
     ]
     df = df.withColumns({"out": F.array(*outs), "cuts": F.array(*cuts)})
-    df = df.select(*reads.columns, *ADDED)
+    df = settled(df.select(*reads.columns, *ADDED))
     if ids and layer.assign and not layer.encode:
         df = assign.with_ids(df.drop("id"), "key", assign.first_appearance(df, "key", known), "id")
         if layer.sub_assign:
