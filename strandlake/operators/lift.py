@@ -104,8 +104,8 @@ def contig_chunks(contigs: DataFrame) -> DataFrame:
 
 def bases_of(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     """spans (key, chrom, start, end) with their bases; a span is put together from the chunks that it covers."""
-    first, last = F.floor(F.col("start") / CHUNK), F.floor((F.col("end") - 1) / CHUNK)
-    cover = spans.where("end > start").withColumn("chunk", F.explode(F.sequence(first, last)).cast("int")).join(chunks, ["chrom", "chunk"])
+    first, last = (F.floor(c / CHUNK).cast("int") for c in (F.col("start"), F.col("end") - 1))
+    cover = spans.where("end > start").withColumn("chunk", F.explode(F.sequence(first, last))).join(chunks, ["chrom", "chunk"])
     a = F.greatest(F.col("start") - F.col("chunk") * CHUNK, F.lit(0))
     b = F.least(F.col("end") - F.col("chunk") * CHUNK, F.length("bases"))
     parts = cover.select("key", "chunk", part(F.col("bases"), a, b - a).alias("t"))

@@ -45,14 +45,16 @@ def trims(df: DataFrame) -> DataFrame:
 
 def trimming_tags(df: DataFrame) -> DataFrame:
     """By tag and length of the match: reads, errors, bases cut to the left and right. The hits that decide on a cut count."""
-    rows = []
-    for side in ("left", "right"):
-        mine = F.filter("hits", lambda h, side=side: h[side].isNotNull())
+
+    def chosen(side: str) -> DataFrame:
+        mine = F.filter("hits", lambda h: h[side].isNotNull())
         files = F.array_distinct(F.transform(mine, lambda h: h.file))
-        nth = -1 if side == "left" else 1
-        chosen = F.transform(files, lambda f, mine=mine, nth=nth: F.element_at(F.filter(mine, lambda h: h.file == f), nth))
+        hits = F.transform(files, lambda f: F.element_at(F.filter(mine, lambda h: h.file == f), -1 if side == "left" else 1))
         cut = F.element_at("cuts", F.col("h.file") + 1)["tag5" if side == "left" else "tag3"]
-        rows.append(df.select("cuts", F.explode(chosen).alias("h")).select("h.name", (F.col("h.end") - F.col("h.start")).alias("match_length"), "h.err", *[(cut if s == side else F.lit(0)).alias(f"cut_{s}") for s in ("left", "right")]))
+        cuts = [(cut if s == side else F.lit(0)).alias(f"cut_{s}") for s in ("left", "right")]
+        return df.select("cuts", F.explode(hits).alias("h")).select("h.name", (F.col("h.end") - F.col("h.start")).alias("match_length"), "h.err", *cuts)
+
+    rows = [chosen("left"), chosen("right")]
     return rows[0].unionByName(rows[1]).groupBy("name", "match_length").agg(F.count(F.lit(1)).alias("reads"), F.sum("err").alias("errors"), F.sum("cut_left").alias("cut_left"), F.sum("cut_right").alias("cut_right"))
 
 

@@ -24,6 +24,7 @@ class Part(InputPartition):
     file: str
     start: int
     end: int
+    fastq: bool = True
 
 
 def _system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -65,15 +66,15 @@ def _lines(f) -> Iterator[bytes]:
         yield line.rstrip(b"\r\n")
 
 
-def record_start(data: bytes, at_start: bool) -> int | None:
-    """Where the first record begins in data, which is cut out of a file: at a line with > or, for FASTQ, at a line with @
-    that a line, a line with + and a quality as long as the first one follow (a quality may begin with @ too)."""
-    places = ([0] if at_start else []) + [m.end() for m in re.finditer(rb"\n", data)]
-    for p in places:
+def record_start(data: bytes, fastq: bool) -> int | None:
+    """Where the first record begins in data, which is cut out of a file: FASTA at a line with >, FASTQ at a line with @ that
+    a line, a line with + and a quality as long as the first one follow (a quality may begin with @ or > too)."""
+    for m in re.finditer(rb"\n", data):
+        p = m.end()
         head = data[p : p + 1]
-        if head == b">":
+        if head == b">" and not fastq:
             return p
-        if head == b"@":
+        if head == b"@" and fastq:
             four = data[p:].split(b"\n", 4)
             if len(four) < 4 or (four[2][:1] == b"+" and len(four[1].rstrip(b"\r")) == len(four[3].rstrip(b"\r"))):
                 return p
@@ -90,9 +91,10 @@ class _Reader(DataSourceReader):
         if self.path.endswith(".gz"):
             return [Part(0, self.path, 0, -1)]
         with system.open_input_file(path) as f:
-            multiline = self._multiline(f.read(min(info.size, WINDOW)))
+            head = f.read(min(info.size, WINDOW))
+        multiline, fastq = self._multiline(head), head[:1] == b"@"
         step = max(info.size, 1) if multiline else self.split
-        return [Part(i, self.path, a, min(a + step, info.size)) for i, a in enumerate(range(0, max(info.size, 1), step))]
+        return [Part(i, self.path, a, min(a + step, info.size), fastq) for i, a in enumerate(range(0, max(info.size, 1), step))]
 
     @staticmethod
     def _multiline(head: bytes) -> bool:
@@ -128,7 +130,7 @@ class _Reader(DataSourceReader):
                 return at
             f.seek(at - 1)  # a record at the border begins behind the line end before it
             window = f.read(WINDOW)
-            found = record_start(window, False)
+            found = record_start(window, part.fastq)
             return size if found is None else at - 1 + found
 
         start, end = begin(part.start), begin(part.end)

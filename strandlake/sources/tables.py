@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.sources.fastx import read_fastx
@@ -16,12 +16,16 @@ def read_vcf(spark: SparkSession, path: str, sample: str) -> DataFrame:
     if sample not in columns[9:]:
         raise ValueError(f"{sample} is no sample of {path}")
     f = F.split(F.col("value"), "\t")
-    place = F.array_position(F.split(F.element_at(f, 9), ":"), "GT").cast("int")
-    values = F.split(F.element_at(f, columns.index(sample) + 1), ":")
+
+    def field(i: int) -> Column:
+        return F.get(f, F.lit(i))
+
+    place = F.array_position(F.split(field(8), ":"), "GT").cast("int")
+    values = F.split(field(columns.index(sample)), ":")
     rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
     return rows.select(
-        F.element_at(f, 1).alias("chrom"), (F.element_at(f, 2).cast("int") - 1).alias("pos"), F.element_at(f, 3).alias("id"), F.element_at(f, 4).alias("ref"),
-        F.split(F.element_at(f, 5), ",").alias("alts"), F.element_at(f, 7).alias("filter"), F.when(place > 0, F.element_at(values, place)).alias("gt"),
+        field(0).alias("chrom"), (field(1).try_cast("int") - 1).alias("pos"), field(2).alias("id"), field(3).alias("ref"), F.split(field(4), ",").alias("alts"), field(6).alias("filter"),
+        F.when(place > 0, F.get(values, place - 1)).alias("gt"),
     ).where("gt is not null")
 
 
