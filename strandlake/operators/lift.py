@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import part
+from strandlake.operators.ordering import numbered
 from strandlake.operators.unmask import CHUNK, chunked
 
 
@@ -170,3 +171,27 @@ def junction_contigs(junctions: DataFrame, contigs: DataFrame, k: int) -> DataFr
     left = bases_of(once.select(F.col("_key").alias("key"), "chrom", F.col("_a").alias("start"), (F.col("start") - 1).alias("end")), chunks).select(F.col("key").alias("_key"), F.col("bases").alias("left"))
     right = bases_of(once.select(F.col("_key").alias("key"), "chrom", F.col("end").alias("start"), F.col("_z").alias("end")), chunks).select(F.col("key").alias("_key"), F.col("bases").alias("right"))
     return r.join(left, "_key").join(right, "_key").select("chrom", "start", "end", F.concat("left", "right").alias("seq"))
+
+
+def contig_fasta(contigs: DataFrame, diploid: bool = False, header: str = "", number: bool = False) -> DataFrame:
+    """(nth, text) FASTA records of ``variant_contigs`` or ``junction_contigs``, in order of place.
+
+    The name is the given header (with numbers from 0 on, if asked for), else the id of the variant if it has one; the
+    place follows, and _L or _R where haplotypes are told apart.
+    """
+    rows = numbered(contigs.withColumn("hap", F.col("hap") if "hap" in contigs.columns else F.lit(0)), ["chrom", "start", "hap"], "nth")
+    side = F.when(F.col("hap") == 0, "_L").otherwise("_R") if diploid else F.lit("")
+    id_ = F.col("id") if "id" in contigs.columns else F.lit(".")
+    place = F.concat("chrom", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
+    if header:
+        name = F.concat(F.lit(header), F.col("nth").cast("string") if number else F.lit(""), side, F.lit(" "), place)
+    else:
+        named = (id_ != ".") & (id_ != "")
+        name = F.when(named, F.concat(id_, side, F.lit(" "), place)).otherwise(F.concat(place, side))
+    return rows.select("nth", F.concat(F.lit(">"), name, F.lit("\n"), F.col("seq"), F.lit("\n")).alias("text"))
+
+
+def genome_fasta(sequences: DataFrame) -> DataFrame:
+    """(nth, text) FASTA records of ``genome``, 60 bases a line: sequences with variants first, each kind in FASTA order."""
+    rows = numbered(sequences.withColumn("_late", (~F.col("varied")).cast("int")), ["_late", "ordinal", "hap"], "nth")
+    return rows.select("nth", F.concat("header", F.lit("\n"), wrapped(F.col("seq")), F.lit("\n")).alias("text"))

@@ -16,6 +16,20 @@ def write_streams(records: DataFrame, folder: str, compression: str | None = Non
     out.write.partitionBy("stream").option("compression", compression or "none").text(folder)
 
 
+def file_of(stream: Column, n_files: int, fasta: bool = False, r1_r2: bool = False) -> Column:
+    """The file name of a stream. Streams of a list with a prefix are prefix_barcodes and prefix_0, prefix_1, ... (or _R1,
+    _R2, ...); a prefix with as many comma-separated names as files gives these; extractions have the name of theirs."""
+    end = F.lit(".fasta" if fasta else ".fastq")
+    prefix, part = F.regexp_extract(stream, "^(.*):([^:]*)$", 1), F.regexp_extract(stream, "^(.*):([^:]*)$", 2)
+    names = F.split(prefix, ",")
+    number = part.try_cast("int")
+    shown = F.concat(F.lit("R"), (number + 1).cast("string")) if r1_r2 else part
+    own = (F.size(names) == n_files) & number.isNotNull() & F.lit(n_files > 1)
+    kind = F.when(prefix.isin("out", "unassigned"), F.concat(prefix, F.lit("_"), part, end))
+    kind = kind.when(prefix == "umi", F.concat(part, end)).when(own, F.concat(F.get(names, number), end))
+    return kind.when(prefix != "", F.concat(F.element_at(names, 1), F.lit("_"), shown, end)).otherwise(F.concat(stream, end))
+
+
 def write_ordered(records: DataFrame, stream: str, path: str, compression: str | None = None) -> None:
     """One stream as one ordered file (in a folder): for outputs that have to be one file, whatever their size."""
     rows = records.where(F.col("stream") == stream).orderBy("read_id", "nth").select(F.regexp_replace("text", "\n$", "").alias("value"))

@@ -310,3 +310,31 @@ def test_contigs(spark, tmp_path, monkeypatch, chunk):
     got = sorted((r.chrom, r.start, r.end, r.seq) for r in lift.junction_contigs(tables.read_junctions(spark, str(tmp_path / "sj")), contigs, 4).collect())
     assert got == [("c1", 3, 6, "AC" + "GTA"), ("c2", 1, 8, "")]
     assert lift.unsorted(spark.createDataFrame([(0, "c", 5), (1, "c", 3)], "ordinal long, chrom string, pos int")).count() == 1
+
+
+def test_fasta_of_contigs(spark, tmp_path):
+    contigs, rows = _lifted(spark, tmp_path)
+    got = [r.text for r in lift.contig_fasta(lift.variant_contigs(rows, contigs, 4)).orderBy("nth").collect()]
+    assert got[0] == ">v1 c1:1-5\nATGTA\n" and len(got) == 4
+    got = [r.text for r in lift.contig_fasta(lift.variant_contigs(rows, contigs, 4), diploid=True, header="k", number=True).orderBy("nth").collect()]
+    assert got[0] == ">k0_L c1:1-5\nATGTA\n"
+    whole = [r.text for r in lift.genome_fasta(lift.genome(contigs, rows)).orderBy("nth").collect()]
+    assert whole[0].startswith(">c1 c1:1-20 from|c1:1-20\n") and whole[1] == ">c2 c2:1-8 from|c2:1-8\nTTTTGGGG\n"
+
+
+def test_file_names(spark):
+    streams = ["out:1", "unassigned:0", "barcodes", "umi:u", "p:barcodes", "p:1", "a,b:1"]
+    df = spark.createDataFrame([(s,) for s in streams], "stream string")
+    names = {r.stream: r.f for r in df.select("stream", sinks.file_of(F.col("stream"), 2).alias("f")).collect()}
+    assert [names[s] for s in streams] == ["out_1.fastq", "unassigned_0.fastq", "barcodes.fastq", "u.fastq", "p_barcodes.fastq", "p_1.fastq", "b.fastq"]
+    assert df.where("stream = 'p:1'").select(sinks.file_of(F.col("stream"), 2, fasta=True, r1_r2=True)).first()[0] == "p_R2.fasta"
+
+
+def test_sub_encode(spark, tmp_path):
+    text = "@assign\n@barcode-encode x,y\n@sub-barcode-encode y\n\ntags groups locations\nA x 0:0:1\nC x 0:0:1\nG y 0:1:2\nT y 0:1:2\n"
+    reads = fastq(("a", "AGAA", "KKKK"), ("b", "CTAA", "KKKK"), ("c", "GGAA", "KKKK"))
+    streams, layers = run(spark, tmp_path, [reads], pipe=True, config=text)
+    rows = {r.segs[0].name: (r.id, r.sub_id, r.assigned) for r in layers[0][1].collect()}
+    assert rows["a"][2] and rows["b"][2] and not rows["c"][2]
+    assert rows["b"][1] != rows["a"][1] and "c" not in {x.split("\n")[0] for x in streams["pipe"].split("@")}
+    assert f"@b\n{'A' * 15}C{'A' * 14}CA\n" in streams["pipe"] and f"@a\n{'A' * 32}\n" in streams["pipe"]
