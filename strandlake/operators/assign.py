@@ -123,3 +123,10 @@ def remultiplexed(spark: SparkSession, lines: list[str]) -> list[tuple[str, int,
 def ranked(df: DataFrame, key: str) -> DataFrame:
     """(key, id) by first appearance with a window: for small tables of keys."""
     return df.groupBy(key).agg(F.min("read_id").alias("first")).select(key, (F.row_number().over(Window.orderBy("first")) - 1).alias("id"))
+
+
+def remultiplex_mapping(spark: SparkSession, rows: list[tuple[str, int, list[str]]], length: int, prefix: str = "") -> DataFrame:
+    """(id, barcode, name) of what ``remultiplexed`` gives, a row a name."""
+    names = {number: name for name, number, _ in rows}
+    table = spark.createDataFrame(sorted(names.items()), "id long, name string")
+    return table.select("id", barcode(F.col("id"), length, prefix).alias("barcode"), "name")

@@ -187,3 +187,11 @@ def read_reads(spark: SparkSession, runs: list[list[str]], interleaved: int = 0,
             at += reads.count()
         out = reads if out is None else out.unionByName(reads)
     return out
+
+
+def read_batch(spark: SparkSession, lines: list[str], interleaved: int = 0) -> DataFrame:
+    """Reads of the runs of a batch table (``name file file ...`` a line); run_id is the number of the name."""
+    from strandlake.operators.assign import remultiplexed
+
+    rows = remultiplexed(spark, lines)
+    return read_reads(spark, [files for _, _, files in rows], interleaved, [number for _, number, _ in rows])
