@@ -17,6 +17,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores is dealt over all of them: for stages that compute a lot."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,11 +32,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(_documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN)
+    return bpe.token_digests(_spread(_documents(spark, sf_dir)), BYTE_BPE, public_tokenizers.PATTERN)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scores(_spread(_documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +48,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_documents(spark, sf_dir), PIECES)
+    return token_counts.token_counts(_spread(_documents(spark, sf_dir)), PIECES)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(_documents(spark, sf_dir))
+    return media.text_media(_spread(_documents(spark, sf_dir)))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
