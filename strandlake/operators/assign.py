@@ -44,7 +44,8 @@ def first_appearance(df: DataFrame, key: str, known: DataFrame | None = None) ->
     found = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("read_id").alias("first"), F.count(F.lit(1)).alias("n"))
     start = 0
     if known is not None:
-        start = (known.agg(F.max("id")).first()[0] or -1) + 1 if known.limit(1).count() else 0
+        top = known.agg(F.max("id")).first()[0]
+        start = 0 if top is None else top + 1
         old = known.join(found, key, "left").select(key, "id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
         found = found.join(known, key, "left_anti")
     new = numbered(found, ["first"], "id", start).select(key, "id", "n")

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.sources.staging import staged
+
 
 def numbered(df: DataFrame, order: list[str], into: str, start: int = 0) -> DataFrame:
-    """df with the place of each row in the given order, from start on: rows are dealt by range and counted by part."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()})
+    """df with the place of each row in the given order, from start on: rows are dealt by range and counted by part.
+
+    The dealt rows are written once: another run of the exchange need not have the same partitions (bounds are sampled, and
+    partitions coalesced by bytes).
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = staged(dealt.withColumns({"_part": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()}), "numbered")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), F.min("_nth").alias("low")).orderBy("_part").collect()  # a row a partition
     offsets, at = [], start
     for part, rows, low in sizes:

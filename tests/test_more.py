@@ -241,6 +241,28 @@ def test_numbered(spark):
     assert [(r.v, r.n) for r in numbered(df, ["v"], "n").orderBy("v").collect()] == [(i, i) for i in range(101)]
 
 
+def test_numbered_when_partitions_differ_by_columns(spark):
+    """Partitions are coalesced by bytes, so those of the rows are not those of a count, which has fewer columns."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df = spark.range(30_000).select(F.pmod(F.col("id") * 7919, F.lit(30_000)).alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("more"))
+        got = [(r.v, r.n) for r in numbered(df, ["v"], "n", 5).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sorted(got) == [(i, i + 5) for i in range(30_000)]
+
+
+def test_ids_go_on_from_a_single_known_one(spark):
+    df = spark.createDataFrame([(0, "b"), (1, "a"), (2, "c"), (3, "a")], "read_id long, k string")
+    known = spark.createDataFrame([("a", 0)], "k string, id long")
+    assert {tuple(r) for r in assign.first_appearance(df, "k", known).collect()} == {("a", 0, 2), ("b", 1, 1), ("c", 2, 1)}
+    assert {tuple(r) for r in assign.first_appearance(df, "k", known.limit(0)).collect()} == {("b", 0, 1), ("a", 1, 2), ("c", 2, 1)}
+
+
 def test_notations():
     assert parse.distance("2:1:2") == (2, 1, 2) and parse.distance("1") == (1, 0, 1) and parse.location("0:3") == (0, 3, 0) and parse.location("-") == (-1, 0, 0)
     n = parse.neighbour("{{g}}4-10")
