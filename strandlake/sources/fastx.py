@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SPLIT_BYTES, BATCH_ROWS, WINDOW = 64 << 20, 20_000, 1 << 20
+SPLIT_BYTES, BATCH_ROWS, BATCH_BYTES, WINDOW = 64 << 20, 20_000, 16 << 20, 1 << 20
 SCHEMA = "part int, nth long, name string, comment string, seq string, qual string"
 
 
@@ -66,19 +66,36 @@ def _lines(f) -> Iterator[bytes]:
         yield line.rstrip(b"\r\n")
 
 
-def record_start(data: bytes, fastq: bool) -> int | None:
-    """Where the first record begins in data, which is cut out of a file: FASTA at a line with >, FASTQ at a line with @ that
-    a line, a line with + and a quality as long as the first one follow (a quality may begin with @ or > too)."""
-    for m in re.finditer(rb"\n", data):
-        p = m.end()
+def record_start(data: bytes, fastq: bool, last: bool = True) -> tuple[int | None, int]:
+    """(where the first record begins in data, the line end to look on from where there is none yet).
+
+    data is cut out of a file, up to its end if last. A FASTA record begins at a line with >, a FASTQ record at a line with @
+    that a line, a line with + and a quality as long as the first one follow (a quality may begin with @ or > too). A line
+    with @ is a record only where all four lines are there; at the end of the file the last one needs no line end.
+    """
+    at = data.find(b"\n")
+    while at >= 0:
+        p = at + 1
         head = data[p : p + 1]
+        if not head and not last:
+            return None, at
         if head == b">" and not fastq:
-            return p
+            return p, at
         if head == b"@" and fastq:
-            four = data[p:].split(b"\n", 4)
-            if len(four) < 4 or (four[2][:1] == b"+" and len(four[1].rstrip(b"\r")) == len(four[3].rstrip(b"\r"))):
-                return p
-    return None
+            ends, q = [], p
+            while len(ends) < 4 and (q := data.find(b"\n", q)) >= 0:
+                ends.append(q)
+                q += 1
+            if last and len(ends) == 3:
+                ends.append(len(data))
+            if len(ends) < 4 and not last:
+                return None, at
+            if len(ends) == 4:
+                seq, plus, qual = (data[i + 1 : j] for i, j in zip(ends, ends[1:], strict=False))
+                if plus[:1] == b"+" and len(seq.rstrip(b"\r")) == len(qual.rstrip(b"\r")):
+                    return p, at
+        at = data.find(b"\n", p)
+    return None, len(data)
 
 
 class _Reader(DataSourceReader):
@@ -111,13 +128,14 @@ class _Reader(DataSourceReader):
             else:
                 found = self._range(f, part, f.size())
             rows: list[tuple] = []
-            nth = 0
+            nth = held = 0
             for r in found:
                 rows.append((part.number, nth, *r))
                 nth += 1
-                if len(rows) >= BATCH_ROWS:
+                held += len(r[2])
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
@@ -125,19 +143,47 @@ class _Reader(DataSourceReader):
     def _range(f, part: Part, size: int) -> Iterator[tuple]:
         """The records that begin in the range."""
 
-        def begin(at: int) -> int:
+        def begin(at: int, until: int) -> int:
+            """The first record from at on, however far: both parts at a border find the same one. The end of the file if
+            none begins before until."""
             if at >= size or at == 0:
                 return at
-            f.seek(at - 1)  # a record at the border begins behind the line end before it
-            window = f.read(WINDOW)
-            found = record_start(window, part.fastq)
-            return size if found is None else at - 1 + found
-
-        start, end = begin(part.start), begin(part.end)
-        f.seek(start)
-        left = end - start
-        data = io.BytesIO(f.read(left)) if left > 0 else io.BytesIO()
-        return parse_records(_lines(data))
+            base, data, ahead = at - 1, b"", WINDOW  # a record at the border begins behind the line end before it
+            while True:
+                f.seek(base + len(data))
+                more = f.read(ahead)
+                data += more
+                last = not more or base + len(data) >= size
+                found, on = record_start(data, part.fastq, last)
+                if found is not None:
+                    return base + found
+                if last or base + on + 1 >= until:
+                    return size
+                ahead = max(WINDOW, len(data) - on)  # a record longer than the window is read in pieces that double
+                base, data = base + on, data[on:]
+
+        start = begin(part.start, part.end)
+        end = begin(part.end, size) if start < part.end else start
+        return parse_records(_lines(_pieces(f, start, end)))
+
+
+def _pieces(f, start: int, end: int) -> io.BufferedReader:
+    """The bytes of f from start to end as a stream, read a window at a time."""
+
+    class Piece(io.RawIOBase):
+        at = start
+
+        def readable(self) -> bool:
+            return True
+
+        def readinto(self, to) -> int:
+            f.seek(self.at)
+            data = f.read(min(len(to), end - self.at)) if self.at < end else b""
+            to[: len(data)] = data
+            self.at += len(data)
+            return len(data)
+
+    return io.BufferedReader(Piece(), WINDOW)
 
 
 class FastxSource(DataSource):

@@ -1,6 +1,7 @@
 """Nested layers, mappings, streams, unmask, lift, sources and sinks."""
 
 import gzip
+import io
 import random
 
 import pytest
@@ -15,7 +16,7 @@ from strandlake.operators.scan import candidates, clear_hits
 from strandlake.functions.sequence import barcode, barcode_id, reverse_complement
 from strandlake.plans import parse
 from strandlake.plans.options import build
-from strandlake.sources import sinks, tables
+from strandlake.sources import fastx, sinks, tables
 from strandlake.sources.fastx import read_fastx, read_reads
 from strandlake.streaming import reads as streaming
 from tests.fixtures import BOUND, BOUND_FA, LEFT, RIGHT, TWO, fastq, md5, run
@@ -179,6 +180,35 @@ def test_splits_of_fastq(spark, tmp_path):
     assert [(r.seg.name, r.seg.seq) for r in got] == [r[:2] for r in rows]
 
 
+@pytest.mark.parametrize("window", [1, 7, 64])
+def test_borders_find_records_beyond_the_window(monkeypatch, window):
+    """Records much longer than the window; qualities that begin with @; ends of lines of either kind; no last line end."""
+    monkeypatch.setattr(fastx, "WINDOW", window)
+    rng = random.Random(window)
+    sizes = [rng.choice((3, 20, 300, 900)) for _ in range(9)] + [4] * 20
+    bases = ["".join(rng.choice("ACGT") for _ in range(n)) for n in sizes]
+    quals = ["@" + "".join(rng.choice("@+>K") for _ in s[1:]) for s in bases]
+    texts = {
+        "fasta of one line": "".join(f">r{i}\n{s}\n" for i, s in enumerate(bases)),
+        "fasta of lines": "".join(f">r{i}\n" + "".join(f"{s[j : j + 60]}\n" for j in range(0, len(s), 60)) for i, s in enumerate(bases)),
+        "fastq": "".join(f"@r{i}\n{s}\n+\n{q}\n" for i, (s, q) in enumerate(zip(bases, quals, strict=True))),
+    }
+    for what, text in texts.items():
+        for data in (text, text[:-1], text.replace("\n", "\r\n")):
+            raw = data.encode()
+            for split in (13, 250, 1000):
+                parts = [fastx.Part(k, "", a, min(a + split, len(raw)), what == "fastq") for k, a in enumerate(range(0, len(raw), split))]
+                got = [r for p in parts for r in fastx._Reader._range(io.BytesIO(raw), p, len(raw))]
+                assert [(r[0], r[2]) for r in got] == [(f"r{i}", s) for i, s in enumerate(bases)], (what, split)
+
+
+def test_contigs_longer_than_a_split(spark, tmp_path):
+    rows = [(f"c{i}", "ACGT" * n) for i, n in enumerate([700_000, 5, 400_000, *range(1, 40)])]
+    (tmp_path / "g.fa").write_text("".join(f">{n}\n{s}\n" for n, s in rows))
+    got = read_fastx(spark, str(tmp_path / "g.fa"), 300_000).select("ordinal", "seg.name", F.length("seg.seq").alias("n")).orderBy("ordinal").collect()
+    assert [tuple(r) for r in got] == [(i, n, len(s)) for i, (n, s) in enumerate(rows)]
+
+
 def test_reads(spark, tmp_path):
     (tmp_path / "a.fq").write_text(TWO)
     (tmp_path / "b.fq").write_text(TWO + BOUND)
