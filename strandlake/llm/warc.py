@@ -5,8 +5,9 @@ a ``response`` with the payload; the others are ``revisit`` records of it that h
 Content-Length, with the payload digest, still describes the full payload.
 
 The reader splits files of any size: a task scans its byte range for the gzip magic, takes a candidate for a member only
-if it decodes to a whole WARC header, owns the records that start in its range (a last one is read beyond its end) and
-goes on behind each record.
+if it decodes to a whole WARC header, however long, owns the records that start in its range (a last one is read beyond
+its end) and goes on behind each record. A read error fails the task, as does a member that is cut off or damaged, if it
+begins like a record or where a member has to begin.
 
 Edge cases: a null html is an empty payload; payloads equal by SHA-1 and length are equal. Rows of the largest page_id
 that repeat its payload are each a response; null page_ids lose to others and are read back as null. Line ends and blanks
@@ -29,7 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from strandlake.llm.archives import ByteRange, Written, commit, discard, file_system, part_name, ranges
 from strandlake.llm.common import group_lookup, new_folder
 
-SUFFIX, MAGIC, HEAD, PIECE = ".warc.gz", b"\x1f\x8b\x08", 1 << 16, 1 << 14
+SUFFIX, MAGIC, START, PIECE = ".warc.gz", b"\x1f\x8b\x08", b"WARC/1.", 1 << 14
 FILE_BYTES, SPLIT_BYTES, BATCH_BYTES, LEVEL = 1 << 30, 64 << 20, 8 << 20, 3
 SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, payload_digest string, http_length long, payload binary, file string, offset long"
 
@@ -51,9 +52,12 @@ def member(record_type: str, record_id: str, target_uri: str, payload: bytes, re
     return press.compress("\r\n".join(head).encode()) + press.compress(block + b"\r\n\r\n") + press.flush()
 
 
-def _whole_head(data: bytes) -> bool:
-    end = data.find(b"\r\n\r\n")
-    return data.startswith(b"WARC/1.") and end > 0 and b"\r\ncontent-length:" in data[: end + 2].lower()
+def _whole_head(data: bytearray, at: int) -> bool | None:
+    """Whether data begins with a whole WARC header, which has no end before at; None if more of it is needed to tell."""
+    if data[: len(START)] != START[: len(data)]:
+        return False
+    end = data.find(b"\r\n\r\n", at)
+    return None if end < 0 else b"\r\ncontent-length:" in data[: end + 2].lower()
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -81,6 +85,7 @@ def parse(record: bytes) -> dict:
 def records(f, start: int, end: int, size: int, step: int = 4 << 20) -> Iterator[tuple[int, bytes]]:
     """(offset, decoded record) for the records of file f that start in [start, end)."""
     buf, base, at = b"", start, start
+    border = None if start else 0  # where a member has to begin, as far as that is known
 
     def ahead(place: int, n: int) -> None:
         """Reads on, and forgets what lies before place, unless n bytes from place on are there (or the file ends)."""
@@ -94,8 +99,18 @@ def records(f, start: int, end: int, size: int, step: int = 4 << 20) -> Iterator
                     raise OSError("the file ends early")
                 buf += more
 
+    def cut_off(place: int) -> None:
+        """The file ends in what may be a member from place on: fails if it is one, for which the file is read from its start."""
+        if place == border:
+            raise OSError("a gzip member is cut off")
+        if start:
+            for _ in records(f, 0, place + 1, size, step):
+                pass
+
     while at < end:
         ahead(at, 3)
+        if size - at < 3 and MAGIC.startswith(buf[at - base :]):
+            cut_off(at)
         hit = buf.find(MAGIC, at - base)
         if hit < 0:
             at = max(at + 1, base + len(buf) - 2)
@@ -103,22 +118,31 @@ def records(f, start: int, end: int, size: int, step: int = 4 << 20) -> Iterator
         at = base + hit
         if at >= end:
             return
-        gunzip, out, used, valid = zlib.decompressobj(31), [], at, False
+        gunzip, out, used, seen, valid = zlib.decompressobj(31), [], at, bytearray(), None
         try:
-            while not gunzip.eof:
-                if used >= size:
-                    raise OSError("a gzip member is cut off")
+            while not gunzip.eof and valid is not False and used < size:
                 ahead(used, PIECE)
                 piece = buf[used - base : used - base + PIECE]
-                out.append(gunzip.decompress(piece))
-                used += len(piece) - len(gunzip.unused_data)
-                if not valid and sum(map(len, out)):
-                    valid = _whole_head(out[0] if len(out) == 1 else b"".join(out))
-                    if not valid and (gunzip.eof or used - at >= HEAD):
-                        break
-        except (zlib.error, OSError):
-            if valid:
+                if len(seen) < len(START):  # the first bytes come alone: what is wrong behind them doesn't hide them
+                    out.append(gunzip.decompress(piece, len(START) - len(seen)))
+                    seen += out[-1]
+                    valid = _whole_head(seen, 0)
+                    piece, used = gunzip.unconsumed_tail, used + len(piece) - len(gunzip.unconsumed_tail) - len(gunzip.unused_data)
+                if piece and valid is not False and not gunzip.eof:
+                    out.append(gunzip.decompress(piece))
+                    used += len(piece) - len(gunzip.unused_data)
+                    if valid is None:
+                        known = len(seen)
+                        seen += out[-1]
+                        valid = _whole_head(seen, max(known - 3, 0))
+        except zlib.error:
+            if valid or len(seen) >= len(START) or at == border:
                 raise
+            valid = False
+        if valid is not False and not gunzip.eof:
+            if valid or len(seen) >= len(START):
+                raise OSError("a gzip member is cut off")
+            cut_off(at)
         if not valid:
             at += 1
             ahead(at, 0)
@@ -126,7 +150,7 @@ def records(f, start: int, end: int, size: int, step: int = 4 << 20) -> Iterator
                 buf, base = b"", at
             continue
         yield at, b"".join(out)
-        at = used
+        at = border = used
 
 
 class _Writer(DataSourceArrowWriter):

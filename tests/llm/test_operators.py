@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -210,6 +211,45 @@ def test_warc_splits_anywhere():
             assert [(g["record_id"], g["payload"]) for g in got] == made
 
 
+def test_warc_long_headers():
+    rng = random.Random(4)
+    urls = ["http://x", *(f"data:,{base64.b64encode(rng.randbytes(n)).decode()}" for n in (60_000, 90_000, 400_000)), "http://y"]
+    data = b"".join(warc.member("response", f"urn:x-page:{i}", u, b"p") for i, u in enumerate(urls))
+    for split in (50_000, len(data)):
+        got = [warc.parse(r) for a in range(0, len(data), split) for _, r in warc.records(io.BytesIO(data), a, min(a + split, len(data)), len(data))]
+        assert [r["target_uri"] for r in got] == urls
+
+
+def test_warc_cut_off_members_and_read_errors_fail():
+    rng = random.Random(6)
+    members = [warc.member("response", f"urn:x-page:{i}", f"http://{i}", rng.randbytes(40)) for i in range(3)]
+    data = b"".join(members)
+
+    def read(data: bytes, split: int, f=io.BytesIO) -> int:
+        file = f(data)
+        return sum(1 for a in range(0, len(data), split) for _ in warc.records(file, a, min(a + split, len(data)), len(data)))
+
+    whole = len(data) - len(members[-1])
+    for split in (len(members[0]), 100, 7, len(data)):
+        assert read(data, split) == 3 and read(data[:whole], split) == 2
+        for n in range(whole + 1, len(data)):
+            with pytest.raises(OSError):
+                read(data[:n], split)
+
+    class Failing(io.BytesIO):
+        def read(self, n=-1):
+            if self.tell():
+                raise OSError("no storage")
+            return super().read(min(n, 60))
+
+    with pytest.raises(OSError, match="no storage"):
+        read(data, len(data), Failing)
+    damaged = bytearray(data)
+    damaged[len(members[0]) + 60] ^= 0xFF
+    with pytest.raises((OSError, zlib.error)):
+        read(bytes(damaged), len(data))
+
+
 # 6: substring dedup
 
 
