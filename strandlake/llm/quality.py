@@ -8,13 +8,15 @@ vectors of the labelled texts gives the latent space. Their latent vectors and l
 them are computed in blocks. The ``NEIGHBOURS`` nearest vote, weighted by a power of their similarity; the weights of the
 two labels are balanced only by the neighbours themselves, so the score estimates the share of label 1 near the text.
 
-``MAX_LABELLED`` bounds the fit: beyond it the labelled rows with the smallest digests of their ids are the sample. Rows
-whose crc32 of the id as text leaves 2 on division by 4 are held out, never learnt. Labels, language, source and id are
-no inputs of a score.
+``MAX_LABELLED`` bounds the fit: beyond it the labels with the smallest digests of their ids, of those whose documents are
+there, are the sample. An id that several rows have gives one text, the smallest, however many they are. Rows whose
+crc32 of the id as text leaves 2 on division by 4 are held out, never learnt. Labels, language, source and id are no
+inputs of a score.
 
 Edge cases: a null text is the empty text and is scored as such (it has the mark of emptiness only); rows without label or
-id are not learnt; several labels of one id count each; equal texts have equal scores. Without labelled rows the score is
-0.5. An empty table gives an empty table. Other columns are ignored by ``scores`` and pass through ``keep_good``.
+id are not learnt; several different labels of one id count each, equal ones once; equal texts have equal scores. Without
+labelled rows the score is 0.5, and ``keep_good`` keeps all rows. An empty table gives an empty table. Other columns are
+ignored by ``scores`` and pass through ``keep_good``.
 """
 
 from __future__ import annotations
@@ -137,10 +139,11 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Voters | None:
-    """Learns from the labelled rows of docs that are not held out, at most ``max_labelled`` of them."""
-    learn = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = learn.orderBy(F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))), "doc_id", "quality").limit(max_labelled)
-    chosen = F.broadcast(sample)  # at most max_labelled rows
+    """Learns from the labelled documents that are not held out, at most ``max_labelled`` pairs of an id and a label."""
+    learn = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    there = learn.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    sample = there.orderBy(F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))), "doc_id", "quality").limit(max_labelled)
+    chosen = F.broadcast(sample.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("quality").cast("int"))).alias("_labels")))  # at most max_labelled rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -150,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 yield pd.DataFrame({"doc_id": part["doc_id"].tolist(), "quality": part["quality"].tolist(), "terms": [np.flatnonzero(r).astype(np.int32) for r in freq], "counts": [r[r > 0] for r in freq]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("quality").cast("int"))
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "_labels").agg(F.min("text").alias("text"))
+    rows = texts.select("doc_id", "text", F.explode("_labels").alias("quality"))
     got = rows.mapInPandas(run, f"doc_id {kind}, quality int, terms array<int>, counts array<float>").toPandas()
     if got.empty:
         return None
@@ -184,6 +188,9 @@ def scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score below the threshold."""
+    """docs without the rows that score below the threshold; all of them where nothing can be learnt."""
+    voters = fit(docs, labels, max_labelled)
+    if voters is None:
+        return docs
     packed = docs.select(F.struct("*").alias("_row"), "text")
-    return _scored(packed, fit(docs, labels, max_labelled), ["_row"]).where(F.col("_score") >= threshold).select("_row.*")
+    return _scored(packed, voters, ["_row"]).where(F.col("_score") >= threshold).select("_row.*")

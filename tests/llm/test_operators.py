@@ -180,6 +180,20 @@ def test_quality_odd_rows(spark):
     assert quality.scores(helpers.empty(spark), labels).count() == 0
 
 
+def test_quality_fit_is_bounded_by_learnt_rows(spark):
+    rows = [(i, f"text number {i} " * (1 + i % 5)) for i in range(40) if i % 2] + [(1, "text of an id with many rows")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    there = [(i, i % 3 % 2) for i in range(40) if i % 2]
+    model = quality.fit(docs, spark.createDataFrame(there, "doc_id long, quality int"), 1000)
+    learnt = spark.createDataFrame(there, "doc_id long, quality int").where(~quality.held_out(F.col("doc_id"))).count()
+    assert len(model.labels) == learnt  # the rows of id 1 count once
+    away = [(i, 1) for i in range(1000, 1400)] * 2
+    labels = spark.createDataFrame(there + away, "doc_id long, quality int")
+    assert len(quality.fit(docs, labels, 10).labels) == 10  # labels without documents use up nothing
+    nothing = spark.createDataFrame(away, "doc_id long, quality int")
+    assert Counter(quality.keep_good(docs, nothing).collect()) == Counter(docs.collect())
+
+
 # 5: WARC
 
 
