@@ -5,6 +5,7 @@ Jaccard similarity of their sets is ``THRESHOLD`` or more. Equal texts are one t
 
 1. Every text gets ``HASHES`` MinHash values, kept to 8 bits, and ``HASHES / ROWS`` keys of ``ROWS`` values of 16 bits each.
    Texts that share a key are candidates: two linked texts share none with a probability of 5e-8 at the threshold itself.
+   Lower thresholds get keys of fewer values (``band_rows``), down to about 0.12; below that there is an error.
 2. Candidates compare their MinHash values ``STEP`` at a time and are dropped as soon as the posterior probability that
    their similarity reaches the threshold (uniform prior, binomial likelihood) falls below ``TOLERANCE``. Candidates that
    stay are joined to clusters; a cluster holds at least all texts that are linked to each other.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import components, salted_join, staged
 from strandlake.llm.substring import Words, _mixed
 
-SHINGLE, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE, SIDE = 5, 0.8, 128, 4, 16, 1e-6, 1024
+SHINGLE, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE, MISSED, SIDE = 5, 0.8, 128, 4, 16, 1e-6, 1e-7, 1024
 BLOCK_BYTES, CHUNK_ROWS, SLICE_ROWS = 2 << 20, 20_000, 500
 _SEEDS = _mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _XOR, _TIMES = _SEEDS[:HASHES].astype(np.uint32), _SEEDS[HASHES:].astype(np.uint32) | np.uint32(1)
@@ -54,6 +55,14 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
+def band_rows(threshold: float) -> int:
+    """Values a key: as many, up to ``ROWS``, as let two texts at the threshold share no key with a probability of ``MISSED`` at most."""
+    for rows in (r for r in (4, 2, 1) if r <= ROWS):
+        if (1 - threshold**rows) ** (HASHES // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{HASHES} MinHash values don't find all links at a threshold of {threshold}")
+
+
 def _in_blocks(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
     """texts, about BLOCK_BYTES at a time: the arrays over their bytes stay small."""
     at = 0
@@ -91,9 +100,9 @@ def signatures(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """A key for each ROWS values, with the number of the band mixed in."""
-    v = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), HASHES // ROWS)
+def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A key for each so many values (4, 2 or 1), with the number of the band mixed in."""
+    v = np.ascontiguousarray(sig).view(f"u{2 * rows}").astype(np.uint64).reshape(len(sig), HASHES // rows)
     return _mixed(v ^ _mixed(np.arange(1, v.shape[1] + 1, dtype=np.uint64))).view(np.int64)
 
 
@@ -171,7 +180,7 @@ def _digest() -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("digest")
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, per_key: int) -> DataFrame:
     """doc_id, uid, digest, sig (8 bits a value), keys (none for texts without runs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +191,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 h, n = shingles(block)
                 s = signatures(h, n)
                 sigs += map(bytes, s.astype(np.uint8))
-                keys += [k if c else None for k, c in zip(band_keys(s), n, strict=True)]
+                keys += [k if c else None for k, c in zip(band_keys(s, per_key), n, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("uid"), b.column("digest"), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "uid", "digest", "sig", "keys"]
             )
@@ -192,9 +201,9 @@ def _signed(docs: DataFrame) -> DataFrame:
     return staged(rows.mapInArrow(run, f"doc_id {kind}, uid long, digest binary, sig binary, keys array<long>"), "jaccard-signed")
 
 
-def _clusters(texts: DataFrame) -> DataFrame:
+def _clusters(texts: DataFrame, threshold: float) -> DataFrame:
     """(node, root, members) for texts that keep a candidate; texts: node, sig, keys."""
-    least = least_matches()
+    least = least_matches(threshold)
     keys = texts.select("node", F.explode("keys").alias("key"))
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = _blocks(keys.join(several, "key"), "key", "n").join(texts.select("node", "sig"), "node").select("_group", "_side", "node", "sig")
@@ -266,12 +275,12 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _joined(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The signed rows (doc_id, uid, digest) and the texts: digest, node, rep_id, copies, n_links, n_linked_docs, root."""
-    signed = _signed(docs)
+    signed = _signed(docs, band_rows(threshold))
     texts = staged(
         signed.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies")), "jaccard-texts"
     )
     firsts = signed.join(texts.select(F.col("node").alias("uid")), "uid").where("keys is not null").select(F.col("uid").alias("node"), "sig", "keys")
-    clustered = staged(_clusters(firsts).join(texts, "node").select("node", "root", "members", "digest", "rep_id", "copies"), "jaccard-clustered")
+    clustered = staged(_clusters(firsts, threshold).join(texts, "node").select("node", "root", "members", "digest", "rep_id", "copies"), "jaccard-clustered")
     rows = docs.select(F.col("doc_id").alias("_id"), _digest(), F.col("text").cast("string").alias("text"))
     rows = rows.join(clustered.hint("merge"), (F.col("_id").eqNullSafe(F.col("rep_id"))) & (rows["digest"] == clustered["digest"]))
     found = staged(_verified(_blocks(rows, "root", "members").select("_group", "_side", "node", "copies", "text"), threshold), "jaccard-links")

@@ -381,6 +381,24 @@ def test_near_copies_empty(spark):
     assert jaccard.near_copies(helpers.empty(spark)).count() == 0 and jaccard.drop_near_copies(helpers.empty(spark)).count() == 0
 
 
+def test_near_copies_at_a_lower_threshold(spark):
+    rng = random.Random(8)
+    base = [[f"b{k}_{j}" for j in range(100)] for k in range(6)]
+    rows = []
+    for i in range(60):
+        w = list(base[i % 6])
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = {t: helpers.shingle_set(t) for _, t in rows}
+    want = {i: sum(2 * len(sets[t] & sets[u]) >= len(sets[t] | sets[u]) for u in sets if u != t) for i, t in rows}
+    got = {r.doc_id: r.n_links for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 0.5).collect()}
+    assert got == want
+    assert [jaccard.band_rows(t) for t in (0.95, 0.8, 0.5, 0.2)] == [4, 4, 2, 1]
+    with pytest.raises(ValueError):
+        jaccard.band_rows(0.05)
+
+
 def test_least_matches():
     least = jaccard.least_matches()
     assert list(least) == list(range(16, 129, 16)) and all(least[n] < 0.8 * n for n in least) and least[128] > 0.5 * 128
