@@ -196,10 +196,15 @@ def hand_off(df: DataFrame, layer: Layer, o: Output) -> DataFrame:
     return ours.select("read_id", "run_id", F.array(*segs).alias("segs"))
 
 
+def first_reads(reads: DataFrame, n: int) -> DataFrame:
+    """The first n reads in order of read_id, whatever the ids are."""
+    return reads.orderBy("read_id").limit(n)
+
+
 def process(reads: DataFrame, layer: Layer, o: Output) -> tuple[DataFrame, list[tuple[Layer, DataFrame]]]:
     """(records of all layers, [(layer, processed reads) from the outermost in])."""
     if o.limit is not None:
-        reads = reads.where(F.col("read_id") < o.limit)
+        reads = first_reads(reads, o.limit)
     df = run_layer(reads, layer)
     if layer.child is None:
         return records(df, layer, o), [(layer, df)]

@@ -15,7 +15,7 @@ from strandlake.functions import sequence as S
 from strandlake.operators import assign, lift, summary, unmask
 from strandlake.operators.layer import run_layer
 from strandlake.operators.neighbourhood import substituted
-from strandlake.operators.render import header_suffix, records
+from strandlake.operators.render import first_reads, header_suffix, records
 from strandlake.operators.render import process as process_reads
 from strandlake.operators.scan import candidates, clear_hits
 from strandlake.plans.options import build
@@ -103,7 +103,7 @@ def interleave(spark, sf_dir):
 @query(f"WITH {_R} SELECT read_id, seq FROM r WHERE read_id < 100")
 def read_limit(spark, sf_dir):
     """The first hundred reads: the limit is the operator."""
-    return reads(spark, sf_dir).where("read_id < 100").select("read_id", F.element_at("segs", 1).seq.alias("seq"))
+    return first_reads(reads(spark, sf_dir), 100).select("read_id", F.element_at("segs", 1).seq.alias("seq"))
 
 @query("""SELECT doc_id AS read_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1) AS opens, lpad(translate(b, '0123', 'ACGT'), 16, 'A') AS barcode
 FROM (SELECT *, CASE WHEN g < 4 THEN g::VARCHAR ELSE CASE WHEN g < 16 THEN (g // 4)::VARCHAR || (g % 4)::VARCHAR ELSE (g // 16)::VARCHAR || (g // 4 % 4)::VARCHAR || (g % 4)::VARCHAR END END AS b

@@ -12,6 +12,7 @@ from strandlake.operators import assign, lift, summary, unmask
 from strandlake.operators.layer import run_layer
 from strandlake.operators.neighbourhood import combined, partials, substituted
 from strandlake.operators.ordering import numbered
+from strandlake.operators.render import process
 from strandlake.operators.scan import candidates, clear_hits
 from strandlake.functions.sequence import barcode, barcode_id, reverse_complement
 from strandlake.plans import parse
@@ -266,6 +267,14 @@ def test_barcodes(spark):
     assert spark.range(1).select(reverse_complement(F.lit("ACGTN")).alias("x")).first().x == "NACGT"
 
 
+def test_limit_takes_the_first_reads_whatever_their_ids(spark):
+    seg = F.struct(F.lit("r").alias("name"), F.lit("").alias("comment"), F.lit("ACGT").alias("seq"), F.lit("KKKK").alias("qual"))
+    df = spark.range(40).select((F.col("id") * 7 + 1000).alias("read_id"), F.lit(0).alias("run_id"), F.array(seg).alias("segs")).orderBy(F.desc("read_id"))
+    layer, out = build(tags="GGGG", pipe=True, limit=5)
+    _, layers = process(df, layer, out)
+    assert sorted(r.read_id for r in layers[0][1].collect()) == [1000 + 7 * i for i in range(5)]
+
+
 def test_numbered(spark):
     df = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "v long").repartition(7)
     assert [(r.v, r.n) for r in numbered(df, ["v"], "n").orderBy("v").collect()] == [(i, i) for i in range(101)]
