@@ -1,18 +1,21 @@
 """URL filters: host rules, and for other urls a ratio of two character language models.
 
 ``RULES`` judge the urls that they fit; these urls also teach two variable-order Markov models, one of accepted and one
-of rejected urls. A model has the characters after the two, one or no characters before, each order smoothed by the next
-lower one with ``PRIOR`` imagined characters. A url's score is the mean over its characters of the difference of their log
-likelihoods, in millionths, so sums are whole numbers and reruns agree. The cut is calibrated on the rules' urls: the
-point between the two classes' mean scores that lies as many standard deviations from either. A url passes from the cut
-on. If the rules reject nothing or accept nothing, there is no cut and the other urls pass.
+of rejected urls. A model counts every character, as it is, after each of its last ``ORDER`` characters and after fewer, down
+to none; an order is smoothed by the next lower one with ``PRIOR`` imagined characters, the lowest by one for each character
+of the alphabet that the urls have. Model tables grow with the urls; they are joined by gram and never broadcast as such. A
+url's score is the mean over its characters of the difference of their log likelihoods, in millionths, so sums are whole
+numbers and reruns agree. The cut is calibrated on the rules' urls: the point between the two classes' mean scores that
+lies as many standard deviations from either. A url passes from the cut on. If the rules reject nothing or accept nothing,
+there is no cut and the other urls pass.
 
-Characters are folded to an alphabet of 45: letters without case, one class for digits, some marks, one class for the
-rest. That bounds the model, whatever the input, to 45 + 45^2 + 45^3 rows (about 93,000, some MB), which are broadcast.
+How it is spread: equal urls are counted first and scored once. Grams are counted before their exchange; a gram that all
+urls have is looked up once in each of 64 parts of the urls, so no task holds all places of one gram.
 
 Edge cases: a null url, or one without "://", has an empty host and path and fits no rule; a null or empty url has the
-score of an empty mean, 0. Rows with the same page_id are judged one by one. An empty table gives an empty table; other
-columns are ignored.
+score of an empty mean, 0. A url may be of any length: grams are made in one pass over its characters, 1 MB in about a
+second. Equal urls have equal scores and verdicts; rows with the same page_id are judged one by one. An empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,21 +23,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: (host, path, verdict)
+from strandlake.llm.common import salted_join, staged
+
+#: fixed values: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-PRIOR, UPPER, LOWER = 8.0, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORDER, PRIOR, BEFORE = 5, 8.0, "^"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-MODEL_ROWS = 100_000
 
 
 def _judged(pages: DataFrame, rules) -> DataFrame:
-    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    at = pages.select(
-        "page_id",
-        F.monotonically_increasing_id().alias("_uid"),
-        F.translate(F.regexp_extract(url, PARTS, 1), UPPER, LOWER).alias("host"),
-        F.regexp_extract(url, PARTS, 2).alias("path"),
-        F.regexp_replace(F.regexp_replace(F.translate(url, UPPER, LOWER), "[0-9]", "0"), r"(?s)[^a-z0/:.?=&_%#+~,@-]", "*").alias("_folded"),
+    at = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("_url")).select(
+        "*", F.translate(F.regexp_extract("_url", PARTS, 1), UPPER, LOWER).alias("host"), F.regexp_extract("_url", PARTS, 2).alias("path"), F.monotonically_increasing_id().alias("_row")
     )
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for host, path, says in sorted(rules, key=lambda r: len(r[0] + r[1])):  # the longest comes last and is asked first
@@ -44,55 +44,74 @@ def _judged(pages: DataFrame, rules) -> DataFrame:
 
 
 def _grams(urls: DataFrame, *keep: str) -> DataFrame:
-    """A row a character: itself and the two before it (^ before the first ones)."""
-    return urls.where("_folded <> ''").select(*keep, F.explode(F.expr("transform(sequence(1, length(_folded)), i -> substring(concat('^^', _folded), i, 3))")).alias("_gram"))
+    """A row a character: _gram is the character behind the ORDER ones before it (BEFORE stands before the first)."""
+    letters, n = F.split("_url", ""), F.char_length("_url")
+    shifted = [F.slice(F.concat(F.array_repeat(F.lit(BEFORE), k), letters), F.lit(1), n).alias(f"_{k}") for k in range(ORDER, -1, -1)]
+    rows = urls.where("_url <> ''").select(*keep, F.inline(F.arrays_zip(*shifted)))
+    return rows.select(*keep, F.concat(*[f"_{k}" for k in range(ORDER, -1, -1)]).alias("_gram"))
 
 
 def _model(grams: DataFrame) -> DataFrame:
-    """A row a gram: how many millionths likelier its last character is, after the others, in accepted urls."""
-    three = grams.groupBy("_gram").agg(F.count(F.when(F.col("_says") == "allow", 1)).alias("a3"), F.count(F.when(F.col("_says") == "block", 1)).alias("b3"))
-
-    def summed(by: list[Column], names: list[str], n: str) -> DataFrame:
-        return three.groupBy(*[c.alias(k) for c, k in zip(by, names, strict=True)]).agg(F.sum("a3").alias(f"a{n}"), F.sum("b3").alias(f"b{n}"))
-
-    before2, before1, last = F.substring("_gram", 1, 2), F.substring("_gram", 2, 1), F.substring("_gram", 3, 1)
-    parts = three.select("*", before2.alias("_xy"), before1.alias("_y"), last.alias("_z"))
-    for names, cols, n in ((["_xy"], [before2], "xy"), (["_y", "_z"], [before1, last], "yz"), (["_y"], [before1], "y"), (["_z"], [last], "z")):
-        parts = parts.join(F.broadcast(summed(cols, names, n)), names)
-    whole = Window.partitionBy()
-    parts = parts.withColumn("_all_a", F.sum("a3").over(whole)).withColumn("_all_b", F.sum("b3").over(whole))
-
-    def log_of(k: str) -> Column:
-        low = (F.col(f"{k}z") + 1.0) / (F.col(f"_all_{k}") + 45.0)
-        mid = (F.col(f"{k}yz") + low * PRIOR) / (F.col(f"{k}y") + PRIOR)
-        return F.log((F.col(f"{k}3") + mid * PRIOR) / (F.col(f"{k}xy") + PRIOR))
-
-    return parts.select("_gram", F.round((log_of("a") - log_of("b")) * 1e6).cast("long").alias("_gain"))
+    """A row a gram: how many millionths likelier its last character is, after the others, in accepted urls. grams: _gram, _a, _b."""
+    full = staged(grams.groupBy("_gram").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")), "url-grams")
+    likely = None
+    for k in range(1, ORDER + 2):
+        level = full.groupBy(F.substring("_gram", ORDER + 2 - k, k).alias("_gram")).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")) if k <= ORDER else full
+        if k == 1:
+            level = staged(level, "url-letters")  # a row a character of the alphabet
+            total = [level.agg(f).scalar() for f in (F.sum("_a"), F.sum("_b"), F.count(F.lit(1)))]
+            likely = level.select("_gram", *[((F.col(f"_{x}") + 1.0) / (total[i] + total[2])).alias(f"_p{x}") for i, x in enumerate("ab")])
+            continue
+        context = Window.partitionBy(F.substring("_gram", 1, k - 1))  # as many rows as the alphabet has characters, at most
+        level = level.select("*", *[F.sum(f"_{x}").over(context).alias(f"_all_{x}") for x in "ab"], F.substring("_gram", 2, k - 1).alias("_shorter"))
+        level = level.join(likely.withColumnRenamed("_gram", "_shorter"), "_shorter")
+        likely = level.select("_gram", *[((F.col(f"_{x}") + F.col(f"_p{x}") * PRIOR) / (F.col(f"_all_{x}") + PRIOR)).alias(f"_p{x}") for x in "ab"])
+    return likely.select("_gram", F.round((F.log("_pa") - F.log("_pb")) * 1e6).cast("long").alias("_gain"))
+
+
+def _cut(urls: DataFrame) -> Column:
+    """The cut, from url scores and how often each url comes; null without urls of either class."""
+    score, n = F.col("score").cast("decimal(19,0)"), F.col("_n").cast("decimal(19,0)")
+
+    def moments(says: str) -> list[Column]:
+        of = F.col("_says") == says
+        return [F.sum(F.when(of, x)).cast("double") for x in (n, n * score, (n * score).cast("decimal(28,0)") * score)]
+
+    sums = urls.agg(*[m.alias(f"{s}{i}") for s in ("allow", "block") for i, m in enumerate(moments(s))])
+    mean = {s: F.col(f"{s}1") / F.col(f"{s}0") for s in ("allow", "block")}
+    apart = {s: F.greatest(F.sqrt(F.greatest(F.col(f"{s}2") / F.col(f"{s}0") - mean[s] * mean[s], F.lit(0.0))), F.lit(1.0)) for s in mean}
+    return sums.select(F.round((mean["allow"] * apart["block"] + mean["block"] * apart["allow"]) / (apart["allow"] + apart["block"])).cast("long").alias("cut")).scalar()
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """A row a page: page_id, host, path, rule, verdict, score (millionths a character), cut."""
-    judged = _judged(pages, rules)
-    model = _model(_grams(judged, "_says"))  # at most MODEL_ROWS rows: see above
-    known = _grams(judged, "_uid").join(F.broadcast(model), "_gram").groupBy("_uid").agg(F.round(F.avg("_gain")).cast("long").alias("score"))
-    scored = judged.drop("_folded").join(known, "_uid", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
+    judged = staged(_judged(pages, rules), "urls-judged")
+    urls = staged(judged.groupBy("_url", "_says").agg(F.count(F.lit(1)).alias("_n")).withColumn("_uid", F.monotonically_increasing_id()), "urls")
+    learnt = urls.select("_url", *[F.when(F.col("_says") == s, F.col("_n")).otherwise(0).alias(x) for s, x in (("allow", "_a"), ("block", "_b"))])
+    gains = salted_join(_grams(urls, "_uid"), staged(_model(_grams(learnt, "_a", "_b")), "url-model"), ["_gram"], F.col("_uid"))
+    known = gains.groupBy("_uid").agg(F.round(F.avg("_gain")).cast("long").alias("score"))
+    scored = staged(urls.join(known, "_uid", "left").select("_url", "_says", "_n", F.coalesce("score", F.lit(0).cast("long")).alias("score")), "url-scores")
+    rows = salted_join(judged, scored.select("_url", "score"), ["_url"], F.col("_row")).withColumn("cut", _cut(scored))
+    passes = F.coalesce(F.col("score") >= F.col("cut"), F.lit(True))
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("_says", F.when(passes, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "score", "cut")
 
-    def of(says: str, f) -> Column:
-        return f(F.when(F.col("_says") == says, F.col("score").cast("double")))
 
-    spread = [F.greatest(of(s, F.stddev_pop), F.lit(1.0)) for s in ("allow", "block")]
-    cut = scored.agg(F.round((of("allow", F.avg) * spread[1] + of("block", F.avg) * spread[0]) / (spread[0] + spread[1])).cast("long").alias("cut")).scalar()
-    passes = F.coalesce(F.col("score") >= F.col("cut"), F.lit(True))
-    return scored.withColumn("cut", cut).select(
-        "page_id", "host", "path", "rule", F.coalesce("_says", F.when(passes, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "score", "cut"
-    )
+def _levels() -> str:
+    """SQL: the counts and likelihoods of each order."""
+    top, out = ORDER + 1, ""
+    for k in range(top - 1, 0, -1):
+        out += f"l{k} AS (SELECT right(g, {k}) AS g, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM l{k + 1} GROUP BY 1),\n"
+    out += "p1 AS (SELECT g, (a + 1e0::DOUBLE) / (sum(a) OVER () + count(*) OVER ())::DOUBLE AS pa, (b + 1e0::DOUBLE) / (sum(b) OVER () + count(*) OVER ())::DOUBLE AS pb FROM l1),\n"
+    for k in range(2, top + 1):
+        p = ", ".join(f"({x} + p{x} * 8e0::DOUBLE) / ((sum({x}) OVER (PARTITION BY left(l{k}.g, {k - 1})))::DOUBLE + 8e0::DOUBLE) AS p{x}" for x in "ab")
+        out += f"p{k} AS (SELECT l{k}.g, {p} FROM l{k} JOIN p{k - 1} ON p{k - 1}.g = right(l{k}.g, {k - 1})),\n"
+    return out
 
 
-ORACLE = r"""
-WITH u AS (SELECT page_id, row_number() OVER () AS uid, coalesce(url, '') AS url FROM pages),
-h AS (SELECT *, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-             regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
-             regexp_replace(regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^a-z0/:.?=&_%#+~,@-]', '*', 'gs') AS folded FROM u),
+ORACLE = (
+    r"""
+WITH h AS (SELECT page_id, url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)),
 r AS (SELECT *, CASE
         WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
         WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'
@@ -100,20 +119,18 @@ r AS (SELECT *, CASE
         WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
         WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule FROM h),
 j AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS says FROM r),
-g AS (SELECT uid, says, substring('^^' || folded, i, 3) AS gram FROM (SELECT uid, says, folded, unnest(range(1, length(folded) + 1)) AS i FROM j)),
-t AS (SELECT gram, gram[1:2] AS xy, gram[2] AS y, gram[3] AS z, count(*) FILTER (says = 'allow') AS a3, count(*) FILTER (says = 'block') AS b3 FROM g GROUP BY gram),
-s AS (SELECT gram, a3, b3, sum(a3) OVER (PARTITION BY xy) AS axy, sum(b3) OVER (PARTITION BY xy) AS bxy,
-             sum(a3) OVER (PARTITION BY y, z) AS ayz, sum(b3) OVER (PARTITION BY y, z) AS byz,
-             sum(a3) OVER (PARTITION BY y) AS ay, sum(b3) OVER (PARTITION BY y) AS by_, sum(a3) OVER (PARTITION BY z) AS az, sum(b3) OVER (PARTITION BY z) AS bz,
-             sum(a3) OVER () AS alla, sum(b3) OVER () AS allb FROM t),
-m AS (SELECT gram, round(1e6::DOUBLE * (
-        ln((a3 + 8e0::DOUBLE * ((ayz + 8e0::DOUBLE * ((az + 1e0::DOUBLE) / (alla + 45e0::DOUBLE))) / (ay + 8e0::DOUBLE))) / (axy + 8e0::DOUBLE))
-      - ln((b3 + 8e0::DOUBLE * ((byz + 8e0::DOUBLE * ((bz + 1e0::DOUBLE) / (allb + 45e0::DOUBLE))) / (by_ + 8e0::DOUBLE))) / (bxy + 8e0::DOUBLE))))::BIGINT AS gain FROM s),
-k AS (SELECT uid, round(avg(gain))::BIGINT AS score FROM g JOIN m USING (gram) GROUP BY uid),
-d AS (SELECT j.*, coalesce(score, 0)::DOUBLE AS score FROM j LEFT JOIN k USING (uid)),
-c AS (SELECT round((avg(score) FILTER (says = 'allow') * greatest(stddev_pop(score) FILTER (says = 'block'), 1e0::DOUBLE)
-                  + avg(score) FILTER (says = 'block') * greatest(stddev_pop(score) FILTER (says = 'allow'), 1e0::DOUBLE))
-             / (greatest(stddev_pop(score) FILTER (says = 'allow'), 1e0::DOUBLE) + greatest(stddev_pop(score) FILTER (says = 'block'), 1e0::DOUBLE)))::BIGINT AS cut FROM d)
-SELECT page_id, host, path, rule, coalesce(says, CASE WHEN coalesce(score >= (SELECT cut FROM c), true) THEN 'allow' ELSE 'block' END) AS verdict,
-       score::BIGINT AS score, (SELECT cut FROM c) AS cut FROM d
+q AS (SELECT url, says, count(*) AS n FROM j GROUP BY url, says),
+c AS (SELECT url, says, n, substring('^^^^^' || url, i, 6) AS g FROM (SELECT url, says, n, unnest(range(1, length(url) + 1)) AS i FROM q)),
+l6 AS (SELECT g, sum(CASE WHEN says = 'allow' THEN n ELSE 0 END)::BIGINT AS a, sum(CASE WHEN says = 'block' THEN n ELSE 0 END)::BIGINT AS b FROM c GROUP BY g),
+"""
+    + _levels()
+    + r"""m AS (SELECT g, round(1e6::DOUBLE * (ln(pa) - ln(pb)))::BIGINT AS gain FROM p6),
+k AS (SELECT url, round(avg(gain))::BIGINT AS score FROM c JOIN m USING (g) GROUP BY url),
+s AS (SELECT url, q.says AS kind, n, coalesce(score, 0) AS score FROM q LEFT JOIN k USING (url)),
+t AS (SELECT kind, sum(n)::DOUBLE AS n, sum(n * score)::DOUBLE / sum(n)::DOUBLE AS mean, sum(n::HUGEINT * score * score)::DOUBLE AS squares FROM s WHERE kind IS NOT NULL GROUP BY kind),
+v AS (SELECT kind, mean, greatest(sqrt(greatest(squares / n - mean * mean, 0e0::DOUBLE)), 1e0::DOUBLE) AS dev FROM t),
+x AS (SELECT round((a.mean * b.dev + b.mean * a.dev) / (a.dev + b.dev))::BIGINT AS cut FROM v a JOIN v b ON a.kind = 'allow' AND b.kind = 'block')
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN coalesce(score >= (SELECT cut FROM x), true) THEN 'allow' ELSE 'block' END) AS verdict,
+       score, (SELECT cut FROM x) AS cut FROM j JOIN s USING (url)
 """
+)
