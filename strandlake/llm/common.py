@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlake.sources.staging import new_folder, shared_dir, staged  # noqa: F401
 
+FILTER_BITS = 1 << 27
+
 
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if it has at most that many rows, else as it is. df should be cheap to count."""
@@ -24,15 +26,17 @@ def _same(left: str, right: str, on: list[str]) -> Column:
     return out
 
 
-def salted_join(df: DataFrame, table: DataFrame, key: list[str], salted_by: Column, salts: int = 64) -> DataFrame:
+def salted_join(df: DataFrame, table: DataFrame, key: list[str], salted_by: Column, salts: int = 64, merge: bool = False) -> DataFrame:
     """df with the columns of table, which has one row a key, however many rows of df have one key. Null keys are equal.
 
-    Rows of df are dealt over ``salts`` parts; table goes to the parts that hold a key, one row for each of them.
+    Rows of df are dealt over ``salts`` parts; table goes to the parts that hold a key, one row for each of them. merge:
+    neither side is broadcast, even where Spark takes it for small.
     """
+    how = (lambda d: d.hint("merge")) if merge else (lambda d: d)
     part, more = "_part", [c for c in table.columns if c not in key]
     df = df.withColumn(part, salt(salted_by, salts))
-    back = df.select(*key, part).distinct().alias("p").join(table.alias("t"), _same("p", "t", key)).select("p.*", *[f"t.{c}" for c in more])
-    return df.alias("d").join(back.alias("b"), _same("d", "b", [*key, part])).select(*[f"d.{c}" for c in df.columns if c != part], *[f"b.{c}" for c in more])
+    back = df.select(*key, part).distinct().alias("p").join(how(table.alias("t")), _same("p", "t", key)).select("p.*", *[f"t.{c}" for c in more])
+    return df.alias("d").join(how(back.alias("b")), _same("d", "b", [*key, part])).select(*[f"d.{c}" for c in df.columns if c != part], *[f"b.{c}" for c in more])
 
 
 def group_lookup(df: DataFrame, key: list[str], salted_by: Column, aggregates: dict[str, tuple[Column, str]], salts: int = 64) -> DataFrame:
@@ -41,6 +45,38 @@ def group_lookup(df: DataFrame, key: list[str], salted_by: Column, aggregates: d
     return salted_join(df, table, key, salted_by, salts)
 
 
+def maybe_among(df: DataFrame, digest: Column, table: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """df with ``_maybe``: whether a row's digest may be one of those in table (column ``_sha``); false is certain.
+
+    A bitmap of ``bits`` bits, in rows of 4 KB, is broadcast whatever the size of table (16 MB at most): where table is
+    small it spares most rows the exchange of a join; where it is large more rows, or all, take it. Results don't depend on it.
+    """
+    place = F.pmod(F.xxhash64("_sha"), F.lit(bits)) + 1
+    rows = table.select(place.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_words")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    rows = staged(rows, "bitmap")
+    at = F.pmod(F.xxhash64(digest), F.lit(bits))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.pmod("_at", F.lit(1 << 15)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("_at", at).join(F.broadcast(rows), F.floor(F.col("_at") / (1 << 15)) + 1 == F.col("_words"), "left")
+    maybe = F.coalesce(F.getbit(byte, F.pmod("_at", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return found.withColumn("_maybe", maybe).drop("_at", "_words", "_bits")
+
+
+def keep_one(docs: DataFrame, gone: DataFrame, twins: DataFrame, digest: Column) -> DataFrame:
+    """docs without the rows that others stand for. gone: their doc_id and text (``_id``, ``_sha``), some pairs each other's
+    copies; twins: the pairs that stay and that several rows have, of which one stays. Both are staged tables.
+
+    Only rows whose text may be in one of these are exchanged, by id and text, so no group of copies is one key.
+    """
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"), digest.alias("_digest"))
+    rows = maybe_among(rows, F.col("_digest"), gone.select("_sha").unionByName(twins.select("_sha")))
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
+    asked = rows.where("_maybe").join(gone.hint("merge"), same, "left_anti")
+    if twins.limit(1).count():
+        asked = asked.join(twins.hint("merge"), same, "left")
+        asked = asked.where("_sha is null").unionByName(asked.where("_sha is not null").dropDuplicates(["_key", "_digest"]))
+    return rows.where("not _maybe").select("_row.*").unionByName(asked.select("_row.*"))
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of edges (a long, b long): one row (node, root) a node, root its smallest node.
 

@@ -64,7 +64,7 @@ def _model(grams: DataFrame) -> DataFrame:
             continue
         context = Window.partitionBy(F.substring("_gram", 1, k - 1))  # as many rows as the alphabet has characters, at most
         level = level.select("*", *[F.sum(f"_{x}").over(context).alias(f"_all_{x}") for x in "ab"], F.substring("_gram", 2, k - 1).alias("_shorter"))
-        level = level.join(likely.withColumnRenamed("_gram", "_shorter"), "_shorter")
+        level = level.join(likely.withColumnRenamed("_gram", "_shorter").hint("merge"), "_shorter")
         likely = level.select("_gram", *[((F.col(f"_{x}") + F.col(f"_p{x}") * PRIOR) / (F.col(f"_all_{x}") + PRIOR)).alias(f"_p{x}") for x in "ab"])
     return likely.select("_gram", F.round((F.log("_pa") - F.log("_pb")) * 1e6).cast("long").alias("_gain"))
 
@@ -88,10 +88,10 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     judged = staged(_judged(pages, rules), "urls-judged")
     urls = staged(judged.groupBy("_url", "_says").agg(F.count(F.lit(1)).alias("_n")).withColumn("_uid", F.monotonically_increasing_id()), "urls")
     learnt = urls.select("_url", *[F.when(F.col("_says") == s, F.col("_n")).otherwise(0).alias(x) for s, x in (("allow", "_a"), ("block", "_b"))])
-    gains = salted_join(_grams(urls, "_uid"), staged(_model(_grams(learnt, "_a", "_b")), "url-model"), ["_gram"], F.col("_uid"))
+    gains = salted_join(_grams(urls, "_uid"), staged(_model(_grams(learnt, "_a", "_b")), "url-model"), ["_gram"], F.col("_uid"), merge=True)
     known = gains.groupBy("_uid").agg(F.round(F.avg("_gain")).cast("long").alias("score"))
-    scored = staged(urls.join(known, "_uid", "left").select("_url", "_says", "_n", F.coalesce("score", F.lit(0).cast("long")).alias("score")), "url-scores")
-    rows = salted_join(judged, scored.select("_url", "score"), ["_url"], F.col("_row")).withColumn("cut", _cut(scored))
+    scored = staged(urls.join(known.hint("merge"), "_uid", "left").select("_url", "_says", "_n", F.coalesce("score", F.lit(0).cast("long")).alias("score")), "url-scores")
+    rows = salted_join(judged, scored.select("_url", "score"), ["_url"], F.col("_row"), merge=True).withColumn("cut", _cut(scored))
     passes = F.coalesce(F.col("score") >= F.col("cut"), F.lit(True))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("_says", F.when(passes, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "score", "cut")
 
