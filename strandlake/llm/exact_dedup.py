@@ -11,7 +11,7 @@ An entry is verified by SHA-256, the number of bytes and a second, independent 6
 only if all three agree.
 
 Edge cases: a null text equals the empty text. Of equal texts the row with the largest doc_id stays (or the smallest, by
-``keep``); null ids lose to all others; of rows with the same id and text exactly one stays. An empty table gives an
+``keep``); texts may have any length, only digests travel; null ids lose to all others; of rows with the same id and text exactly one stays. An empty table gives an
 empty table. Other columns are ignored by ``exact_groups`` and pass through ``drop_exact_copies``.
 """
 
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import staged
+from strandlake.llm.common import keep_one, staged
 
 FAN_IN = 16
 _KEY = ["_sha", "_bytes", "_check"]
@@ -55,14 +55,10 @@ def exact_groups(docs: DataFrame, keep: str = "largest", fan_in: int = FAN_IN) -
 
 def drop_exact_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """docs without the rows that ``exact_groups`` does not keep."""
-    groups = staged(exact_groups(docs, keep), "exact-groups")
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_twins"))
-    stay = staged(stay, "exact-kept")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"), _digest()[0].alias("_digest"))
-    rows = rows.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")))
-    if stay.where("_twins > 1").limit(1).count():  # rows with the same id and text
-        rows = rows.where("_twins = 1").unionByName(rows.where("_twins > 1").dropDuplicates(["_key", "_digest"]))
-    return rows.select("_row.*")
+    several = exact_groups(docs, keep).where("group_size > 1").select(F.col("doc_id").alias("_id"), "keep_id", F.unhex("text_sha256").alias("_sha"))
+    pairs = staged(several.groupBy("_id", "_sha", "keep_id").agg(F.count(F.lit(1)).alias("_n")), "exact-several")
+    stays = F.col("_id").eqNullSafe(F.col("keep_id"))
+    return keep_one(docs, pairs.where(~stays).select("_id", "_sha"), pairs.where(stays & (F.col("_n") > 1)).select("_id", "_sha"), _digest()[0])
 
 
 ORACLE = """

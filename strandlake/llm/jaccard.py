@@ -12,10 +12,12 @@ Jaccard similarity of their sets is ``THRESHOLD`` or more. Equal texts are one t
 3. In each cluster all pairs are pruned in the same way and what stays is verified exactly, on the sets themselves. That
    gives each text its number of links, and the clusters fall apart into the classes that links connect.
 
-A key or cluster with more than ``SIDE`` texts is cut into blocks, and each pair of blocks is a group of its own, so no task
-holds more than two blocks. Groups compare in arrays and give a row a text: pairs are never rows.
+A key with more than ``KEY_SIDE`` texts, or a cluster with more than ``CLUSTER_SIDE``, is cut into blocks, and each pair of
+blocks is a group of its own, so no task holds more than two blocks. Groups compare in arrays and give a row a text: pairs
+are never rows. Exact sets are of runs numbered by their words, no hashes. Texts that are in no cluster stay where they
+are: a bitmap of bounded size sorts most of them out before the exchange.
 
-Edge cases: a null text is the empty text, which has no runs and no links, only copies; rows with equal text are copies of
+Edge cases: texts may have any length (a group of long texts takes as much more memory); a null text is the empty text, which has no runs and no links, only copies; rows with equal text are copies of
 each other, whatever their id; a null id is never the name of a class with other ids. An empty table gives an empty table.
 Other columns are ignored by ``near_copies`` and pass through ``drop_near_copies``.
 """
@@ -30,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import components, salted_join, staged
+from strandlake.llm.common import components, keep_one, maybe_among, salted_join, staged
 from strandlake.llm.substring import Words, _mixed
 
-SHINGLE, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE, MISSED, SIDE = 5, 0.8, 128, 4, 16, 1e-6, 1e-7, 1024
+SHINGLE, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE, MISSED = 5, 0.8, 128, 4, 16, 1e-6, 1e-7
+KEY_SIDE, CLUSTER_SIDE = 1024, 256
 BLOCK_BYTES, CHUNK_ROWS, SLICE_ROWS = 2 << 20, 20_000, 500
 _SEEDS = _mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _XOR, _TIMES = _SEEDS[:HASHES].astype(np.uint32), _SEEDS[HASHES:].astype(np.uint32) | np.uint32(1)
@@ -77,16 +80,40 @@ def _in_blocks(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
 
 def shingles(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of words of texts, and how many each text has; in the order of the texts."""
-    parts = [_shingles(block, size) for block in _in_blocks(texts)]
+    parts = [_shingles(Words(block), size) for block in _in_blocks(texts)]
     return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
 
 
-def _shingles(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
-    w = Words(texts)
+def _shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     at = [w.runs(size), *(w.first[w.count == n] for n in range(1, size))]
     h = np.concatenate([w.hashes(a, n) for a, n in zip(at, [size, *range(1, size)], strict=True)])
     doc = np.concatenate([w.doc[a] for a in at]) if len(w.doc) else np.zeros(0, np.int64)
-    return h[np.argsort(doc, kind="stable")], np.bincount(doc, minlength=len(texts))
+    return h[np.argsort(doc, kind="stable")], np.bincount(doc, minlength=len(w.count))
+
+
+def numbered_runs(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(number, text) of each run of words: runs have the same number if, and only if, their words are the same.
+
+    Words are numbered by the words themselves; a longer run by its first part and its last word, a power of two at a time.
+    """
+    at, code, length = w.runs(size), w.id, 1
+    while 2 * length <= size:
+        n = len(code) - length
+        code = _numbers(code[:n] if n > 0 else code[:0], code[length:])
+        length *= 2
+    last = code[at] if len(at) else np.zeros(0, np.int64)
+    for k in range(length, size):
+        last = _numbers(last, w.id[at + k])
+    short = np.flatnonzero((w.count > 0) & (w.count < size))  # a text below the size is one run
+    whole: dict[tuple[int, ...], int] = {}
+    base = int(last.max()) + 1 if len(last) else 0
+    own = np.array([base + whole.setdefault(tuple(w.id[a : a + n].tolist()), len(whole)) for a, n in zip(w.first[short], w.count[short], strict=True)], np.int64)
+    return np.concatenate((last, own)), np.concatenate((w.doc[at], short))
+
+
+def _numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair, the same for equal pairs."""
+    return np.unique(a * (b.max() + 1 if len(b) else 1) + b, return_inverse=True)[1]
 
 
 def signatures(h: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -166,9 +193,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int, size: Callable[[p
         yield t.combine_chunks()
 
 
-def _blocks(df: DataFrame, key: str, n: str) -> DataFrame:
-    """A row for each group that a row belongs to: _group and _side. n: how many rows its key has."""
-    count = F.ceil(F.col(n) / SIDE).cast("int")
+def _blocks(df: DataFrame, key: str, n: str, most: int) -> DataFrame:
+    """A row for each group that a row belongs to: _group and _side. n: how many rows its key has; most: rows a block."""
+    count = F.ceil(F.col(n) / most).cast("int")
     mine = F.pmod(F.xxhash64("node", key), F.col("_count")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_count") - 1))
     out = df.withColumn("_count", count).withColumn("_mine", mine).withColumn("_other", other)
@@ -206,7 +233,7 @@ def _clusters(texts: DataFrame, threshold: float) -> DataFrame:
     least = least_matches(threshold)
     keys = texts.select("node", F.explode("keys").alias("key"))
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = _blocks(keys.join(several, "key"), "key", "n").join(texts.select("node", "sig"), "node").select("_group", "_side", "node", "sig")
+    held = _blocks(keys.join(several, "key"), "key", "n", KEY_SIDE).join(texts.select("node", "sig"), "node").select("_group", "_side", "node", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, CHUNK_ROWS):
@@ -224,7 +251,7 @@ def _clusters(texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """Exact links in groups. rows: _group, _side, node, copies, text. A row a text and group: node, links, documents, root."""
+    """Exact links in groups. rows: _group, _side, node, copies, sig, text. A row a text and group: node, links, documents, root."""
     least = least_matches(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,15 +261,13 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             once = order[np.concatenate(([True], (np.diff(node[order]) != 0) | (np.diff(group[order]) != 0)))]  # a row repeated with its id
             t = t.take(pa.array(once))
             group, node, side, copies = (t.column(c).to_numpy() for c in ("_group", "node", "_side", "copies"))
-            h, n = shingles(t.column("text").cast(pa.binary()).to_pylist())
-            sig = signatures(h, n).astype(np.uint8)
-            key = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, key))
-            h, key = h[order], key[order]
-            own = np.concatenate(([True], (np.diff(key) != 0) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)
-            _, word = np.unique(h[own], return_inverse=True)
-            n = np.bincount(key[own], minlength=len(n))
-            first, mark = np.cumsum(n) - n, np.zeros(word.max() + 1 if len(word) else 0, np.int64)
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+            word, key = numbered_runs(Words(t.column("text").cast(pa.binary()).to_pylist()))
+            order = np.lexsort((word, key))
+            word, key = word[order], key[order]
+            own = np.concatenate(([True], (np.diff(key) != 0) | (np.diff(word) != 0))) if len(word) else np.zeros(0, bool)
+            word, n = word[own], np.bincount(key[own], minlength=len(node))
+            first, mark = np.cumsum(n) - n, np.zeros(int(word.max()) + 1 if len(word) else 0, np.int64)
             links, documents, label = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.arange(len(n))
             for a, b in group_pairs(group, side):
                 near = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
@@ -280,10 +305,12 @@ def _joined(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         signed.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies")), "jaccard-texts"
     )
     firsts = signed.join(texts.select(F.col("node").alias("uid")), "uid").where("keys is not null").select(F.col("uid").alias("node"), "sig", "keys")
-    clustered = staged(_clusters(firsts, threshold).join(texts, "node").select("node", "root", "members", "digest", "rep_id", "copies"), "jaccard-clustered")
+    clusters = _clusters(firsts, threshold).join(firsts.select("node", "sig"), "node")
+    clustered = staged(clusters.join(texts, "node").select("node", "root", "members", "sig", "digest", "rep_id", "copies"), "jaccard-clustered")
     rows = docs.select(F.col("doc_id").alias("_id"), _digest(), F.col("text").cast("string").alias("text"))
+    rows = maybe_among(rows, F.col("digest"), clustered.select(F.col("digest").alias("_sha"))).where("_maybe").drop("_maybe")
     rows = rows.join(clustered.hint("merge"), (F.col("_id").eqNullSafe(F.col("rep_id"))) & (rows["digest"] == clustered["digest"]))
-    found = staged(_verified(_blocks(rows, "root", "members").select("_group", "_side", "node", "copies", "text"), threshold), "jaccard-links")
+    found = staged(_verified(_blocks(rows, "root", "members", CLUSTER_SIDE).select("_group", "_side", "node", "copies", "sig", "text"), threshold), "jaccard-links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"), F.sum("documents").alias("n_linked_docs"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-classes")
     out = texts.join(links, "node", "left").join(roots, "node", "left")
@@ -306,14 +333,14 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that with the smallest doc_id."""
-    _, texts = _joined(docs, threshold)
-    best = F.min(F.struct(F.col("rep_id").isNull().alias("unknown"), "rep_id", "digest", F.col("copies"))).alias("best")
-    stay = staged(texts.groupBy("root").agg(best).select(F.col("best.rep_id").alias("_id"), F.col("best.digest").alias("_sha"), F.col("best.copies").alias("_twins")), "jaccard-kept")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"), _digest().alias("_digest"))
-    rows = rows.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")))
-    if stay.where("_twins > 1").limit(1).count():  # equal texts may share their id
-        rows = rows.where("_twins = 1").unionByName(rows.where("_twins > 1").dropDuplicates(["_key", "_digest"]))
-    return rows.select("_row.*")
+    rows, texts = _joined(docs, threshold)
+    best = F.min(F.struct(F.col("rep_id").isNull().alias("unknown"), "rep_id", "digest")).alias("best")
+    classes = texts.groupBy("root").agg(best, F.sum("copies").alias("rows")).where("rows > 1").select("root", "best.rep_id", F.col("best.digest").alias("best"))
+    several = texts.select("digest", "root").join(classes, "root").select("digest", "rep_id", (F.col("digest") == F.col("best")).alias("first"))
+    several = salted_join(rows, several, ["digest"], F.col("uid"))
+    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep_id"))
+    pairs = staged(several.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha"), stays.alias("stays")).agg(F.count(F.lit(1)).alias("_n")), "jaccard-several")
+    return keep_one(docs, pairs.where("not stays").select("_id", "_sha"), pairs.where("stays and _n > 1").select("_id", "_sha"), _digest())
 
 
 ORACLE = r"""

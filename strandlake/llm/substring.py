@@ -7,21 +7,27 @@ the block and in the text of the probe, and windows with equal words are compare
 windows of a document cover together are its maximal repeats. A word is removed if it lies in a window that also starts in
 a document with a smaller id.
 
-How it is spread: documents are dealt by id into batches of about ``BATCH_BYTES``. A batch sends the distinct hashes of its
-probes and blocks, packed, to buckets of the hash; a bucket answers with the anchors that several batches share. Then a
-batch sends the distinct windows around its anchors, each with its smallest document, and gets back a bit a window:
-whether another batch has a smaller one. Passages of many documents are thus folded to one entry a batch before each
-exchange; no pairs are made. Hashes are 64 bits of a polynomial over the bytes of the words; probes travel as 48 bits,
-which can only add anchors, and windows as all 64.
+How it is spread: documents are dealt by id and text into batches of about ``BATCH_BYTES``. A batch sends the distinct
+hashes of its probes and blocks, packed, to buckets of the hash; a bucket answers with the anchors that several batches
+share. Then a batch sends the distinct windows around its anchors, each with its smallest document, and gets back a bit a
+window: whether another batch has a smaller one. Passages of many documents are thus folded to one entry a batch before
+each exchange; no pairs are made. Rows of an exchange are made and read by array operations, however many buckets there
+are; a batch sends one row a bucket, but never more rows than it has probes.
+
+Words are hashed by BLAKE2b to 128 bits and a run of words by two polynomials of these, mod 2^64 each, so windows are
+equal by 128 bits in which every word counts as a whole. Probes travel as 48 bits, which can only add anchors.
 
 Edge cases: a null text has no words; rows with the same id don't remove each other's words; a null id counts as larger
-than every other; texts shorter than a window stay whole; an empty table gives an empty table. Other columns are ignored.
+than every other, and rows with null ids are dealt by their texts; rows that agree in id and text share a batch. A text of
+any length is taken whole: one beyond ``BATCH_BYTES`` makes its batch as large as it is. Texts shorter than a window stay
+whole; an empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, BATCH_BYTES, BUCKET_BYTES, MOST_BUCKETS = 50, 2 << 20, 16 << 20, 1 << 15
-_MASK, _BASE, _LAST = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1, (1 << 63) - 1
+_BASES, _LAST = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (1 << 63) - 1
 _STEP = np.uint64((1 << 32) - 1)
 
 
@@ -40,38 +46,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers.get("up", ())) < n:
-        n += n // 4
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+def _power(part: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers (or more) of a base and of its inverse."""
+    if part not in _powers or len(_powers[part][0]) < n:
+        n += n // 4 + 1
+        both = []
+        for base in (_BASES[part], pow(_BASES[part], -1, 1 << 64)):
             p = np.full(n, base, np.uint64)
             p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+            both.append(np.multiply.accumulate(p))
+        _powers[part] = both[0], both[1]
+    return _powers[part]
 
 
 class Words:
-    """The words of some texts in a row, joined by single spaces, with hashes of runs of words."""
+    """The words of some texts, one text after the other, with hashes of runs of words."""
 
     def __init__(self, texts: list[bytes | None]):
-        self.parts = [b" ".join((t or b"").split()) for t in texts]
-        self.bytes = b"\n".join(self.parts)
-        a = np.frombuffer(self.bytes, np.uint8)
-        gap = np.flatnonzero((a == 32) | (a == 10))
-        starts, ends = np.concatenate(([0], gap + 1)), np.concatenate((gap, [len(a)]))
-        doc = np.concatenate(([0], np.cumsum(a[gap] == 10)))
-        real = ends > starts
-        self.start, self.end, self.doc = starts[real], ends[real], doc[real]
-        up, _ = _power(len(a) + 1)
-        self.sums = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(_BYTE[a] * up[: len(a)], out=self.sums[1:])
-        self.count = np.bincount(self.doc, minlength=len(texts))
+        split = [(t or b"").split() for t in texts]
+        self.count = np.fromiter(map(len, split), np.int64, len(split))
         self.first = np.cumsum(self.count) - self.count
+        self.doc = np.repeat(np.arange(len(split)), self.count)
+        self.words = list(chain.from_iterable(split))
+        index: dict[bytes, int] = {}
+        self.id = np.fromiter((index.setdefault(w, len(index)) for w in self.words), np.int64, len(self.words))
+        self.distinct = list(index)
+        digests = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in index), np.uint64).reshape(-1, 2)
+        self.hash_of = np.ascontiguousarray(digests.T)
+        self.sums: list[np.ndarray | None] = [None, None]
 
     def runs(self, n: int) -> np.ndarray:
         """The words that begin a run of n words in one text."""
@@ -79,29 +84,63 @@ class Words:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self.doc[n - 1 :] == self.doc[: len(self.doc) - n + 1])
 
-    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
-        s, e = self.start[at], self.end[at + n - 1]
-        return _mixed((self.sums[e] - self.sums[s]) * _power(len(self.bytes) + 1)[1][s])
+    def hashes(self, at: np.ndarray, n: int, part: int = 0) -> np.ndarray:
+        """64 bits of the runs of n words from at on; part 0 and 1 are independent of each other."""
+        up, down = _power(part, len(self.id) + 1)
+        if self.sums[part] is None:
+            sums = np.zeros(len(self.id) + 1, np.uint64)
+            np.cumsum(self.hash_of[part][self.id] * up[: len(self.id)], out=sums[1:])
+            self.sums[part] = sums
+        return _mixed((self.sums[part][at + n] - self.sums[part][at]) * down[at])
+
+    def joined(self, start: int, end: int) -> bytes:
+        return b" ".join(self.words[start:end])
+
+
+def bucket_floors(buckets: int) -> np.ndarray:
+    """The smallest 48-bit key of each bucket, and the end of the last."""
+    return np.array([-(-(i << 48) // buckets) for i in range(buckets + 1)], np.uint64)
+
+
+def _column(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column over data; ends: where each row ends, in bytes."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def bucket_floor(bucket: int, buckets: int) -> int:
-    """The smallest 48-bit key of a bucket."""
-    return -(-(bucket << 48) // buckets)
+def _cells(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, one row after the other, and the size of each row."""
+    parts, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for c in column.chunks:
+        if len(c):
+            _, ends, data = c.buffers()
+            ends = np.frombuffer(ends, np.int32)[c.offset : c.offset + len(c) + 1]
+            parts.append(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else parts[0])
+            sizes.append(np.diff(ends).astype(np.int64))
+    return np.concatenate(parts), np.concatenate(sizes)
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct numbers as 32-bit steps; a long step is cut by numbers that stand for nothing."""
-    if not len(keys):
-        return b""
+def pack(keys: np.ndarray, ends: np.ndarray, floors: np.ndarray) -> pa.Array:
+    """Sorted distinct numbers of each row as 32-bit steps from the row's floor; ends: where each row's numbers end. A long
+    step is cut by numbers that stand for nothing."""
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else np.zeros(0, np.int64)
     step = np.diff(keys, prepend=np.uint64(0))
+    real = ends > starts
+    step[starts[real]] = keys[starts[real]] - floors[real]
     cuts = (step // _STEP).astype(np.int64)
-    out = np.full(len(keys) + int(cuts.sum()), _STEP, np.uint64)
-    out[np.cumsum(cuts + 1) - 1] = step % _STEP
-    return out.astype(np.uint32).tobytes()
+    upto = np.cumsum(cuts + 1)
+    out = np.full(int(upto[-1]) if len(upto) else 0, _STEP, np.uint64)
+    out[upto - 1] = step % _STEP
+    return _column(out.astype(np.uint32), 4 * np.concatenate(([0], upto))[ends])
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, np.uint32).astype(np.uint64))
+def unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, counted from each row's floor, and their rows."""
+    data, sizes = _cells(column)
+    n = sizes // 4
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data.view(np.uint32), dtype=np.uint64)))
+    row = np.repeat(np.arange(len(n)), n)
+    return upto[1:] - upto[np.cumsum(n) - n][row], row
 
 
 def _within(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -118,7 +157,7 @@ class Batch:
         docs = docs.combine_chunks()
         ids = docs.column("doc_id").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: _LAST if ids[i] is None else ids[i])
-        self.window, self.block, self.buckets = window, (window + 1) // 2, buckets
+        self.window, self.block, self.floors = window, (window + 1) // 2, bucket_floors(buckets)
         self.rows = [ids[i] for i in order]
         texts = docs.column("text").cast(pa.binary()).to_pylist()
         self.words = w = Words([texts[i] for i in order])
@@ -127,18 +166,13 @@ class Batch:
         self.key = w.hashes(self.at, self.block) >> np.uint64(16)
         self.anchor = (self.at - w.first[w.doc[self.at]]) % self.block == 0
 
-    def cut(self, keys: np.ndarray) -> np.ndarray:
-        """Where the buckets of sorted 48-bit keys begin and end."""
-        return np.searchsorted(keys, np.array([bucket_floor(i, self.buckets) for i in range(self.buckets + 1)], np.uint64))
-
-    def probes(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(bucket, packed probes, packed blocks), counted from the smallest key of the bucket."""
+    def probes(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(buckets, packed probes, packed blocks) of the buckets that the batch has probes for."""
         keys, blocks = np.unique(self.key), np.unique(self.key[self.anchor])
-        k, b = self.cut(keys), self.cut(blocks)
-        for i in range(self.buckets):
-            if k[i] < k[i + 1]:
-                low = np.uint64(bucket_floor(i, self.buckets))
-                yield i, pack(keys[k[i] : k[i + 1]] - low), pack(blocks[b[i] : b[i + 1]] - low)
+        k = np.searchsorted(keys, self.floors)
+        some = np.flatnonzero(k[1:] > k[:-1])
+        ends, floors = k[some + 1], self.floors[some]
+        return some, pack(keys, ends, floors), pack(blocks, np.searchsorted(blocks, self.floors)[some + 1], floors)
 
     def extended(self, shared: np.ndarray) -> None:
         """Finds the windows around the shared anchors: their words, documents and hashes, and the distinct hashes in order."""
@@ -154,26 +188,25 @@ class Batch:
         upto = np.cumsum(hit)
         at = w.runs(self.window)
         self.windows = at = at[upto[at + self.window - self.block + 1] > upto[at]]
-        h = w.hashes(at, self.window)
-        self.hash, self.of = np.unique(h, return_inverse=True)
+        self.hash, self.of = _distinct(w.hashes(at, self.window), w.hashes(at, self.window, 1))
         self.least = np.full(len(self.hash), _LAST, np.int64)
         np.minimum.at(self.least, self.of, self.ids[w.doc[at]])
-        self.bounds = self.cut(self.hash >> np.uint64(16))
+        self.bounds = np.searchsorted(self.hash[:, 0] >> np.uint64(16), self.floors)
 
-    def asked(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(bucket, window hashes, their smallest ids)."""
-        for i in range(self.buckets):
-            a, b = self.bounds[i], self.bounds[i + 1]
-            if a < b:
-                least = self.least[a:b]
-                yield i, self.hash[a:b].tobytes(), (least.astype(np.uint32) if 0 <= least.min() and least.max() < 1 << 32 else least).tobytes()
+    def asked(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(buckets, window hashes, their smallest ids, in 4 bytes each if all of the batch fit)."""
+        some = np.flatnonzero(self.bounds[1:] > self.bounds[:-1])
+        ends, short = self.bounds[some + 1], not len(self.least) or (0 <= self.least.min() and self.least.max() < 1 << 32)
+        least = self.least.astype(np.uint32) if short else self.least
+        return some, _column(self.hash, 16 * ends), _column(least, least.itemsize * ends)
 
-    def covered(self, answers: dict[int, bytes]) -> np.ndarray:
-        """Which words are removed. answers: bucket -> a bit a window: whether another batch has a smaller document."""
+    def covered(self, buckets: np.ndarray, bits: pa.ChunkedArray) -> np.ndarray:
+        """Which words are removed. bits, of some buckets: a bit a window, whether another batch has a smaller document."""
         w, before = self.words, np.zeros(len(self.hash), bool)
-        for i, bits in answers.items():
+        data, sizes = _cells(bits)
+        for i, end, size in zip(buckets.tolist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
             a, b = self.bounds[i], self.bounds[i + 1]
-            before[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+            before[a:b] = np.unpackbits(data[end - size : end], count=b - a)
         gone = self.windows[before[self.of] | (self.ids[w.doc[self.windows]] > self.least[self.of])]
         edge = np.zeros(len(w.doc) + 1, np.int64)
         np.add.at(edge, gone, 1)
@@ -184,76 +217,98 @@ class Batch:
         """A document at a time, as in ``rows``: words, removed words, their spans, the kept words joined."""
         w = self.words
         lost = np.bincount(w.doc[removed], minlength=len(self.rows))
-        for i, (n, gone) in enumerate(zip(w.count.tolist(), lost.tolist(), strict=True)):
+        for a, n, gone in zip(w.first.tolist(), w.count.tolist(), lost.tolist(), strict=True):
             if not gone:
-                yield n, 0, [], w.parts[i]
+                yield n, 0, [], w.joined(a, a + n)
                 continue
-            a = int(w.first[i])
             flips = np.flatnonzero(np.diff(removed[a : a + n].astype(np.int8), prepend=0, append=0)).tolist()
             spans = list(zip(flips[::2], flips[1::2], strict=True))
             stays = [(x, y) for x, y in zip([0, *flips[1::2]], [*flips[::2], n], strict=True) if x < y]
-            yield n, gone, spans, b" ".join(w.bytes[w.start[a + x] : w.end[a + y - 1]] for x, y in stays)
+            yield n, gone, spans, b" ".join(w.joined(a + x, a + y) for x, y in stays)
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs in order, a row each, and which of them each pair is."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+    of = np.empty(len(a), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return np.stack((a[new], b[new]), 1), of
 
 
 def _shared_anchors(table: pa.Table, buckets: int) -> pa.Table:
     """Of a bucket: the probes that lie in a block and come from two batches, for each batch."""
-    batches, probes, blocks = (table.column(c).to_pylist() for c in ("batch", "probes", "blocks"))
-    index = np.unique(np.concatenate([unpack(b) for b in blocks]))
-    hits = [(k := unpack(p))[_within(k, index)] for p in probes]
-    keys, n = np.unique(np.concatenate(hits), return_counts=True)
-    keys, low = keys[n > 1], np.uint64(bucket_floor(table.column("bucket")[0].as_py(), buckets))
-    own = [(h[_within(h, keys)] + low).tobytes() for h in hits]
-    return _answers([(b, -1, o) for b, o in zip(batches, own, strict=True) if o])
+    keys, row = unpack(table.column("probes"))
+    hit = _within(keys, np.unique(unpack(table.column("blocks"))[0]))
+    keys, row = keys[hit], row[hit]
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    shared = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(order) else order
+    shared = shared[np.lexsort((keys[shared], row[shared]))]
+    rows, n = np.unique(row[shared], return_counts=True)
+    floor = bucket_floors(buckets)[table.column("bucket")[0].as_py()]
+    batch = table.column("batch").to_numpy()[rows]
+    return pa.table({"batch": pa.array(batch), "bucket": pa.array(np.full(len(rows), -1, np.int32)), "answer": _column(keys[shared] + floor, 8 * np.cumsum(n))})
 
 
 def _smaller_elsewhere(table: pa.Table) -> pa.Table:
     """Of a bucket: for each batch a bit a window, whether another batch has it in a smaller document."""
-    batches, hashes, ids = (table.column(c).to_pylist() for c in ("batch", "probes", "blocks"))
-    h = [np.frombuffer(x, np.uint64) for x in hashes]
-    d = [np.frombuffer(x, np.int64 if len(x) == 8 * len(k) else np.uint32).astype(np.int64) for x, k in zip(ids, h, strict=True)]
-    every, of = np.unique(np.concatenate(h), return_inverse=True)
+    data, sizes = _cells(table.column("probes"))
+    h, n = data.view(np.uint64).reshape(-1, 2), sizes // 16
+    ids, widths = _cells(table.column("blocks"))
+    short = widths == 4 * n
+    if short.all() or not short.any():
+        ids = ids.view(np.uint32 if short.all() else np.int64).astype(np.int64)
+    else:
+        ends = np.cumsum(widths)
+        ids = np.concatenate([ids[e - w : e].view(np.uint32 if s else np.int64).astype(np.int64) for e, w, s in zip(ends, widths, short, strict=True)])
+    every, of = _distinct(np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]))
     least = np.full(len(every), _LAST, np.int64)
-    np.minimum.at(least, of, np.concatenate(d))
-    smaller = np.split(least[of] < np.concatenate(d), np.cumsum([len(x) for x in h])[:-1])
-    bucket = table.column("bucket")[0].as_py()
-    return _answers([(b, bucket, np.packbits(s).tobytes()) for b, s in zip(batches, smaller, strict=True) if s.any()])
-
-
-def _answers(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.table({"batch": pa.array(cols[0], pa.int64()), "bucket": pa.array(cols[1], pa.int32()), "answer": pa.array(cols[2], pa.binary())})
+    np.minimum.at(least, of, ids)
+    smaller = least[of] < ids
+    row = np.repeat(np.arange(len(n)), n)
+    rows = np.unique(row[smaller])
+    size = -(-n // 8)[rows]  # the answers begin at whole bytes
+    begin = np.zeros(len(n), np.int64)
+    begin[rows] = np.cumsum(size) - size
+    bits = np.zeros(8 * int(size.sum()), np.uint8)
+    place = 8 * begin[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    bits[place[smaller]] = 1
+    batch = table.column("batch").to_numpy()[rows]
+    bucket = np.full(len(rows), table.column("bucket")[0].as_py(), np.int32)
+    return pa.table({"batch": pa.array(batch), "bucket": pa.array(bucket), "answer": _column(np.packbits(bits), np.cumsum(size))})
 
 
-def _asking(batch: int, rows: Iterator[tuple[int, bytes, bytes]]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.table({"bucket": pa.array(cols[0], pa.int32()), "batch": pa.array([batch] * len(cols[0]), pa.int64()), "probes": pa.array(cols[1], pa.binary()), "blocks": pa.array(cols[2], pa.binary())})
+def _asking(batch: int, buckets: np.ndarray, probes: pa.Array, blocks: pa.Array) -> pa.Table:
+    return pa.table({"bucket": pa.array(buckets.astype(np.int32)), "batch": pa.array(np.full(len(buckets), batch, np.int64)), "probes": probes, "blocks": blocks})
 
 
 def _anchors(answers: pa.Table) -> np.ndarray:
-    found = [np.frombuffer(a, np.uint64) for a, b in zip(answers.column("answer").to_pylist(), answers.column("bucket").to_pylist(), strict=True) if b < 0]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    found = answers.filter(pa.array(answers.column("bucket").to_numpy() < 0))
+    return np.unique(_cells(found.column("answer"))[0].view(np.uint64))
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """A row a document: doc_id, n_words, n_removed, spans (of removed words, ends excluded), and kept_sha256 or, with texts, kept_text."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     batches = max(1, -(-size // batch_bytes))
-    buckets = int(min(MOST_BUCKETS, max(8, -(-size // BUCKET_BYTES))))
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
+    buckets = int(min(MOST_BUCKETS, max(8, -(-size // bucket_bytes))))
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
 
     def ask_anchors(table: pa.Table) -> pa.Table:
-        return _asking(table.column("batch")[0].as_py(), Batch(table, window, buckets).probes())
+        return _asking(table.column("batch")[0].as_py(), *Batch(table, window, buckets).probes())
 
     def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         b = Batch(table, window, buckets)
         b.extended(_anchors(answers))
-        return _asking(table.column("batch")[0].as_py(), b.asked())
+        return _asking(table.column("batch")[0].as_py(), *b.asked())
 
     def resolve(table: pa.Table, answers: pa.Table) -> pa.Table:
         b = Batch(table, window, buckets)
         b.extended(_anchors(answers))
-        bits = {k: a for k, a in zip(answers.column("bucket").to_pylist(), answers.column("answer").to_pylist(), strict=True) if k >= 0}
-        n, gone, spans, kept = zip(*b.kept(b.covered(bits)), strict=True)
+        bits = answers.filter(pa.array(answers.column("bucket").to_numpy() >= 0))
+        n, gone, spans, kept = zip(*b.kept(b.covered(bits.column("bucket").to_numpy(), bits.column("answer"))), strict=True)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.table({
             "doc_id": pa.array(b.rows, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()),
