@@ -1,27 +1,33 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are pairs of character classes (next to each other, and one apart) and marks of repetition: words equal to
-one of the words before, words and lines seen before in the text, by tenths of all. Terms are weighted by log frequency
-and inverse document frequency and the vectors scaled to length 1. A truncated singular value decomposition of the
+A text's terms are its words and its runs of three bytes, hashed to ``HASHED`` places each, pairs of character classes
+(next to each other, and one apart), and marks of repetition: words equal to one of the words before, words and lines seen
+before in the text, by tenths of all. Terms are weighted by log frequency and inverse document frequency; each of the four
+kinds is scaled to the length in ``WEIGHTS``, then the whole to length 1. A truncated singular value decomposition of the
 vectors of the labelled texts gives the latent space. Their latent vectors and labels are broadcast - at most
-``MAX_LABELLED`` rows of ``RANK`` numbers, whatever the input - and every document's exact cosine products with all of
-them are computed in blocks. The ``NEIGHBOURS`` nearest vote, weighted by a power of their similarity; the weights of the
-two labels are balanced only by the neighbours themselves, so the score estimates the share of label 1 near the text.
+``MAX_LABELLED`` rows of ``RANK`` numbers, and ``RANK`` numbers a term, whatever the input - and every document's exact
+cosine products with all of them are computed in blocks. The ``NEIGHBOURS`` nearest vote, weighted by a power of their
+similarity; the weights of the two labels are balanced only by the neighbours themselves, so the score estimates the share
+of label 1 near the text.
 
 ``MAX_LABELLED`` bounds the fit: beyond it the labels with the smallest digests of their ids, of those whose documents are
 there, are the sample. An id that several rows have gives one text, the smallest, however many they are. Rows whose
 crc32 of the id as text leaves 2 on division by 4 are held out, never learnt. Labels, language, source and id are no
 inputs of a score.
 
-Edge cases: a null text is the empty text and is scored as such (it has the mark of emptiness only); rows without label or
-id are not learnt; several different labels of one id count each, equal ones once; equal texts have equal scores. Without
-labelled rows the score is 0.5, and ``keep_good`` keeps all rows. An empty table gives an empty table. Other columns are
-ignored by ``scores`` and pass through ``keep_good``.
+Edge cases: a null text is the empty text and is scored as such (it has the mark of emptiness only); texts may have any
+length; rows without label or id are not learnt; several different labels of one id count each, equal ones once. A text's
+vector is computed from the text alone, cosines are rounded to nine places, equal ones go by the order of id and label, and
+scores are rounded to six places, so equal texts have equal scores wherever they lie. Without labelled rows the score is
+0.5, and ``keep_good`` keeps all rows. An empty table gives an empty table. Other columns are ignored by ``scores`` and pass
+through ``keep_good``.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED, RANK, NEIGHBOURS, POWER, THRESHOLD = 4000, 48, 25, 8.0, 0.7
+HASHED, WEIGHTS = 4096, (0.5, 0.5, 1.0, 1.0)  # of words, runs of bytes, pairs of classes, marks
 BLOCK, SEED = 256, 7
 
 
@@ -62,76 +69,89 @@ def _classes() -> np.ndarray:
 
 CLASS = _classes()
 N = int(CLASS.max()) + 1
-#: pairs, pairs one apart, then five groups of eleven marks
-TERMS = 2 * N * N + 5 * 11
+#: where words, runs of bytes, pairs next to each other and one apart, and five groups of eleven marks begin and end
+KINDS = (0, HASHED, 2 * HASHED, 2 * HASHED + 2 * N * N, 2 * HASHED + 2 * N * N + 5 * 11)
+TERMS = KINDS[-1]
 
 
 def _tenths(part: int, whole: int) -> int:
     return min(10, -(-10 * part // whole)) if whole else 0
 
 
-def frequencies(texts: list[str | None]) -> np.ndarray:
-    """The term frequencies of texts, a row each."""
-    out = np.zeros((len(texts), TERMS), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        raw = (text or "").encode()
-        c = CLASS[np.frombuffer(raw, np.uint8)]
-        row[: N * N] = np.bincount(c[:-1] * N + c[1:], minlength=N * N)
-        row[N * N : 2 * N * N] = np.bincount(c[:-2] * N + c[2:], minlength=N * N)
-        words, lines = raw.split(), re.split(rb"\n+", raw)
-        n = len(words)
-        marks = (
-            _tenths(sum(a == b for a, b in zip(words, words[1:], strict=False)), n),
-            _tenths(sum(a == b for a, b in zip(words, words[2:], strict=False)), n),
-            _tenths(n - len(set(words)), n),
-            _tenths(len(lines) - len(set(lines)), len(lines)),
-            min(10, n.bit_length()),
-        )
-        for k, m in enumerate(marks):
-            row[2 * N * N + 11 * k + m] = 1
-    return out
-
-
-def weighed(freq: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Log frequencies times idf, the pairs scaled to length 1, the marks added, all scaled to length 1."""
-    x = np.log1p(freq) * idf
-    for part in (x[:, : 2 * N * N], x[:, 2 * N * N :]):
-        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-
-def latent_space(x: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors of x (a randomised range finder with power iterations)."""
-    rank = min(rank, *x.shape)
-    q = np.linalg.qr(x.T @ (x @ np.random.default_rng(SEED).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)))[0]
-    for _ in range(3):
-        q = np.linalg.qr(x.T @ (x @ q))[0]
-    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a text, in order, and how often it has each."""
+    raw = (text or "").encode()
+    b = np.frombuffer(raw, np.uint8)
+    c, wide = CLASS[b], b.astype(np.uint32)
+    words, lines = raw.split(), re.split(rb"\n+", raw)
+    n, seen = len(words), Counter(words)
+    at = np.fromiter((zlib.crc32(w) % HASHED for w in seen), np.int64, len(seen))
+    count = np.bincount(at, np.fromiter(seen.values(), np.float64, len(seen)), HASHED)
+    runs = ((wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)) * np.uint32(2654435761)) % np.uint32(65521) % np.uint32(HASHED)
+    pairs = [np.bincount(c[:-k] * N + c[k:], minlength=N * N) for k in (1, 2)]
+    marks = np.zeros(5 * 11)
+    marks[[
+        _tenths(sum(map(bytes.__eq__, words, words[1:])), n), 11 + _tenths(sum(map(bytes.__eq__, words, words[2:])), n), 22 + _tenths(n - len(seen), n),
+        33 + _tenths(len(lines) - len(set(lines)), len(lines)), 44 + min(10, n.bit_length()),
+    ]] = 1
+    every = np.concatenate((count, np.bincount(runs, minlength=HASHED), *pairs, marks))
+    has = np.flatnonzero(every)
+    return has.astype(np.int32), every[has].astype(np.float32)
+
+
+def weighed(at: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The weights of a text's terms: log frequencies times idf, each kind scaled to its length, then all to length 1."""
+    x = np.log1p(count) * idf[at]
+    ends = np.searchsorted(at, KINDS)
+    for a, b, weight in zip(ends, ends[1:], WEIGHTS, strict=False):
+        x[a:b] *= weight / max(float(np.sqrt((x[a:b] ** 2).sum())), 1e-9)
+    return x / max(float(np.sqrt((x**2).sum())), 1e-9)
+
+
+def latent_space(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> np.ndarray:
+    """The leading right singular vectors of the matrix with these rows (terms, weights), by a randomised range finder with
+    power iterations; some rows at a time are laid out in full."""
+
+    def dense() -> Iterator[np.ndarray]:
+        for at in range(0, len(rows), BLOCK):
+            part = rows[at : at + BLOCK]
+            x = np.zeros((len(part), TERMS), np.float32)
+            for line, (term, weight) in zip(x, part, strict=True):
+                line[term] = weight
+            yield x
+
+    rank = min(rank, len(rows))
+    q = np.random.default_rng(SEED).standard_normal((TERMS, min(rank + 16, len(rows)))).astype(np.float32)
+    for _ in range(4):
+        q = np.linalg.qr(sum(x.T @ (x @ q) for x in dense()))[0]
+    _, _, v = np.linalg.svd(np.concatenate([x @ q for x in dense()]), full_matrices=False)
     return np.ascontiguousarray((q @ v.T)[:, :rank], np.float32)
 
 
 class Voters:
     """The fitted model: idf, the latent space, the labelled vectors and their labels."""
 
-    def __init__(self, freq: np.ndarray, labels: np.ndarray):
-        self.idf = np.log((1 + len(freq)) / (1 + (freq > 0).sum(0))).astype(np.float32) + np.float32(1)
-        x = weighed(freq, self.idf)
-        self.space = latent_space(x, RANK)
-        self.vectors, self.labels = self.project(x), labels.astype(np.float32)
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+        has = np.bincount(np.concatenate([at for at, _ in found]), minlength=TERMS)
+        self.idf = (np.log((1 + len(found)) / (1 + has)) + 1).astype(np.float32)
+        self.space = latent_space([(at, weighed(at, n, self.idf)) for at, n in found], RANK)
+        self.vectors, self.labels = np.stack([self.latent(at, n) for at, n in found]), labels.astype(float)
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        z = x @ self.space
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    def latent(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The latent vector of a text, of length 1."""
+        z = (weighed(at, count, self.idf) @ self.space[at]).astype(float)
+        return z / max(float(np.sqrt((z**2).sum())), 1e-9)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        out = []
+        out, most = [np.zeros(0)], len(self.labels)
+        k = min(NEIGHBOURS, most)
         for at in range(0, len(texts), BLOCK):
-            near = self.project(weighed(frequencies(texts[at : at + BLOCK]), self.idf)) @ self.vectors.T
-            k = min(NEIGHBOURS, near.shape[1])
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(near, top, 1), 1e-6) ** POWER
-            out.append((w * self.labels[top]).sum(1) / w.sum(1))
-        return np.concatenate(out).astype(float) if out else np.zeros(0)
+            near = np.rint(np.stack([self.latent(*terms(x)) for x in texts[at : at + BLOCK]]) @ self.vectors.T * 1e9).astype(np.int64)
+            place = near * most + np.arange(most)[::-1]  # no two are equal: of equal cosines the first labelled row is nearer
+            top = np.sort(np.partition(place, most - k, axis=1)[:, most - k :], axis=1)[:, ::-1]
+            w = np.maximum((top // most) / 1e9, 1e-6) ** POWER
+            out.append((w * self.labels[most - 1 - top % most]).sum(1) / w.sum(1))
+        return np.round(np.concatenate(out), 6)
 
 
 def held_out(doc_id):
@@ -149,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         for b in batches:
             for at in range(0, len(b), BLOCK):
                 part = b.iloc[at : at + BLOCK]
-                freq = frequencies(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].tolist(), "quality": part["quality"].tolist(), "terms": [np.flatnonzero(r).astype(np.int32) for r in freq], "counts": [r[r > 0] for r in freq]})
+                found = [terms(x) for x in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].tolist(), "quality": part["quality"].tolist(), "terms": [a for a, _ in found], "counts": [n for _, n in found]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "_labels").agg(F.min("text").alias("text"))
@@ -159,10 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if got.empty:
         return None
     got = got.iloc[np.lexsort([got["quality"], got["doc_id"]])]  # the same order, and so the same space, in each run
-    freq = np.zeros((len(got), TERMS), np.float32)
-    for row, terms, counts in zip(freq, got["terms"], got["counts"], strict=True):
-        row[np.asarray(terms)] = counts
-    return Voters(freq, got["quality"].to_numpy())
+    found = [(np.asarray(a, np.int32), np.asarray(n, np.float32)) for a, n in zip(got["terms"], got["counts"], strict=True)]
+    return Voters(found, got["quality"].to_numpy())
 
 
 def _scored(docs: DataFrame, voters: Voters | None, columns: list[str]) -> DataFrame:
