@@ -9,8 +9,9 @@ and spare the corpus a shuffle of all its words. A document's ids are those of i
 As tiktoken does: a pre-token that is a token is that token; else the pair whose joined bytes have the lowest rank is
 merged first, the leftmost of equal ones.
 
-Edge cases: a null text is the empty text, with no ids (their digest is that of the empty string); equal rows give equal
-results; other columns are ignored by ``encode`` and ``token_digests``. An empty table gives an empty table.
+Edge cases: a null text is the empty text, with no ids (their digest is that of the empty string); texts may have any
+length (one longer than a block is a block); equal rows give equal results, and rows that follow their equals, as a mixture
+repeats them, are encoded once; other columns are ignored by ``encode`` and ``token_digests``. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -144,20 +145,24 @@ class _Dictionary:
         self.words: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """The ids of each text; the words of some texts at a time are replayed together."""
+        """The ids of each text (the same list for equal texts in a row); the words of some texts at a time are replayed together."""
         at = 0
         while at < len(texts):
             size, end = 0, at
             while end < len(texts) and size < BLOCK_CHARS:
                 size += len(texts[end] or "")
                 end += 1
-            found = [self.find(t or "") for t in texts[at:end]]
+            here = list(map(text_or_empty, texts[at:end]))
+            found = {t: self.find(t) for t in dict.fromkeys(here)}  # a text that comes again in the block is encoded once
             if len(self.words) > CACHED_WORDS:
                 self.words.clear()
-            new = [w for w in set().union(*found) if w not in self.words]
+            new = [w for w in set().union(*found.values()) if w not in self.words]
             self.words.update(zip(new, map(tuple, self.replay.encode([w.encode() for w in new])), strict=True))
-            for words in found:
-                yield list(chain.from_iterable(map(self.words.__getitem__, words)))
+            last = None, []
+            for t in here:
+                if last[0] is not t and last[0] != t:
+                    last = t, list(chain.from_iterable(map(self.words.__getitem__, found[t])))
+                yield last[1]
             at = end
 
 
@@ -171,6 +176,10 @@ def _dictionary(vocabulary: str, pattern: str) -> _Dictionary:
     return _dictionaries[vocabulary, pattern]
 
 
+def text_or_empty(text: str | None) -> str:
+    return text or ""
+
+
 def _sha(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
 
@@ -181,11 +190,13 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = _dictionary(vocabulary, pattern)
         for b in batches:
-            n, digests, back = [], [], []
+            n, digests, back, last = [], [], [], None
             for ids in d.encode(b.column("text").to_pylist()):
+                again = ids is last
                 n.append(len(ids))
-                digests.append(_sha(",".join(map(d.digits.__getitem__, ids)).encode()))
-                back.append(_sha(d.replay.decode(ids)))
+                digests.append(digests[-1] if again else _sha(",".join(map(d.digits.__getitem__, ids)).encode()))
+                back.append(back[-1] if again else _sha(d.replay.decode(ids)))
+                last = ids
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -200,8 +211,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids = [np.array(x, np.int32) for x in d.encode(part.column("text").to_pylist())]
-                back = [_sha(d.replay.decode(x.tolist())) for x in ids]
+                ids, back, last = [], [], None
+                for x in d.encode(part.column("text").to_pylist()):
+                    again = x is last
+                    ids.append(ids[-1] if again else np.array(x, np.int32))
+                    back.append(back[-1] if again else _sha(d.replay.decode(x)))
+                    last = x
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -6,8 +6,13 @@ plans byte ranges over the archives of a folder; a task owns the members whose h
 as Arrow batches, and when a member can't be read (or fails its check sum) opens the archive anew and tries that member
 again by its offset, while the others stay as they are.
 
-Edge cases: a null text is the empty text, stored as one line of zeros; equal texts give equal members and values; null
-ids are read back as null. An empty table gives an empty table; other columns are ignored.
+A member that still fails at the third try fails its task, which Spark runs again elsewhere; after that the job fails: a
+damaged member is an error, never a lost row. ``from_png`` reads what ``to_png`` writes (8-bit grey, no filters, not
+interlaced); other PNGs are an error.
+
+Edge cases: a null text is the empty text, stored as one line of zeros; texts may have any length (a member is held whole
+in its task); equal texts give equal members and values; null ids are read back as null. An empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ def to_png(payload: bytes) -> bytes:
 
 
 def from_png(media: bytes) -> tuple[np.ndarray, int]:
-    """The samples and the unpadded length."""
+    """The samples and the unpadded length of a PNG as ``to_png`` writes them."""
     if not media.startswith(SIGNATURE):
         raise ValueError("not a PNG")
     at, head, packed, length = len(SIGNATURE), None, [], None
@@ -62,8 +67,12 @@ def from_png(media: bytes) -> tuple[np.ndarray, int]:
         elif kind == b"tEXt" and data.startswith(b"Bytes\0"):
             length = int(data[6:])
         at += 12 + size
+    if head is None or head[2:] != (8, 0, 0, 0, 0):
+        raise ValueError("not an 8-bit grey PNG without interlace")
     width, lines = head[:2]
     rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(lines, width + 1)
+    if rows[:, 0].any():
+        raise ValueError("a PNG line is filtered")
     return np.ascontiguousarray(rows[:, 1:]).reshape(-1), length if length is not None else width * lines
 
 

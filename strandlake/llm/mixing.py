@@ -9,7 +9,7 @@ Within a source all documents get the whole repetitions; the fraction goes to th
 digest of the id, up to the document whose middle lies beyond the fraction. A source of any size is cut by 4,096 ranges
 of the digest: sums by range find the range with the cut, and only the documents of that range are put in order.
 
-Edge cases: null texts have no words; null sources are one source, the last; rows with the same id are taken together;
+Edge cases: null texts have no words; texts may have any length, only their sizes are kept; null sources are one source, the last; rows with the same id are taken together;
 a source without words has target 0 and is not taken; an empty table gives an empty table. Other columns pass through
 ``mix`` unchanged whatever their names are; ``mix_report`` doesn't look at them.
 """

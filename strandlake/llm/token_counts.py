@@ -6,7 +6,8 @@ the next space) that are encoded alone with the same result. ``separable`` check
 pieces of the distinct pre-tokens of a block of documents that its worker hasn't met, then joins the counts to the
 frequencies of each document, within the block; ids are never kept.
 
-Edge cases: a null text is the empty text, which has no tokens; equal rows give equal results; other columns are
+Edge cases: a null text is the empty text, which has no tokens; texts may have any length (one longer than a block is a
+block); equal rows give equal results; other columns are
 ignored. An empty table gives an empty table.
 """
 
