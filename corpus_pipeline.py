@@ -2,6 +2,13 @@
 
 Each stage gets what its predecessor kept, written as Parquet and read again, and returns the columns of documents; the
 last returns doc_id, n_tokens, ids and decoded_sha256, the digest of the bytes that the ids decode to.
+
+Edge cases, stage by stage: a null text is scored, compared, sized and encoded as the empty text. Without learnable labels
+the classifier keeps all rows. Of rows with equal text the largest doc_id stays, of near copies the smallest; null ids lose;
+of rows that agree in id and text one stays. Null sources are one source; a source without words is not taken, so an input
+without any words gives no rows. Rows that the mixture repeats follow each other and are encoded once, then written as often
+as they come. Texts may have any length. Columns beside those of documents pass through all stages but the last, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
