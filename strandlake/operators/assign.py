@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import barcode
@@ -12,19 +13,21 @@ from strandlake.model import Layer, expand
 from strandlake.operators.ordering import numbered
 
 
-def in_lists(names: Column, lists) -> Column:
-    """Whether an ordered list is one of the given ones; the lists become one set of joined keys."""
-    keys = [_key(n) for n in lists]
-    return joined_key(names).isin(keys) if keys else F.lit(False)
+#: lists up to this number are an expression; more are a table that is joined, and broadcast up to BROADCAST lists
+LITERALS, BROADCAST = 200, 1_000_000
 
 
-def prefix_of(names: Column, lists: dict[tuple[str, ...], str]) -> Column:
-    """The output prefix of an ordered list, null where it has none."""
-    named = {_key(k): v for k, v in lists.items() if v}
-    if not named:
-        return F.lit(None).cast("string")
-    table = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
-    return F.element_at(table, joined_key(names))
+def looked_up(df: DataFrame, names: str, lists, into: str) -> DataFrame:
+    """df with the prefix of the list in names: null where it is none of lists, empty where it has no prefix."""
+    table = {_key(n): (lists[n] or "" if isinstance(lists, dict) else "") for n in lists}
+    if len(table) <= LITERALS:
+        if not table:
+            return df.withColumn(into, F.lit(None).cast("string"))
+        pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+        return df.withColumn(into, F.element_at(pairs, joined_key(F.col(names))))
+    rows = df.sparkSession.createDataFrame(pa.table({"_list": pa.array(list(table)), into: pa.array(list(table.values()))}))
+    rows = F.broadcast(rows) if len(table) <= BROADCAST else rows
+    return df.withColumn("_at", joined_key(F.col(names))).join(rows, F.col("_at") == F.col("_list"), "left").drop("_at", "_list")
 
 
 def _key(names: tuple[str, ...]) -> str:
@@ -121,11 +124,6 @@ def remultiplexed(spark: SparkSession, lines: list[str]) -> list[tuple[str, int,
     return [(r[0], numbers.setdefault(r[0], len(numbers)), r[1:]) for r in rows]
 
 
-def ranked(df: DataFrame, key: str) -> DataFrame:
-    """(key, id) by first appearance with a window: for small tables of keys."""
-    return df.groupBy(key).agg(F.min("read_id").alias("first")).select(key, (F.row_number().over(Window.orderBy("first")) - 1).alias("id"))
-
-
 def remultiplex_mapping(spark: SparkSession, rows: list[tuple[str, int, list[str]]], length: int, prefix: str = "") -> DataFrame:
     """(id, barcode, name) of what ``remultiplexed`` gives, a row a name."""
     names = {number: name for name, number, _ in rows}

@@ -104,16 +104,14 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
     some = F.size("names") > 0
     discard = F.lit(False) if layer.assign else F.col("_unmet")
     discard = discard | (~some & F.lit(bool(layer.keep or layer.keep_group)))
-    out = F.lit(False)
-    if layer.keep:
-        out = out | ~assign.in_lists(F.col("names"), layer.keep)
-    if layer.remove:
-        out = out | assign.in_lists(F.col("names"), layer.remove)
-    if layer.keep_group:
-        out = out | ~assign.in_lists(F.col("groups"), layer.keep_group)
-    if layer.remove_group:
-        out = out | assign.in_lists(F.col("groups"), layer.remove_group)
-    df = df.withColumns({"discard": discard | (some & out), "ofile": F.when(some, F.coalesce(assign.prefix_of(F.col("names"), layer.keep), assign.prefix_of(F.col("groups"), layer.keep_group)))})
+    out, prefix = F.lit(False), []
+    for lists, of, keeps in ((layer.keep, "names", True), (layer.remove, "names", False), (layer.keep_group, "groups", True), (layer.remove_group, "groups", False)):
+        if lists:
+            found = f"_{'kept' if keeps else 'removed'}_{of}"
+            df = assign.looked_up(df, of, lists, found)
+            out = out | (F.col(found).isNull() if keeps else F.col(found).isNotNull())
+            prefix += [F.nullif(F.col(found), F.lit(""))] if keeps else []
+    df = df.withColumns({"discard": discard | (some & out), "ofile": F.when(some, F.coalesce(*prefix)) if prefix else F.lit(None).cast("string")})
     df = df.withColumns({"id": F.lit(None).cast("long"), "sub_id": F.lit(None).cast("long")})
     if layer.encode:
         df = df.withColumn("id", F.when(some & ~F.col("discard"), assign.radix_id(layer, layer.encode, F.col("names"), F.col("groups"))))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import part
-from strandlake.operators.ordering import numbered
+from strandlake.operators.ordering import numbered, running, spans
 from strandlake.operators.unmask import CHUNK, chunked
 
 
@@ -45,12 +45,13 @@ def applied(rows: DataFrame, snv_only: bool = False) -> DataFrame:
 
     In order of position an allele is left out if it begins within a deletion before it or before the end of the last one
     put in. That state runs only through alleles that overlap, so rows are cut into islands where nothing reaches across,
-    and the fold goes over one island at a time.
+    and the fold goes over one island at a time. Islands are found by ranges of the chromosome.
     """
-    order = Window.partitionBy("chrom", "hap").orderBy("pos", "start")
-    reach = F.max(F.col("start") + F.greatest(F.length("ref"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.coalesce(F.col("pos") > reach, F.lit(True)))
-    rows = rows.withColumn("_island", F.sum(F.col("_new").cast("int")).over(order))
+    reach = F.col("start") + F.greatest(F.length("ref"), F.lit(1))
+    order = ["pos", "start", "ref", "alt", "id"]
+    rows = running(rows, ["chrom", "hap"], spans("pos"), order, {"_reach": ("before", reach)})
+    begins = F.when(F.coalesce(F.col("pos") > F.col("_reach"), F.lit(True)), F.col("pos"))
+    rows = running(rows, ["chrom", "hap"], spans("pos"), order, {"_island": ("max", begins)})
     row = F.struct("pos", "start", "ref", "alt", "deletes", "indel", "id")
     islands = rows.groupBy("chrom", "hap", "_island").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     kept = "array<struct<pos:int,start:int,ref:string,alt:string,deletes:boolean,indel:boolean,id:string>>"
@@ -71,47 +72,61 @@ def applied(rows: DataFrame, snv_only: bool = False) -> DataFrame:
 
 
 def unsorted(variants: DataFrame) -> DataFrame:
-    """Variants that come before the one above them in the file: chrom, pos. variants: with ordinal."""
-    before = F.lag("pos").over(Window.partitionBy("chrom").orderBy("ordinal"))
-    return variants.withColumn("_before", before).where("_before > pos").select("chrom", "pos")
+    """What is out of order in a file of variants: chrom, pos, problem (``position`` for a variant that comes before the one
+    above it, ``chromosome`` for one that begins a chromosome that was there before). variants: ordinal, chrom, pos, and, where
+    it is read from a file in parts, block, the number of the part."""
+    rows = variants.select(F.col("block") if "block" in variants.columns else F.lit(0).alias("block"), "ordinal", "chrom", "pos")
+    rows = running(rows, [], F.col("block"), ["ordinal"], {"_before": ("prior", F.struct("chrom", "pos"))})
+    same = F.col("_before.chrom") == F.col("chrom")
+    begun = rows.where(~F.coalesce(same, F.lit(False))).groupBy("chrom").agg(F.min(F.struct("block", "ordinal")).alias("_first"))
+    late = rows.where(~F.coalesce(same, F.lit(False))).join(begun, "chrom").where(F.struct("block", "ordinal") > F.col("_first")).select("chrom", "pos", F.lit("chromosome").alias("problem"))
+    return rows.where(same & (F.col("_before.pos") > F.col("pos"))).select("chrom", "pos", F.lit("position").alias("problem")).unionByName(late)
+
+
+def in_order(variants: DataFrame) -> DataFrame:
+    """variants, or an error if ``unsorted`` finds something."""
+    bad = unsorted(variants).orderBy("problem", "chrom", "pos").first()
+    if bad:
+        raise ValueError(f"variants are not sorted: {bad.problem} at {bad.chrom}:{bad.pos + 1}")
+    return variants
 
 
 def shifts(rows: DataFrame) -> DataFrame:
-    """chrom, hap, orig_pos, shift: by how much bases from orig_pos on have moved."""
-    order = Window.partitionBy("chrom", "hap").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    moved = F.sum(F.length("alt") - F.length("ref")).over(order)
-    return rows.select("chrom", "hap", (F.col("start") + F.length("ref")).alias("orig_pos"), moved.cast("int").alias("shift"))
+    """chrom, hap, start, orig_pos, shift: by how much bases from orig_pos on have moved, a row an allele."""
+    moved = running(rows.select("chrom", "hap", "pos", "start", "ref", "alt"), ["chrom", "hap"], spans("start"), ["start", "pos"], {"shift": ("sum", F.length("alt") - F.length("ref"))})
+    return moved.select("chrom", "hap", "start", (F.col("start") + F.length("ref")).alias("orig_pos"), F.col("shift").cast("int").alias("shift"))
 
 
 def lifted(features: DataFrame, moved: DataFrame, diploid: bool = False, sample: str = "") -> DataFrame:
     """features (seqname, source, feature, start, end, rest) with new names, start and end: the last shift at or before each
-    place counts, found by one ordered pass over places and shifts of a chromosome."""
+    place counts. Distinct places and shifts are put in order together, by ranges, and joined back by value."""
     haps = F.array(F.lit(0), F.lit(1)) if diploid else F.array(F.lit(0))
-    rows = features.withColumn("_f", F.monotonically_increasing_id()).withColumn("hap", F.explode(haps))
-    places = rows.select("_f", "hap", F.col("seqname").alias("chrom"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("at")), F.struct(F.lit(1).alias("side"), F.col("end").alias("at")))).alias("p"))
-    places = places.select("chrom", "hap", F.col("p.at").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("shift"), "_f", "p.side")
-    marks = moved.select("chrom", "hap", F.col("orig_pos").alias("at"), F.lit(0).alias("kind"), "shift", F.lit(None).cast("long").alias("_f"), F.lit(None).cast("int").alias("side"))
-    order = Window.partitionBy("chrom", "hap").orderBy("at", "kind", F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, 0)
-    found = places.unionByName(marks).withColumn("by", F.coalesce(F.last("shift", ignorenulls=True).over(order), F.lit(0))).where("kind = 1")
-    sides = found.groupBy("_f", "hap").agg(*[F.max(F.when(F.col("side") == s, F.col("at") + F.col("by"))).alias(n) for s, n in ((0, "new_start"), (1, "new_end"))])
+    rows = features.withColumn("hap", F.explode(haps))
+    places = rows.select(F.col("seqname").alias("chrom"), "hap", F.explode(F.array("start", "end")).alias("at")).distinct()
+    places = places.select("chrom", "hap", "at", F.lit(1).alias("kind"), F.lit(0).alias("nth"), F.lit(None).cast("int").alias("shift"))
+    marks = moved.select("chrom", "hap", F.col("orig_pos").alias("at"), F.lit(0).alias("kind"), F.col("start").alias("nth"), "shift")
+    found = running(places.unionByName(marks), ["chrom", "hap"], spans("at"), ["at", "kind", "nth"], {"by": ("last", F.col("shift"))}).where("kind = 1")
+    by = found.select(F.col("chrom").alias("seqname"), "hap", "at", F.coalesce("by", F.lit(0)).alias("by"))
+    for side in ("start", "end"):
+        rows = rows.join(by.select("seqname", "hap", F.col("at").alias(side), F.col("by").alias(f"_{side}")), ["seqname", "hap", side])
     name = F.concat("seqname", F.when(F.col("hap") == 0, "_L").otherwise("_R")) if diploid else F.concat(F.lit(f"{sample}_"), F.col("seqname"))
-    return rows.join(sides, ["_f", "hap"]).select(name.alias("seqname"), "source", "feature", F.col("new_start").alias("start"), F.col("new_end").alias("end"), "rest", F.col("hap"))
+    return rows.select(name.alias("seqname"), "source", "feature", (F.col("start") + F.col("_start")).alias("start"), (F.col("end") + F.col("_end")).alias("end"), "rest", F.col("hap"))
 
 
 def contig_chunks(contigs: DataFrame) -> DataFrame:
-    """chrom, chunk, bases of contigs (name, seq): what spans are joined to."""
+    """chrom, chunk, bases of contigs (name, seq): what stretches are joined to."""
     return contigs.select(F.col("name").alias("chrom"), F.posexplode(chunked("seq")).alias("chunk", "bases"))
 
 
-def bases_of(spans: DataFrame, chunks: DataFrame) -> DataFrame:
-    """spans (key, chrom, start, end) with their bases; a span is put together from the chunks that it covers."""
+def bases_of(stretches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """stretches (key, chrom, start, end) with their bases; one is put together from the chunks that it covers."""
     first, last = (F.floor(c / CHUNK).cast("int") for c in (F.col("start"), F.col("end") - 1))
-    cover = spans.where("end > start").withColumn("chunk", F.explode(F.sequence(first, last))).join(chunks, ["chrom", "chunk"])
+    cover = stretches.where("end > start").withColumn("chunk", F.explode(F.sequence(first, last))).join(chunks, ["chrom", "chunk"])
     a = F.greatest(F.col("start") - F.col("chunk") * CHUNK, F.lit(0))
     b = F.least(F.col("end") - F.col("chunk") * CHUNK, F.length("bases"))
     parts = cover.select("key", "chunk", part(F.col("bases"), a, b - a).alias("t"))
     text = parts.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "t"))), lambda x: x["t"]), "").alias("bases"))
-    return spans.join(text, "key", "left").withColumn("bases", F.coalesce("bases", F.lit("")))
+    return stretches.join(text, "key", "left").withColumn("bases", F.coalesce("bases", F.lit("")))
 
 
 def genome(contigs: DataFrame, rows: DataFrame, diploid: bool = False, sample: str = "", rename: bool = False) -> DataFrame:
@@ -121,12 +136,12 @@ def genome(contigs: DataFrame, rows: DataFrame, diploid: bool = False, sample: s
     """
     haps = F.array(F.lit(0), F.lit(1)) if diploid else F.array(F.lit(0))
     whole = contigs.select("ordinal", F.col("name").alias("chrom"), F.length("seq").alias("size"), F.explode(haps).alias("hap"))
-    order = Window.partitionBy("chrom", "hap").orderBy("start")
-    pieces = rows.select("chrom", "hap", F.coalesce(F.lag(F.col("start") + F.length("ref")).over(order), F.lit(0)).alias("from"), F.col("start").alias("to"), "alt")
+    ends = running(rows, ["chrom", "hap"], spans("start"), ["start", "pos"], {"_end": ("before", F.col("start") + F.length("ref"))})
+    pieces = ends.select("chrom", "hap", F.coalesce("_end", F.lit(0)).alias("from"), F.col("start").alias("to"), "alt")
     ends = rows.groupBy("chrom", "hap").agg(F.max(F.col("start") + F.length("ref")).alias("from"))
     tail = whole.join(ends, ["chrom", "hap"], "left").select("chrom", "hap", F.coalesce("from", F.lit(0)).alias("from"), F.col("size").alias("to"), F.lit("").alias("alt"))
-    spans = pieces.unionByName(tail).select(F.struct("chrom", "hap", "from", "alt", "to").alias("key"), "chrom", F.col("from").alias("start"), F.col("to").alias("end"))
-    texts = bases_of(spans, contig_chunks(contigs)).select("key.chrom", "key.hap", "key.from", "key.to", F.concat("bases", "key.alt").alias("t"))
+    stretches = pieces.unionByName(tail).select(F.struct("chrom", "hap", "from", "alt", "to").alias("key"), "chrom", F.col("from").alias("start"), F.col("to").alias("end"))
+    texts = bases_of(stretches, contig_chunks(contigs)).select("key.chrom", "key.hap", "key.from", "key.to", F.concat("bases", "key.alt").alias("t"))
     seqs = texts.groupBy("chrom", "hap").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from", "to", "t"))), lambda x: x["t"]), "").alias("seq"), (F.count(F.lit(1)) > 1).alias("varied"))
     out = whole.join(seqs, ["chrom", "hap"])
     name = F.concat(F.lit(f"{sample}_" if rename and sample else ""), "chrom", F.when(F.col("hap") == 0, "_L").otherwise("_R") if diploid else F.lit(""))

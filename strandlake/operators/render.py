@@ -20,6 +20,7 @@ class Output:
     """How reads are written. pipe: all records of a read in one stream; outb: barcodes in a stream of their own."""
 
     pipe: bool = False
+    no_output: bool = False
     fasta: bool = False
     outb: bool = False
     no_outb: bool = False
@@ -166,7 +167,7 @@ def records(df: DataFrame, layer: Layer, o: Output) -> DataFrame:
         shown = F.lit(True) if not o.unassigned_streams else strict | F.lit(jj < len(o.unassigned_streams) and o.unassigned_streams[jj])
         stream = F.when(~strict, f"unassigned:{jj}").when(piped, "pipe").when(kept, F.concat("ofile", F.lit(f":{jj}"))).otherwise(f"out:{jj}")
         parts.append(_when((strict | F.lit(o.unassigned)) & shown & ~skip, _record(o, stream, F.concat(_name(s, o), F.col("_suffix")), seq, qual)))
-    if not parts:
+    if not parts or o.no_output:
         return df.select("read_id", F.lit(0).alias("nth"), F.lit("").alias("stream"), F.lit("").alias("text")).limit(0)
     return df.select("read_id", F.posexplode(F.concat(*parts)).alias("nth", "r")).select("read_id", "nth", "r.stream", "r.text")
 

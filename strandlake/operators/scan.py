@@ -2,14 +2,17 @@
 
 ``candidates`` is the join of a read's k-mers with the patterns' neighbourhood: relational, for layers and reports that
 need no order. ``find_tags`` is the ordered greedy scan: state runs from hit to hit (what came before, what has to come
-next, how many are left), so it is one pass over each read, in an Arrow function on whole batches, without a shuffle. The
-neighbourhood is broadcast; its size follows the tag table, not the reads.
+next, how many are left), so it is one pass over each read, in an Arrow function on whole batches, without a shuffle. Array
+operations over a batch find the places where any k-mer of the neighbourhood is; the pass goes from one such place to the
+next, and reads without any are done. The neighbourhood is broadcast; its size follows the tag table, not the reads, and
+``find_tags`` refuses one of more than ``MOST_KMERS``; ``candidates`` joins such a table by exchange.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ HIT = T.StructType([
     T.StructField("file", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("err", T.IntegerType()),
     T.StructField("listed", T.BooleanType()), T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()), T.StructField("pattern", T.IntegerType()),
 ])
+MOST_KMERS, BROADCAST_KMERS = 5_000_000, 1_000_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 FOUND = T.StructType([T.StructField("hits", T.ArrayType(HIT)), T.StructField("unmet", T.BooleanType())])
 
 
@@ -37,6 +42,21 @@ def placed(p: Pattern, at: int, end: int, length: int) -> bool:
     return at >= start and not (p.end and end > p.end)
 
 
+def place_spans(layer: Layer, e: Expanded) -> list[list[tuple[int, int, int]]]:
+    """Of each file, by length of k-mers: (k, first start, last end or a large number)."""
+    out = []
+    for file in range(layer.n_files):
+        found: dict[int, tuple[int, int]] = {}
+        for kmer, patterns in e.kmers.items():
+            for i, _ in patterns:
+                p = e.patterns[i]
+                if p.file == file:
+                    lo, hi = found.get(len(kmer), (1 << 30, -1))
+                    found[len(kmer)] = (min(lo, max(p.tag.start, 0)), 1 << 30 if not p.end or p.tag.start < 0 else max(hi, p.end))
+        out.append([(k, *s) for k, s in sorted(found.items())])
+    return out
+
+
 class Scanner:
     """The patterns of a layer, laid out for lookups."""
 
@@ -44,16 +64,13 @@ class Scanner:
         e: Expanded = expand(layer)
         self.patterns, self.kmers = e.patterns, e.kmers
         self.delta = layer.min_delta
-        self.sizes: list[list[tuple[int, int, int]]] = []  # of each file: (k, first start, last end or 0)
-        for file in range(layer.n_files):
-            spans: dict[int, tuple[int, int]] = {}
-            for kmer, found in e.kmers.items():
-                for i, _ in found:
-                    p = e.patterns[i]
-                    if p.file == file:
-                        lo, hi = spans.get(len(kmer), (1 << 30, -1))
-                        spans[len(kmer)] = (min(lo, max(p.tag.start, 0)), 1 << 30 if not p.end or p.tag.start < 0 else max(hi, p.end))
-            self.sizes.append([(k, *s) for k, s in sorted(spans.items())])
+        self.sizes = place_spans(layer, e)
+        if len(e.kmers) > MOST_KMERS:
+            raise ValueError(f"{len(e.kmers)} k-mers are more than a scan takes ({MOST_KMERS}); candidates takes them")
+        by_size: dict[int, list[str]] = {}
+        for kmer in e.kmers:
+            by_size.setdefault(len(kmer), []).append(kmer)
+        self.hashes = {k: np.unique(_hashes(np.frombuffer("".join(s).encode(), np.uint8), k)[::k]) for k, s in by_size.items()}
         self.opened = [any(p.opens and p.file == f for p in e.patterns) for f in range(layer.n_files)]
         self.least = Counter({t.name: t.min_finds for t in layer.tags if t.min_finds})
         self.most = {t.name: t.max_finds for t in layer.tags if t.max_finds}
@@ -87,16 +104,31 @@ class Scanner:
                 best = one[0], end, one[1]
         return best
 
-    def scan(self, seqs: list[str]) -> tuple[list[tuple[Pattern, int, int, int]], bool]:
-        """(pattern, start, end, errors) of the hits of a read, file by file, and whether a least number is not met."""
+    def places(self, seqs: list[str], file: int) -> list[list[int]]:
+        """For each read the places of one file where some k-mer may be, in order (all places that have one, few others)."""
+        if not seqs:
+            return []
+        text = np.frombuffer("".join(seqs).encode("ascii", "replace"), np.uint8)
+        n = np.fromiter(map(len, seqs), np.int64, len(seqs))
+        ends = np.cumsum(n)
+        hit = np.zeros(len(text), bool)
+        for k, _, _ in self.sizes[file]:
+            if len(text) >= k:
+                h, table = _hashes(text, k), self.hashes[k]
+                hit[: len(h)] |= table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
+        at = np.flatnonzero(hit)
+        read = np.searchsorted(ends, at, "right")
+        cuts = np.searchsorted(read, np.arange(1, len(seqs)))
+        return [x.tolist() for x in np.split(at - (ends - n)[read], cuts)]
+
+    def scan(self, seqs: list[str], places: list[list[int]]) -> tuple[list[tuple[Pattern, int, int, int]], bool]:
+        """(pattern, start, end, errors) of the hits of a read, file by file, and whether a least number is not met. places:
+        where k-mers may be, file by file; nothing happens elsewhere."""
         least, most, least_group, most_group = dict(self.least), dict(self.most), dict(self.least_group), dict(self.most_group)
         budget, hits = self.budget, []
         for file, seq in enumerate(seqs[: len(self.sizes)]):
             last: tuple[Pattern, int] | None = None  # the tag before, and its end
-            opened, pos = not self.opened[file], 0
-            if not self.sizes[file]:
-                continue
-            shortest = self.sizes[file][0][0]
+            opened, pos, free = not self.opened[file], 0, 0
 
             def fits(p: Pattern) -> bool:
                 if not (opened or p.opens):  # noqa: B023
@@ -109,15 +141,17 @@ class Scanner:
                     return b.lo <= pos - last[1] and (b.hi is None or pos - last[1] <= b.hi)  # noqa: B023
                 return True
 
-            while pos + shortest <= len(seq) and budget != 0:
+            for pos in places[file]:
+                if budget == 0:
+                    break
+                if pos < free:
+                    continue
                 if last and (a := last[0].tag.after):
                     if a.hi is not None and pos - last[1] > a.hi:
                         break
                     if pos - last[1] < a.lo:
-                        pos += 1
                         continue
                 if (found := self.at(seq, file, pos, fits)) is None:
-                    pos += 1
                     continue
                 p, end, err = found
                 opened = True
@@ -129,22 +163,28 @@ class Scanner:
                 if p.tag.max_finds:
                     most[name] -= 1
                     if most[name] < 0:
-                        pos += 1
                         continue
                 if group in most_group:
                     budget = budget - 1 if budget else budget
                     most_group[group] -= 1
                     if most_group[group] < 0:
-                        pos += 1
                         continue
                 hits.append((p, pos, end, err))
                 last = p, end
                 if p.closes:
                     break
-                pos = end
+                free = end
         return hits, any(n > 0 for n in (*least.values(), *least_group.values()))
 
 
+def _hashes(text: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k bytes."""
+    h = np.zeros(max(len(text) - k + 1, 0), np.uint64)
+    for i in range(k):
+        h = h * _BASE + text[i : i + len(h)]
+    return h
+
+
 def find_tags(spark: SparkSession, layer: Layer, seqs: Column) -> Column:
     """struct(hits, unmet) of an array of normalised sequences, one a file."""
     shared = spark.sparkContext.broadcast(Scanner(layer))
@@ -152,8 +192,15 @@ def find_tags(spark: SparkSession, layer: Layer, seqs: Column) -> Column:
     @F.arrow_udf(FOUND)
     def found(column: pa.Array) -> pa.Array:
         scanner, rows, ends, unmet = shared.value, [], [0], []
-        for seqs in column.to_pylist():
-            hits, short = scanner.scan(seqs or [])
+        reads = [s or [] for s in column.to_pylist()]
+        files = [scanner.places([s[f] if f < len(s) else "" for s in reads], f) for f in range(len(scanner.sizes))]
+        idle, missing = [[]] * len(files), not scanner.least and not scanner.least_group
+        for seqs, *places in zip(reads, *files, strict=True) if files else ((s,) for s in reads):
+            if missing and places == idle:
+                ends.append(len(rows))
+                unmet.append(False)
+                continue
+            hits, short = scanner.scan(seqs, places)
             rows += hits
             ends.append(len(rows))
             unmet.append(short)
@@ -170,12 +217,13 @@ def find_tags(spark: SparkSession, layer: Layer, seqs: Column) -> Column:
 
 
 def pattern_table(spark: SparkSession, layer: Layer) -> DataFrame:
-    """The neighbourhood as a table: kmer, k, pattern, err, name, group, seq, file, start, end, at_start, at_end."""
+    """The neighbourhood as a table, to be broadcast if it is not too large: kmer, k, pattern, err, name, group, seq, file, start, end, at_start, at_end."""
     e = expand(layer)
     rows = [
         (kmer, len(kmer), i, err, (p := e.patterns[i]).tag.name, p.tag.group, p.seq, p.file, p.tag.start, p.end, p.at_start, p.at_end) for kmer, found in e.kmers.items() for i, err in found
     ]
-    return spark.createDataFrame(rows, "kmer string, k int, pattern int, err int, name string, group string, seq string, file int, start int, end int, at_start boolean, at_end boolean")
+    table = spark.createDataFrame(rows, "kmer string, k int, pattern int, err int, name string, group string, seq string, file int, start int, end int, at_start boolean, at_end boolean")
+    return F.broadcast(table) if len(rows) <= BROADCAST_KMERS else table.hint("merge")
 
 
 def candidates(reads: DataFrame, layer: Layer) -> DataFrame:
@@ -185,13 +233,13 @@ def candidates(reads: DataFrame, layer: Layer) -> DataFrame:
     where a pattern of that length may be only; the join is with the broadcast table of patterns.
     """
     table = pattern_table(reads.sparkSession, layer)
-    spans = Scanner(layer).sizes
+    spans = place_spans(layer, expand(layer))
     rows = F.array(*[F.struct(F.lit(f).alias("file"), F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for f, s in enumerate(spans) for k, lo, hi in s])
     each = reads.select("read_id", "seqs", F.explode(rows).alias("s")).select("read_id", F.element_at("seqs", F.col("s.file") + 1).alias("seq"), "s.*")
     last = F.least(F.length("seq"), F.col("hi")) - F.col("k")
     kmers = each.where(last >= F.col("lo")).select("read_id", "file", "k", F.length("seq").alias("length"), "seq", F.explode(F.sequence("lo", last)).alias("pos"))
     kmers = kmers.select("read_id", "file", "k", "length", "pos", F.expr("substring(seq, pos + 1, k)").alias("kmer"))
-    hit = kmers.join(F.broadcast(table), ["kmer", "k", "file"])
+    hit = kmers.join(table, ["kmer", "k", "file"])
     end, start = F.col("pos") + F.col("k"), F.when(F.col("start") < 0, F.col("start") + F.col("length")).otherwise(F.col("start"))
     ok = (start < 0) | ((F.col("pos") >= start) & ((F.col("end") == 0) | (end <= F.col("end"))))
     ok = ok & (~F.col("at_start") | (F.col("pos") == 0)) & (~F.col("at_end") | (end == F.col("length")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators.ordering import numbered
+from strandlake.operators.ordering import numbered, running, spans
 
 CHUNK = 1 << 16
 
@@ -28,9 +28,9 @@ def unmasked_runs(first: DataFrame, second: DataFrame) -> DataFrame:
     runs = unlike.withColumn("run", run).groupBy("ordinal", "chunk", "run").agg(
         F.min("pos").alias("start"), F.max("pos").alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("bases")
     )
-    order = Window.partitionBy("ordinal").orderBy("start")
-    apart = F.coalesce(F.col("start") - F.lag("last").over(order), F.lit(2)) > 1
-    runs = runs.withColumn("apart", apart).withColumn("run", F.sum(F.col("apart").cast("int")).over(order))
+    runs = running(runs.drop("run"), ["ordinal"], spans("start"), ["start"], {"before": ("before", F.col("last"))})
+    begins = F.when(F.coalesce(F.col("start") - F.col("before"), F.lit(2)) > 1, F.col("start"))
+    runs = running(runs, ["ordinal"], spans("start"), ["start"], {"run": ("max", begins)})
     whole = runs.groupBy("ordinal", "run").agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("start", "bases"))).alias("s"))
     return whole.select("ordinal", "start", F.array_join(F.transform("s", lambda x: x["bases"]), "").alias("bases"))
 

@@ -7,7 +7,7 @@ from strandlake.operators.render import SAM_TAGS, Output
 from strandlake.plans import parse
 
 _TAG_LISTS = ("distances", "locations", "ids", "groups", "minfinds", "maxfinds", "exclude", "left", "right", "next", "previous", "subs", "partial5", "partial3", "revcomp")
-_FLAGS = ("pipe", "fasta", "outb", "no_outb", "no_x_out", "unassigned", "empty_remove", "keep_comments", "mod_names", "seq_names", "com_names", "bc_names", "loc_names", "x_names")
+_FLAGS = ("pipe", "no_output", "fasta", "outb", "no_outb", "no_x_out", "unassigned", "empty_remove", "keep_comments", "mod_names", "seq_names", "com_names", "bc_names", "loc_names", "x_names")
 
 
 def build(n_files: int = 1, tags: str = "", config: str = "", assign: bool = False, **options) -> tuple[Layer, Output]:

@@ -15,7 +15,7 @@ from strandlake.functions import sequence as S
 from strandlake.operators import assign, lift, summary, unmask
 from strandlake.operators.layer import run_layer
 from strandlake.operators.neighbourhood import substituted
-from strandlake.operators.render import first_reads, header_suffix, records
+from strandlake.operators.render import header_suffix, records
 from strandlake.operators.render import process as process_reads
 from strandlake.operators.scan import candidates, clear_hits
 from strandlake.plans.options import build
@@ -81,41 +81,6 @@ def _mismatches(tag: str, pos: str = "pos", seq: str = "seq") -> str:
     """SQL: the differences between a tag and the bases from pos on."""
     return "(" + " + ".join(f"({seq}[{pos} + {i + 1}] <> '{c}')::INT" for i, c in enumerate(tag)) + ")"
 
-# sources
-
-@query(f"WITH {_R} SELECT read_id, 'r' || read_id AS name, '1:N:' || seq[1:5] || '+' || seq[6:9] AS comment, seq, qual FROM r")
-def scan_reads(spark, sf_dir):
-    return reads(spark, sf_dir).select("read_id", F.inline("segs"))
-
-@query(f"WITH {_R} SELECT read_id, seq AS seq1, seq2 FROM r")
-def pair_zip(spark, sf_dir):
-    """Two scans put together by their number, as files in lock step are."""
-    one = reads(spark, sf_dir).select("read_id", F.element_at("segs", 1).seq.alias("seq1"))
-    two = reads(spark, sf_dir, 2).select("read_id", F.element_at("segs", 2).seq.alias("seq2"))
-    return one.join(two, "read_id")
-
-@query(f"WITH {_R} SELECT read_id // 2 AS read_id, string_agg(seq, '|' ORDER BY read_id) AS seqs FROM r GROUP BY 1 HAVING count(*) = 2")
-def interleave(spark, sf_dir):
-    rows = reads(spark, sf_dir).select(F.floor(F.col("read_id") / 2).alias("pair"), "read_id", F.element_at("segs", 1).seq.alias("seq"))
-    pairs = rows.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("read_id", "seq"))).alias("s")).where(F.size("s") == 2)
-    return pairs.select(F.col("pair").alias("read_id"), F.array_join(F.transform("s", lambda x: x.seq), "|").alias("seqs"))
-
-@query(f"WITH {_R} SELECT read_id, seq FROM r WHERE read_id < 100")
-def read_limit(spark, sf_dir):
-    """The first hundred reads: the limit is the operator."""
-    return first_reads(reads(spark, sf_dir), 100).select("read_id", F.element_at("segs", 1).seq.alias("seq"))
-
-@query("""SELECT doc_id AS read_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1) AS opens, lpad(translate(b, '0123', 'ACGT'), 16, 'A') AS barcode
-FROM (SELECT *, CASE WHEN g < 4 THEN g::VARCHAR ELSE CASE WHEN g < 16 THEN (g // 4)::VARCHAR || (g % 4)::VARCHAR ELSE (g // 16)::VARCHAR || (g // 4 % 4)::VARCHAR || (g % 4)::VARCHAR END END AS b
-FROM (SELECT *, dense_rank() OVER (ORDER BY first) - 1 AS g FROM (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY source) AS first FROM documents)))""")
-def remultiplex(spark, sf_dir):
-    """A barcode for each source of reads, numbered by first appearance."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("read_id"), "source")
-    ids = assign.first_appearance(docs, "source")
-    rows = assign.with_ids(docs, "source", ids, "id")
-    firsts = docs.groupBy("source").agg(F.min("read_id").alias("first"))
-    return rows.join(firsts, "source").select("read_id", (F.col("read_id") == F.col("first")).alias("opens"), S.barcode(F.col("id"), 16).alias("barcode"))
-
 # patterns and places
 
 @query(f"{_P} SELECT seq[pos + 1:pos + 4] AS kmer, count(*) AS n FROM p WHERE pos <= 28 GROUP BY 1")
@@ -249,10 +214,6 @@ def from_name(spark, sf_dir):
 def random_insert(spark, sf_dir):
     return _out(_layer(spark, sf_dir, random="0,2,25")).select("read_id", "seq")
 
-@query(f"WITH {_R} SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM r")
-def revcomp(spark, sf_dir):
-    return reads(spark, sf_dir).select("read_id", S.reverse_complement(F.element_at("segs", 1).seq).alias("seq"))
-
 # extraction
 
 def _occurrences(tag: str, value: str, cond: str) -> str:
@@ -400,29 +361,39 @@ def unmask_runs(spark, sf_dir):
     return unmask.unmasked_runs(one, two)
 
 def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A contig of 256 bases for each nation."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    parts = [F.translate(F.md5(F.concat("n_name", F.lit(str(i)))), HEX, BASES) for i in range(8)]
-    return nation.select(F.col("n_nationkey").cast("long").alias("ordinal"), F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("name"), F.concat(*parts).alias("seq"))
+    """A contig of 256 bases for each supplier, and a first one that holds what all of them have, thirty-two digests each."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), "s_name")
+    digest = lambda i: F.translate(F.md5(F.concat("s_name", F.lit(str(i)))), HEX, BASES)
+    own = s.select(F.col("k").alias("ordinal"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("name"), F.concat(*map(digest, range(8))).alias("seq"))
+    parts = s.select("k", F.concat(*map(digest, range(32))).alias("t")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "").alias("seq"))
+    return parts.select(F.lit(-1).cast("long").alias("ordinal"), F.lit("long").alias("name"), "seq").unionByName(own)
 
-_C = f"c AS (SELECT n_nationkey AS k, 'c' || n_nationkey AS chrom, {' || '.join(f'''translate(md5(n_name || '{i}'), '{HEX}', '{BASES}')''' for i in range(8))} AS seq FROM nation)"
+def _digests(n: int) -> str:
+    return " || ".join(f"translate(md5(s_name || '{i}'), '{HEX}', '{BASES}')" for i in range(n))
+
+_C = f"c AS (SELECT -1 AS k, 'long' AS chrom, string_agg({_digests(32)}, '' ORDER BY s_suppkey) AS seq FROM supplier UNION ALL SELECT s_suppkey, 'c' || s_suppkey, {_digests(8)} FROM supplier)"
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A variant each ten bases: a substitution, an insertion or a deletion by turns."""
-    c = _contigs(spark, sf_dir).select("ordinal", F.col("name").alias("chrom"), "seq", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("i"))
+    """A variant each ten bases: a substitution, an insertion or a deletion by turns; behind every fifth a substitution at the
+    next base, which a deletion before it covers."""
+    c = _contigs(spark, sf_dir).select("ordinal", F.col("name").alias("chrom"), "seq", F.explode(F.sequence(F.lit(1), F.floor(F.length("seq") / 10).cast("int") - 1)).alias("i"))
     kind, pos = (F.col("ordinal") + F.col("i")) % 3, F.col("i") * 10
     one = S.part(F.col("seq"), pos, 1)
     ref = F.when(kind == 2, S.part(F.col("seq"), pos, 3)).otherwise(one)
     alt = F.when(kind == 0, F.translate(one, "ACGT", "CGTA")).when(kind == 1, F.concat(one, F.lit("GG"))).otherwise(one)
-    return c.select("chrom", pos.cast("int").alias("pos"), F.concat(F.lit("v"), F.col("i").cast("string")).alias("id"), ref.alias("ref"), F.array(alt).alias("alts"), F.lit("PASS").alias("filter"), F.lit("1/1").alias("gt"))
+    rows = c.select("chrom", pos.cast("int").alias("pos"), F.concat(F.lit("v"), F.col("i").cast("string")).alias("id"), ref.alias("ref"), F.array(alt).alias("alts"))
+    two = S.part(F.col("seq"), pos + 1, 1)
+    more = c.where("i % 5 = 0").select("chrom", (pos + 1).cast("int").alias("pos"), F.concat(F.lit("w"), F.col("i").cast("string")).alias("id"), two.alias("ref"), F.array(F.translate(two, "ACGT", "CGTA")).alias("alts"))
+    return rows.unionByName(more).withColumns({"filter": F.lit("PASS"), "gt": F.lit("1/1")})
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lift.applied(lift.alleles(_variants(spark, sf_dir)))
 
-_V = f"""{_C}, v AS (SELECT chrom, seq, k, i, (k + i) % 3 AS kind, i * 10 AS pos FROM c, range(1, 25) AS t(i)),
-a AS (SELECT chrom, seq, i, pos + (kind <> 0)::INT AS start, CASE kind WHEN 0 THEN seq[pos + 1] WHEN 1 THEN '' ELSE seq[pos + 2:pos + 3] END AS ref,
-  CASE kind WHEN 0 THEN translate(seq[pos + 1], 'ACGT', 'CGTA') WHEN 1 THEN 'GG' ELSE '' END AS alt, CASE WHEN kind = 2 THEN 2 ELSE 0 END AS gone FROM v),
-m AS (SELECT chrom, start + len(ref) AS orig_pos, sum(len(alt) - len(ref)) OVER (PARTITION BY chrom ORDER BY start) AS shift FROM a)"""
+_V = f"""{_C}, i AS (SELECT chrom, seq, k, unnest(range(1, len(seq) // 10)) AS i FROM c), v AS (SELECT *, (k + i) % 3 AS kind, i * 10 AS pos FROM i),
+a AS (SELECT chrom, seq, 'v' || i AS id, pos, pos + (kind <> 0)::INT AS start, CASE kind WHEN 0 THEN seq[pos + 1] WHEN 1 THEN '' ELSE seq[pos + 2:pos + 3] END AS ref,
+  CASE kind WHEN 0 THEN translate(seq[pos + 1], 'ACGT', 'CGTA') WHEN 1 THEN 'GG' ELSE '' END AS alt, CASE WHEN kind = 2 THEN 2 ELSE 0 END AS gone FROM v
+  UNION ALL SELECT chrom, seq, 'w' || i, pos + 1, pos + 1, seq[pos + 2], translate(seq[pos + 2], 'ACGT', 'CGTA'), 0 FROM v WHERE i % 5 = 0 AND kind <> 2),
+m AS (SELECT chrom, start, start + len(ref) AS orig_pos, sum(len(alt) - len(ref)) OVER (PARTITION BY chrom ORDER BY start, pos) AS shift FROM a)"""
 
 @query(f"WITH {_V} SELECT chrom, start, ref, alt, gone FROM a")
 def variants_applied(spark, sf_dir):
@@ -430,31 +401,35 @@ def variants_applied(spark, sf_dir):
 
 @query(f"WITH {_V} SELECT chrom, orig_pos, shift::INT AS shift FROM m")
 def coordinate_shift(spark, sf_dir):
-    return lift.shifts(_rows(spark, sf_dir)).drop("hap")
+    return lift.shifts(_rows(spark, sf_dir)).select("chrom", "orig_pos", "shift")
 
-@query(f"""WITH {_V}, f AS (SELECT chrom, unnest(range(1, 250, 7)) AS s FROM c)
-SELECT 's_' || chrom AS seqname, s AS old, s + coalesce((SELECT arg_max(shift, orig_pos) FROM m WHERE m.chrom = f.chrom AND orig_pos <= s), 0)::INT AS start,
-  s + 5 + coalesce((SELECT arg_max(shift, orig_pos) FROM m WHERE m.chrom = f.chrom AND orig_pos <= s + 5), 0)::INT AS "end" FROM f""")
+@query(f"""WITH {_V}, f AS (SELECT chrom, unnest(range(1, 250, 7)) AS s FROM c UNION ALL SELECT chrom, unnest(range(1000, len(seq) - 10, 997)) FROM c WHERE k < 0),
+p AS (SELECT chrom, s AS place, NULL AS start, NULL AS shift, 1 AS kind FROM f UNION SELECT chrom, s + 5, NULL, NULL, 1 FROM f UNION ALL SELECT chrom, orig_pos, start, shift, 0 FROM m),
+l AS (SELECT chrom, place, kind, coalesce(last_value(shift IGNORE NULLS) OVER (PARTITION BY chrom ORDER BY place, kind, start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS by_ FROM p),
+q AS (SELECT DISTINCT chrom, place, by_ FROM l WHERE kind = 1)
+SELECT 's_' || f.chrom AS seqname, s AS old, (s + x.by_)::INT AS start, (s + 5 + y.by_)::INT AS "end" FROM f JOIN q x ON x.chrom = f.chrom AND x.place = s JOIN q y ON y.chrom = f.chrom AND y.place = s + 5""")
 def liftover_asof(spark, sf_dir):
-    f = _contigs(spark, sf_dir).select(F.col("name").alias("seqname"), F.lit("x").alias("source"), F.lit("y").alias("feature"), F.explode(F.sequence(F.lit(1), F.lit(246), F.lit(7))).alias("start"))
-    f = f.select("seqname", "source", "feature", "start", (F.col("start") + 5).alias("end"), F.col("start").cast("string").alias("rest"))
+    c = _contigs(spark, sf_dir)
+    short = c.select(F.col("name").alias("seqname"), F.explode(F.sequence(F.lit(1), F.lit(246), F.lit(7))).alias("start"))
+    long = c.where("ordinal < 0").select(F.col("name").alias("seqname"), F.explode(F.sequence(F.lit(1000), F.length("seq") - 11, F.lit(997))).alias("start"))
+    f = short.unionByName(long).select("seqname", F.lit("x").alias("source"), F.lit("y").alias("feature"), "start", (F.col("start") + 5).alias("end"), F.col("start").cast("string").alias("rest"))
     return lift.lifted(f, lift.shifts(_rows(spark, sf_dir)), sample="s").select("seqname", F.col("rest").cast("int").alias("old"), "start", "end")
 
-@query(f"""WITH {_V}, b AS (SELECT chrom, any_value(seq) AS seq, string_agg(seq[fr + 1:start] || alt, '' ORDER BY start) AS t, max(start + len(ref)) AS e
-  FROM (SELECT *, coalesce(lag(start + len(ref)) OVER (PARTITION BY chrom ORDER BY start), 0) AS fr FROM a) GROUP BY chrom) SELECT chrom, t || seq[e + 1:256] AS seq FROM b""")
+@query(f"""WITH {_V}, b AS (SELECT chrom, any_value(seq) AS seq, string_agg(seq[fr + 1:start] || alt, '' ORDER BY start, pos) AS t, max(start + len(ref)) AS e
+  FROM (SELECT *, coalesce(lag(start + len(ref)) OVER (PARTITION BY chrom ORDER BY start, pos), 0) AS fr FROM a) GROUP BY chrom) SELECT chrom, t || seq[e + 1:] AS seq FROM b""")
 def genome(spark, sf_dir):
     return lift.genome(_contigs(spark, sf_dir), _rows(spark, sf_dir)).select("chrom", "seq")
 
-@query(f"""WITH {_V}, w AS (SELECT *, greatest(start - 7, 0) AS x, least(start + 7 + CASE WHEN len(alt) > 1 THEN 0 ELSE len(alt) + gone END, 256) AS z,
-  start + CASE WHEN gone > 0 THEN gone WHEN len(alt) > 1 THEN 0 ELSE 1 END AS y FROM a) SELECT chrom, 'v' || i AS id, x + 1 AS start, z AS "end", seq[x + 1:start] || alt || seq[y + 1:z] AS seq FROM w""")
+@query(f"""WITH {_V}, w AS (SELECT *, greatest(start - 7, 0) AS x, least(start + 7 + CASE WHEN len(alt) > 1 THEN 0 ELSE len(alt) + gone END, len(seq)) AS z,
+  start + CASE WHEN gone > 0 THEN gone WHEN len(alt) > 1 THEN 0 ELSE 1 END AS y FROM a) SELECT chrom, id, x + 1 AS start, z AS "end", seq[x + 1:start] || alt || seq[y + 1:z] AS seq FROM w""")
 def variant_contig(spark, sf_dir):
     return lift.variant_contigs(_rows(spark, sf_dir), _contigs(spark, sf_dir), 8).select("chrom", "id", "start", "end", "seq")
 
-@query(f"""WITH {_C}, j AS (SELECT chrom, seq, s, s + 30 AS e FROM c, (SELECT unnest(range(3, 226, 11)) AS s))
-SELECT chrom, s AS start, e AS "end", seq[greatest(s - 8, 0) + 1:s - 1] || seq[e + 1:least(e + 7, 256)] AS seq FROM j""")
+@query(f"""WITH {_C}, j AS (SELECT chrom, seq, s, s + 30 AS e FROM c, (SELECT unnest(range(3, 226, 11)) AS s) WHERE k >= 0)
+SELECT chrom, s AS start, e AS "end", seq[greatest(s - 8, 0) + 1:s - 1] || seq[e + 1:least(e + 7, len(seq))] AS seq FROM j""")
 def sj_contig(spark, sf_dir):
     c = _contigs(spark, sf_dir)
-    j = c.select(F.col("name").alias("chrom"), F.explode(F.sequence(F.lit(3), F.lit(225), F.lit(11))).alias("start")).withColumn("end", F.col("start") + 30)
+    j = c.where("ordinal >= 0").select(F.col("name").alias("chrom"), F.explode(F.sequence(F.lit(3), F.lit(225), F.lit(11))).alias("start")).withColumn("end", F.col("start") + 30)
     return lift.junction_contigs(j, c, 8)
 
 @query(f"{_P}, o AS (SELECT t AS tag, read_id, 0 AS err FROM p, (SELECT unnest(['ACGT', 'GGAC']) AS t) WHERE seq[pos + 1:pos + 4] = t) SELECT tag, count(DISTINCT read_id) AS reads, count(*) AS hits FROM o GROUP BY 1")

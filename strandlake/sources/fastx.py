@@ -103,15 +103,24 @@ class _Reader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("splitbytes", SPLIT_BYTES))
 
     def partitions(self) -> list[Part]:
+        """Parts of the file, or of the files of a folder in order of name, as Spark writes them."""
         system, path = _system(self.path)
         info = system.get_file_info(path)
-        if self.path.endswith(".gz"):
-            return [Part(0, self.path, 0, -1)]
-        with system.open_input_file(path) as f:
+        if info.type == fs.FileType.Directory:
+            files = sorted((i for i in system.get_file_info(fs.FileSelector(path)) if i.is_file and i.base_name[0] not in "._" and i.size), key=lambda i: i.base_name)
+            cuts = [c for i in files for c in self._cuts(system, f"{self.path.rstrip('/')}/{i.base_name}", i)]
+        else:
+            cuts = self._cuts(system, self.path, info)
+        return [Part(n, *c) for n, c in enumerate(cuts or [(self.path, 0, 0)])]
+
+    def _cuts(self, system: fs.FileSystem, uri: str, info: fs.FileInfo) -> list[tuple[str, int, int, bool]]:
+        if uri.endswith(".gz"):
+            return [(uri, 0, -1, True)]
+        with system.open_input_file(info.path) as f:
             head = f.read(min(info.size, WINDOW))
         multiline, fastq = self._multiline(head), head[:1] == b"@"
         step = max(info.size, 1) if multiline else self.split
-        return [Part(i, self.path, a, min(a + step, info.size), fastq) for i, a in enumerate(range(0, max(info.size, 1), step))]
+        return [(uri, a, min(a + step, info.size), fastq) for a in range(0, max(info.size, 1), step)]
 
     @staticmethod
     def _multiline(head: bytes) -> bool:
@@ -120,6 +129,8 @@ class _Reader(DataSourceReader):
         return lines[0][:1] == b"@" and len(lines) > 2 and lines[2][:1] != b"+"
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        if part.start == part.end:  # nothing is there
+            return
         kinds = pa.schema([("part", pa.int32()), ("nth", pa.int64()), *((n, pa.string()) for n in ("name", "comment", "seq", "qual"))])
         system, path = _system(part.file)
         with system.open_input_file(path) as f:
@@ -187,7 +198,7 @@ def _pieces(f, start: int, end: int) -> io.BufferedReader:
 
 
 class FastxSource(DataSource):
-    """spark.read.format("fastx").load(file): FASTA or FASTQ, plain or .gz; part and nth give the order."""
+    """spark.read.format("fastx").load(file or folder): FASTA or FASTQ, plain or .gz; part and nth give the order."""
 
     @classmethod
     def name(cls) -> str:
@@ -201,7 +212,8 @@ class FastxSource(DataSource):
 
 
 def read_fastx(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(ordinal, seg): the records of a file with their number, from 0 on. Parts are counted first; a part is a row there."""
+    """(ordinal, seg): the records of a file, or of a folder of files, with their number, from 0 on. Parts are counted first; a
+    part is a row there."""
     spark.dataSource.register(FastxSource)
     rows = spark.read.format("fastx").option("splitBytes", split_bytes).load(path)
     sizes = sorted(map(tuple, rows.groupBy("part").agg(F.count(F.lit(1))).collect()))

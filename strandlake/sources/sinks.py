@@ -11,9 +11,19 @@ from strandlake.model import Layer
 
 def write_streams(records: DataFrame, folder: str, compression: str | None = None) -> None:
     """A folder a stream (stream=...), records in order within each file: sorted by range, so files follow each other."""
-    out = records.repartitionByRange("read_id").sortWithinPartitions("stream", "read_id", "nth")
-    out = out.select("stream", F.regexp_replace("text", "\n$", "").alias("value"))
-    out.write.partitionBy("stream").option("compression", compression or "none").text(folder)
+    _write(records, F.col("stream"), "stream", folder, compression)
+
+
+def write_files(records: DataFrame, folder: str, n_files: int, compression: str | None = None, fasta: bool = False, r1_r2: bool = False) -> None:
+    """A folder a file of the outputs (file=..., as ``file_of`` names it), so reads demultiplexed by prefix end in files of
+    their names; ``read_reads`` takes such a folder for a file."""
+    _write(records, file_of(F.col("stream"), n_files, fasta, r1_r2), "file", folder, compression)
+
+
+def _write(records: DataFrame, by: Column, name: str, folder: str, compression: str | None) -> None:
+    out = records.repartitionByRange("read_id").withColumn(name, by).sortWithinPartitions(name, "read_id", "nth")
+    out = out.select(name, F.regexp_replace("text", "\n$", "").alias("value"))
+    out.write.partitionBy(name).option("compression", compression or "none").text(folder)
 
 
 def file_of(stream: Column, n_files: int, fasta: bool = False, r1_r2: bool = False) -> Column:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.sources.fastx import read_fastx
+from strandlake.sources.fastx import SPLIT_BYTES, read_fastx
 
 
 def read_vcf(spark: SparkSession, path: str, sample: str) -> DataFrame:
-    """chrom, pos (0-based), id, ref, alts, filter, gt of one sample, from VCF text (plain or .gz)."""
-    lines = spark.read.text(path)
+    """block, ordinal (its place in the file, by part), chrom, pos (0-based), id, ref, alts, filter, gt of one sample, from VCF
+    text (plain or .gz)."""
+    lines = spark.read.text(path).withColumns({"block": F.col("_metadata.file_block_start"), "ordinal": F.monotonically_increasing_id()})
     head = lines.where(F.col("value").startswith("#CHROM")).first()
     columns = head[0].split("\t") if head else []
     if sample not in columns[9:]:
@@ -24,7 +25,7 @@ def read_vcf(spark: SparkSession, path: str, sample: str) -> DataFrame:
     values = F.split(field(columns.index(sample)), ":")
     rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
     return rows.select(
-        field(0).alias("chrom"), (field(1).try_cast("int") - 1).alias("pos"), field(2).alias("id"), field(3).alias("ref"), F.split(field(4), ",").alias("alts"), field(6).alias("filter"),
+        "block", "ordinal", field(0).alias("chrom"), (field(1).try_cast("int") - 1).alias("pos"), field(2).alias("id"), field(3).alias("ref"), F.split(field(4), ",").alias("alts"), field(6).alias("filter"),
         F.when(place > 0, F.get(values, place - 1)).alias("gt"),
     ).where("gt is not null")
 
@@ -45,6 +46,6 @@ def read_junctions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(v.rlike(p)).select(F.regexp_extract(v, p, 1).alias("chrom"), F.regexp_extract(v, p, 2).cast("int").alias("start"), F.regexp_extract(v, p, 3).cast("int").alias("end"))
 
 
-def read_contigs(spark: SparkSession, path: str) -> DataFrame:
+def read_contigs(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """ordinal, name, seq."""
-    return read_fastx(spark, path).select("ordinal", F.col("seg")["name"].alias("name"), F.col("seg.seq").alias("seq"))
+    return read_fastx(spark, path, split_bytes).select("ordinal", F.col("seg")["name"].alias("name"), F.col("seg.seq").alias("seq"))

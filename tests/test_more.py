@@ -1,5 +1,6 @@
 """Nested layers, mappings, streams, unmask, lift, sources and sinks."""
 
+import bisect
 import gzip
 import io
 import random
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.model import READS, expand
-from strandlake.operators import assign, lift, summary, unmask
+from strandlake.operators import assign, lift, ordering, summary, unmask
 from strandlake.operators.layer import run_layer
 from strandlake.operators.neighbourhood import combined, partials, substituted
 from strandlake.operators.ordering import numbered
@@ -17,7 +18,7 @@ from strandlake.operators.scan import candidates, clear_hits
 from strandlake.functions.sequence import barcode, barcode_id, reverse_complement
 from strandlake.plans import parse
 from strandlake.plans.options import build
-from strandlake.sources import fastx, sinks, tables
+from strandlake.sources import fastx, sinks, staging, tables
 from strandlake.sources.fastx import read_fastx, read_reads
 from strandlake.streaming import reads as streaming
 from tests.fixtures import BOUND, BOUND_FA, LEFT, RIGHT, TWO, fastq, md5, run
@@ -159,7 +160,7 @@ def test_relational_scan_agrees(spark, seed):
                 at = hit[0]
             else:
                 at += 1
-        assert [(a, z, p.tag.name, e) for p, a, z, e in scanner.scan([s])[0]] == want
+        assert [(a, z, p.tag.name, e) for p, a, z, e in scanner.scan([s], [scanner.places([s], 0)[0]])[0]] == want
 
 
 def test_splits_of_fastq(spark, tmp_path):
@@ -399,3 +400,66 @@ def test_sub_encode(spark, tmp_path):
     assert rows["a"][2] and rows["b"][2] and not rows["c"][2]
     assert rows["b"][1] != rows["a"][1] and "c" not in {x.split("\n")[0] for x in streams["pipe"].split("@")}
     assert f"@b\n{'A' * 15}C{'A' * 14}CA\n" in streams["pipe"] and f"@a\n{'A' * 32}\n" in streams["pipe"]
+
+
+def test_running_values_by_range(spark):
+    rng = random.Random(4)
+    rows = sorted({(rng.choice("ab"), rng.randrange(400)) for _ in range(300)})
+    rows = [(k, at, rng.choice([None, rng.randrange(50)])) for k, at in rows]
+    df = spark.createDataFrame(rows, "k string, at int, v int").repartition(3)
+    kinds = {n: (n, F.col("v")) for n in ("sum", "max", "before", "last", "prior")}
+    got = {(r.k, r.at): r for r in ordering.running(df, ["k"], F.floor(F.col("at") / 37), ["at"], kinds).collect()}
+    assert len(got) == len(rows)
+    for key in "ab":
+        seen = []
+        for k, at, v in rows:
+            if k == key:
+                r, known = got[k, at], [x for x in seen if x is not None]
+                with_it = known + ([v] if v is not None else [])
+                assert (r.sum, r.max, r.before) == (sum(with_it), max(with_it, default=None), max(known, default=None))
+                assert (r["last"], r.prior) == (with_it[-1] if with_it else None, seen[-1] if seen else None)
+                seen.append(v)
+
+
+def test_lift_of_shuffled_features(spark):
+    rng = random.Random(5)
+    alleles = spark.createDataFrame([("c", 0, p, p, "A", rng.choice(["", "AGG"]), False, False, None) for p in range(10, 300_000, 500)], "chrom string, hap int, pos int, start int, ref string, alt string, deletes boolean, indel boolean, id string")
+    moved = lift.shifts(alleles)
+    table = sorted((r.orig_pos, r.shift) for r in moved.collect())
+    places = [p for p, _ in table]
+    features = [("c", "s", "f", p, p + 700, str(p)) for p in range(1, 300_000, 97)]
+    df = spark.createDataFrame(features, "seqname string, source string, feature string, start int, end int, rest string")
+    by = lambda p: table[bisect.bisect_right(places, p) - 1][1] if bisect.bisect_right(places, p) else 0
+    want = sorted((p + by(p), e + by(e), r) for _, _, _, p, e, r in features)
+    for rows in (df, df.repartition(5)):
+        assert sorted((r.start, r.end, r.rest) for r in lift.lifted(rows, moved, sample="s").collect()) == want
+
+
+def test_variants_out_of_order(spark, tmp_path):
+    kind = "block long, ordinal long, chrom string, pos int"
+    rows = [(0, 0, "a", 5), (0, 1, "a", 9), (0, 2, "b", 3), (64, 3, "b", 2), (64, 4, "a", 10), (128, 5, "a", 11)]
+    df = spark.createDataFrame(rows, kind).repartition(3)
+    assert sorted(map(tuple, lift.unsorted(df).collect())) == [("a", 10, "chromosome"), ("b", 2, "position")]
+    with pytest.raises(ValueError, match="not sorted"):
+        lift.in_order(df)
+    good = spark.createDataFrame(rows[:3], kind)
+    assert lift.in_order(good) is good
+    (tmp_path / "v.vcf").write_text(VCF)
+    assert lift.unsorted(tables.read_vcf(spark, str(tmp_path / "v.vcf"), "s1")).count() == 0
+
+
+def test_numbers_of_many_keys(spark):
+    """400,000 keys over several partitions, in memory and after a write, with adaptive execution."""
+    df = spark.range(0, 400_000, 1, 6).select((F.col("id") * 7919 % 400_009).alias("read_id"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    ids = assign.first_appearance(df, "key")
+    for rows in (ids, staging.staged(ids, "ids")):
+        assert rows.agg(F.count(F.lit(1)), F.count_distinct("id"), F.min("id"), F.max("id")).first()[:] == (400_000, 400_000, 0, 399_999)
+
+
+def test_shared_folder_and_cleanup(spark):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        staging.shared_dir(Cluster)

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
-from strandlake.plans import queries
+from strandlake.plans import files, queries, rules  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
