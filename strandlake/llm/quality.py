@@ -170,16 +170,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             for at in range(0, len(b), BLOCK):
                 part = b.iloc[at : at + BLOCK]
                 found = [terms(x) for x in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].tolist(), "quality": part["quality"].tolist(), "terms": [a for a, _ in found], "counts": [n for _, n in found]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].tolist(), "quality": part["quality"].tolist(), "terms": [a.tobytes() for a, _ in found], "counts": [n.tobytes() for _, n in found]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "_labels").agg(F.min("text").alias("text"))
     rows = texts.select("doc_id", "text", F.explode("_labels").alias("quality"))
-    got = rows.mapInPandas(run, f"doc_id {kind}, quality int, terms array<int>, counts array<float>").toPandas()
+    got = rows.mapInPandas(run, f"doc_id {kind}, quality int, terms binary, counts binary").toPandas()
     if got.empty:
         return None
     got = got.iloc[np.lexsort([got["quality"], got["doc_id"]])]  # the same order, and so the same space, in each run
-    found = [(np.asarray(a, np.int32), np.asarray(n, np.float32)) for a, n in zip(got["terms"], got["counts"], strict=True)]
+    found = [(np.frombuffer(a, np.int32), np.frombuffer(n, np.float32)) for a, n in zip(got["terms"], got["counts"], strict=True)]
     return Voters(found, got["quality"].to_numpy())
 
 
