@@ -24,8 +24,8 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, ids: bool = True) -> DataFrame:
-    """reads with the columns of ADDED.
+def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, ids: bool = True, only: tuple[str, ...] = ADDED) -> DataFrame:
+    """reads with the columns of ADDED, or those of them in ``only``: what other columns need is not made.
 
     names: the ordered list of tags; out: the segments as they are to be written; assigned: whether the read has a barcode
     (or, if the layer doesn't assign, passes); discard: it was sorted out; passes: it is not too short or long. With
@@ -76,7 +76,7 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
     df = settled(df.drop("_found"))
     # extraction
     given = [_placed(p, segs) for p in layer.placements[::-1] if p.pos == -1]  # the last listed comes first
-    df = df.withColumn("umis", extractions(layer, F.col("hits"), F.col("_seqs"), F.col("_quals"), given) if layer.extracts else F.array().cast("array<struct<value:string,qual:string>>"))
+    df = df.withColumn("umis", extractions(layer, F.col("hits"), F.col("_seqs"), F.col("_quals"), given) if layer.extracts and "umis" in only else F.array().cast("array<struct<value:string,qual:string>>"))
     # tag trim, then the quality trim if it goes after the scan
     cols = {}
     for j in range(n):
@@ -124,6 +124,8 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
     strict = ~F.col("discard") & some
     df = df.withColumn("assigned", strict if layer.assign else F.lit(True))
     df = settled(df.withColumn("key", F.when(strict, F.col("names"))))
+    if "out" not in only and "cuts" not in only:
+        return _numbered(df.select(*reads.columns, *only, *(["key"] if "key" not in only else []), *(["names"] if "names" not in only else [])), reads, layer, known, ids, only)
     # what is written: cut and substituted reads where they are assigned, else as they came
     cols = {}
     for j in range(n):
@@ -145,14 +147,17 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
         for j in range(n)
     ]
     df = df.withColumns({"out": F.array(*outs), "cuts": F.array(*cuts)})
-    df = settled(df.select(*reads.columns, *ADDED))
-    if ids and layer.assign and not layer.encode:
+    return _numbered(settled(df.select(*reads.columns, *ADDED)), reads, layer, known, ids, only)
+
+
+def _numbered(df: DataFrame, reads: DataFrame, layer: Layer, known: DataFrame | None, ids: bool, only: tuple[str, ...]) -> DataFrame:
+    """df with the ids by first appearance, where they are asked for."""
+    if ids and layer.assign and not layer.encode and "id" in only:
         df = assign.with_ids(df.drop("id"), "key", assign.first_appearance(df, "key", known), "id")
-        if layer.sub_assign:
-            df = df.withColumn("sub_key", F.when(F.col("key").isNotNull(), assign.picked(F.col("names"), layer.sub_assign))).drop("sub_id")
-            df = assign.with_ids(df, "sub_key", assign.first_appearance(df, "sub_key"), "sub_id").drop("sub_key")
-        df = df.select(*reads.columns, *ADDED)
-    return df
+    if ids and layer.assign and not layer.encode and layer.sub_assign and "sub_id" in only:
+        df = df.withColumn("sub_key", F.when(F.col("key").isNotNull(), assign.picked(F.col("names"), layer.sub_assign))).drop("sub_id")
+        df = assign.with_ids(df, "sub_key", assign.first_appearance(df, "sub_key"), "sub_id").drop("sub_key")
+    return df.select(*reads.columns, *only)
 
 
 def _placed(p, segs: list[Column]) -> Column:

@@ -121,6 +121,7 @@ def _mt19937(seed: int, n: int) -> list[int]:
     return np.random.RandomState(seed)._bit_generator.random_raw(n).tolist()
 
 
+#: fixed values: column names of tag tables
 _TAG_COLUMNS = {
     "tag": "seq", "barcode": "seq", "distance": "distance", "location": "location", "id": "name", "group": "group", "minfinds": "min_finds", "maxfinds": "max_finds",
     "minfindsg": "min_finds_g", "maxfindsg": "max_finds_g", "revcomp": "revcomp", "exclude": "exclude", "sub": "sub", "after": "after", "next": "after", "before": "before", "previous": "before",
@@ -226,6 +227,7 @@ def config(text: str, layer: Layer | None = None) -> Layer:
 
 
 def _directive(layer: Layer, word: str, rest: str) -> None:
+    #: fixed values: the names of directives, here and below
     flags = {"@qtrim-5": "qtrim5", "@qtrim-3": "qtrim3", "@qtrim-pre": "qtrim_pre", "@qtrim-naive": "qtrim_naive", "@phred64": "phred64", "@x-only": "x_only", "@no-tags": "no_tags", "@assign": "assign"}
     if word in flags:
         setattr(layer, flags[word], True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as S
 from strandlake.operators import assign, lift, summary, unmask
-from strandlake.operators.layer import run_layer
+from strandlake.operators.layer import ADDED, run_layer
 from strandlake.operators.neighbourhood import substituted
 from strandlake.operators.render import header_suffix, records
 from strandlake.operators.render import process as process_reads
@@ -54,9 +54,9 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
     return register
 
-def _layer(spark: SparkSession, sf_dir: str, n_files: int = 1, **options) -> DataFrame:
+def _layer(spark: SparkSession, sf_dir: str, n_files: int = 1, only: str = "", **options) -> DataFrame:
     layer, _ = build(n_files=n_files, **options)
-    return run_layer(reads(spark, sf_dir, n_files), layer)
+    return run_layer(reads(spark, sf_dir, n_files), layer, only=tuple(only.split()) or ADDED)
 
 def _seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("read_id", F.array(S.normalised(F.element_at("segs", 1).seq)).alias("seqs"))
@@ -135,40 +135,40 @@ h AS (SELECT read_id, 1 AS nth, min(pos) AS pos, arg_min(name, pos) AS name FROM
 
 @query(_greedy(["ACG", "CGT", "GTT"]) + " SELECT read_id, nth, pos AS start, pos + 3 AS \"end\", name FROM h")
 def greedy_scan(spark, sf_dir):
-    rows = _layer(spark, sf_dir, tags="ACG,CGT,GTT").select("read_id", F.posexplode("hits").alias("nth", "h"))
+    rows = _layer(spark, sf_dir, only="hits", tags="ACG,CGT,GTT").select("read_id", F.posexplode("hits").alias("nth", "h"))
     return rows.select("read_id", (F.col("nth") + 1).alias("nth"), "h.start", "h.end", "h.name")
 
 @query(_greedy(["ACG", "CGT", "GTT"]) + " SELECT read_id, string_agg(name, ',' ORDER BY nth) AS names FROM h WHERE nth <= 99 GROUP BY read_id")
 def tag_lists(spark, sf_dir):
-    return _layer(spark, sf_dir, tags="ACG,CGT,GTT").where(F.size("names") > 0).select("read_id", F.array_join("names", ",").alias("names"))
+    return _layer(spark, sf_dir, only="names", tags="ACG,CGT,GTT").where(F.size("names") > 0).select("read_id", F.array_join("names", ",").alias("names"))
 
 @query(f"WITH {_R} SELECT read_id, instr(seq, 'CA') - 1 AS start FROM r WHERE instr(seq, 'CA') > 0")
 def max_finds(spark, sf_dir):
-    return _layer(spark, sf_dir, tags="CA", maxfinds="1").select("read_id", F.explode("hits").alias("h")).select("read_id", "h.start")
+    return _layer(spark, sf_dir, only="hits", tags="CA", maxfinds="1").select("read_id", F.explode("hits").alias("h")).select("read_id", "h.start")
 
 @query(f"WITH {_R} SELECT read_id, len(regexp_extract_all(seq, 'CA')) >= 2 AS kept FROM r")
 def min_finds(spark, sf_dir):
-    return _layer(spark, sf_dir, tags="CA", minfinds="2").select("read_id", (F.size("names") > 0).alias("kept"))
+    return _layer(spark, sf_dir, only="names", tags="CA", minfinds="2").select("read_id", (F.size("names") > 0).alias("kept"))
 
 @query(f"WITH {_R} SELECT read_id, instr(seq, 'ACG') - 1 AS anchor, instr(seq, 'ACG') + 4 + instr(seq[instr(seq, 'ACG') + 3:instr(seq, 'ACG') + 8], 'GT') - 3 AS start FROM r WHERE instr(seq, 'ACG') > 0 AND instr(seq[instr(seq, 'ACG') + 3:instr(seq, 'ACG') + 8], 'GT') > 0")
 def previous_next(spark, sf_dir):
     """The first GT that begins within four bases behind the first ACG."""
-    df = _layer(spark, sf_dir, tags="ACG,GT", maxfinds="1,1", previous=",{ACG}0-4")
+    df = _layer(spark, sf_dir, only="hits", tags="ACG,GT", maxfinds="1,1", previous=",{ACG}0-4")
     return df.where(F.size("hits") == 2).select("read_id", F.element_at("hits", 1).start.alias("anchor"), F.element_at("hits", 2).start.alias("start"))
 
 @query(f"WITH {_R}, c AS (SELECT read_id, CASE WHEN seq[1:5] = 'CCAAA' THEN 5 WHEN seq[1:4] = 'CAAA' THEN 4 WHEN seq[1:3] = 'AAA' THEN 3 END AS k FROM r) SELECT read_id, k FROM c WHERE k IS NOT NULL")
 def partial5(spark, sf_dir):
-    df = _layer(spark, sf_dir, tags="CCAAA", locations="0:0:5", partial5="3")
+    df = _layer(spark, sf_dir, only="hits", tags="CCAAA", locations="0:0:5", partial5="3")
     return df.select("read_id", F.explode("hits").alias("h")).where("h.start = 0").select("read_id", F.col("h.end").alias("k"))
 
 @query(f"WITH {_R}, c AS (SELECT read_id, CASE WHEN seq[28:32] = 'CCAAA' THEN 5 WHEN seq[29:32] = 'CCAA' THEN 4 WHEN seq[30:32] = 'CCA' THEN 3 END AS k FROM r) SELECT read_id, k FROM c WHERE k IS NOT NULL")
 def partial3(spark, sf_dir):
-    df = _layer(spark, sf_dir, tags="CCAAA", locations="0:-5:0", partial3="3")
+    df = _layer(spark, sf_dir, only="hits", tags="CCAAA", locations="0:-5:0", partial3="3")
     return df.select("read_id", F.explode("hits").alias("h")).where("h.end = 32").select("read_id", (F.col("h.end") - F.col("h.start")).alias("k"))
 
 @query(f"WITH {_R} SELECT read_id, array_to_string(regexp_extract_all(seq, 'T{{2,4}}'), ',') AS runs FROM r WHERE regexp_matches(seq, 'TT')")
 def polymer(spark, sf_dir):
-    df = _layer(spark, sf_dir, tags="T:2-4", ids="t").where(F.size("hits") > 0)
+    df = _layer(spark, sf_dir, only="hits", tags="T:2-4", ids="t").where(F.size("hits") > 0)
     return df.select("read_id", F.array_join(F.transform("hits", lambda h: F.repeat(F.lit("T"), h.end - h.start)), ",").alias("runs"))
 
 # cutting and editing
@@ -222,32 +222,32 @@ v AS (SELECT read_id, string_agg(v, '' ORDER BY pos) AS value FROM o GROUP BY re
 
 @query(_occurrences("ACG", "seq[pos + 4:pos + 7]", "pos <= 25"))
 def umi_after_tag(spark, sf_dir):
-    return _umi(_layer(spark, sf_dir, tags="ACG", extract="{ACG}<u[4]>")).select("read_id", "value")
+    return _umi(_layer(spark, sf_dir, only="umis", tags="ACG", extract="{ACG}<u[4]>")).select("read_id", "value")
 
 @query(_occurrences("ACG", "seq[pos - 3:pos]", "pos >= 4"))
 def umi_before_tag(spark, sf_dir):
-    return _umi(_layer(spark, sf_dir, tags="ACG", extract="<u[4]>{ACG}")).select("read_id", "value")
+    return _umi(_layer(spark, sf_dir, only="umis", tags="ACG", extract="<u[4]>{ACG}")).select("read_id", "value")
 
 @query(f"""{_P}, o AS (SELECT read_id, seq, pos, lead(pos) OVER (PARTITION BY read_id ORDER BY pos) AS nxt FROM p WHERE seq[pos + 1:pos + 3] = 'ACG'),
 v AS (SELECT read_id, string_agg(seq[pos + 4:nxt], '' ORDER BY pos) AS value FROM o WHERE nxt > pos + 3 GROUP BY read_id) SELECT read_id, coalesce(value, '') AS value FROM r LEFT JOIN v USING (read_id)""")
 def umi_between(spark, sf_dir):
-    return _umi(_layer(spark, sf_dir, tags="ACG", extract="{ACG}<u>{ACG}")).select("read_id", "value")
+    return _umi(_layer(spark, sf_dir, only="umis", tags="ACG", extract="{ACG}<u>{ACG}")).select("read_id", "value")
 
 @query(f"WITH {_R} SELECT read_id, seq[3:8] AS value, qual[3:8] AS qual FROM r")
 def umi_location(spark, sf_dir):
-    return _umi(_layer(spark, sf_dir, extract="0:2<u[6]>"))
+    return _umi(_layer(spark, sf_dir, only="umis", extract="0:2<u[6]>"))
 
 @query(f"WITH {_R} SELECT read_id, 'GG' || reverse(translate(seq[27:32], 'ACGT', 'TGCA')) AS value, 'KK' || reverse(qual[27:32]) AS qual FROM r")
 def umi_transform(spark, sf_dir):
-    return _umi(_layer(spark, sf_dir, extract="<~^GG^u[6]>0:-1"))
+    return _umi(_layer(spark, sf_dir, only="umis", extract="<~^GG^u[6]>0:-1"))
 
 @query(f"WITH {_R} SELECT read_id, CASE WHEN instr(seq, 'ACG') > 4 THEN seq[3:instr(seq, 'ACG') - 1] ELSE '' END AS value FROM r")
 def umi_to_tag(spark, sf_dir):
-    return _umi(_layer(spark, sf_dir, tags="ACG", maxfinds="1", extract="0:2<u[2-32]>{ACG}")).select("read_id", "value")
+    return _umi(_layer(spark, sf_dir, only="umis", tags="ACG", maxfinds="1", extract="0:2<u[2-32]>{ACG}")).select("read_id", "value")
 
 @query(_greedy(["ACG", "GTT"]) + ", v AS (SELECT read_id, string_agg(name, '' ORDER BY nth) AS value FROM h GROUP BY read_id) SELECT read_id, coalesce(value, '') AS value FROM r LEFT JOIN v USING (read_id)")
 def stitched_tags(spark, sf_dir):
-    return _umi(_layer(spark, sf_dir, tags="ACG,GTT", extract="<u{*}>")).select("read_id", "value")
+    return _umi(_layer(spark, sf_dir, only="umis", tags="ACG,GTT", extract="<u{*}>")).select("read_id", "value")
 
 # assignment: the first two and the next two bases of a read are its tags
 
@@ -265,43 +265,43 @@ def _base4(x: str) -> str:
 
 @query(f"WITH {_R}, f AS (SELECT read_id, {_K} AS names FROM r), g AS (SELECT *, min(read_id) OVER (PARTITION BY names) AS first FROM f) SELECT read_id, names, dense_rank() OVER (ORDER BY first) - 1 AS id FROM g")
 def dense_id(spark, sf_dir):
-    return _layer(spark, sf_dir, assign=True, **_PAIR).select("read_id", F.array_join("names", ",").alias("names"), "id")
+    return _layer(spark, sf_dir, only="names id", assign=True, **_PAIR).select("read_id", F.array_join("names", ",").alias("names"), "id")
 
 @query(f"WITH {_R}, f AS (SELECT {_K} AS names, min(read_id) AS first, count(*) AS n FROM r GROUP BY 1), g AS (SELECT *, row_number() OVER (ORDER BY first) - 1 AS id FROM f) SELECT {_base4('id')} AS barcode, names, n FROM g")
 def mapping(spark, sf_dir):
     layer, _ = build(assign=True, **_PAIR)
-    df = run_layer(reads(spark, sf_dir), layer, ids=False)
+    df = run_layer(reads(spark, sf_dir), layer, ids=False, only=("key",))
     return assign.mapping(assign.first_appearance(df, "key"), "key", layer.bclen).drop("id")
 
 @query(f"WITH {_R}, f AS (SELECT read_id, 'x' || seq[1:2] AS k FROM r), g AS (SELECT *, min(read_id) OVER (PARTITION BY k) AS first FROM f) SELECT read_id, dense_rank() OVER (ORDER BY first) - 1 AS sub_id FROM g")
 def sub_assign(spark, sf_dir):
-    return _layer(spark, sf_dir, assign=True, sub_assign="0", **_PAIR).select("read_id", "sub_id")
+    return _layer(spark, sf_dir, only="sub_id", assign=True, sub_assign="0", **_PAIR).select("read_id", "sub_id")
 
 @query(f"WITH {_R} SELECT read_id, ({_code(1)} - 1 + 1) + 17 * {_code(3)} AS id FROM r")
 def radix_encode(spark, sf_dir):
-    return _layer(spark, sf_dir, assign=True, barcode_encode="x,y", **_PAIR).select("read_id", (F.col("id") + 18).alias("id"))
+    return _layer(spark, sf_dir, only="id", assign=True, barcode_encode="x,y", **_PAIR).select("read_id", (F.col("id") + 18).alias("id"))
 
 @query(f"WITH {_R} SELECT read_id, 'TT' || {_base4(f'{_code(1)} - 1 + 17 * ({_code(3)} - 1)')} AS barcode FROM r")
 def barcode_string(spark, sf_dir):
-    df = _layer(spark, sf_dir, assign=True, barcode_encode="x,y", **_PAIR)
+    df = _layer(spark, sf_dir, only="id", assign=True, barcode_encode="x,y", **_PAIR)
     return df.select("read_id", S.barcode(F.col("id"), 16, "TT").alias("barcode"))
 
 @query(f"WITH {_R} SELECT read_id, seq[1:4] IN ('AAAA', 'ACGT', 'CCGG') AS kept FROM r")
 def keep_list(spark, sf_dir):
-    return _layer(spark, sf_dir, keep="xAA,yAA\nxAC,yGT out\nxCC,yGG", **_PAIR).select("read_id", (~F.col("discard")).alias("kept"))
+    return _layer(spark, sf_dir, only="discard", keep="xAA,yAA\nxAC,yGT out\nxCC,yGG", **_PAIR).select("read_id", (~F.col("discard")).alias("kept"))
 
 @query(f"WITH {_R} SELECT read_id FROM r WHERE seq[1:4] NOT IN ('AAAA', 'ACGT')")
 def remove_list(spark, sf_dir):
-    return _layer(spark, sf_dir, remove="xAA,yAA\nxAC,yGT", **_PAIR).where("not discard").select("read_id")
+    return _layer(spark, sf_dir, only="discard", remove="xAA,yAA\nxAC,yGT", **_PAIR).where("not discard").select("read_id")
 
 @query(f"WITH {_R} SELECT read_id FROM r WHERE seq[1] = 'A' AND seq[2] = 'C'")
 def keep_group(spark, sf_dir):
-    df = _layer(spark, sf_dir, tags="A,C,G,T,A,C,G,T", ids="a,b,c,d,e,f,g,h", groups="A1,C1,G1,T1,A2,C2,G2,T2", locations=",".join(["0:0:1"] * 4 + ["0:1:2"] * 4), keep_grp="A1,C2")
+    df = _layer(spark, sf_dir, only="discard", tags="A,C,G,T,A,C,G,T", ids="a,b,c,d,e,f,g,h", groups="A1,C1,G1,T1,A2,C2,G2,T2", locations=",".join(["0:0:1"] * 4 + ["0:1:2"] * 4), keep_grp="A1,C2")
     return df.where("not discard").select("read_id")
 
 @query(f"WITH {_R} SELECT CASE WHEN seq[1:4] LIKE 'AC%' THEN 'first' ELSE 'second' END AS ofile, count(*) AS n FROM r WHERE seq[1:4] IN ('ACAC', 'ACGT', 'CCGG') GROUP BY 1")
 def demux_counts(spark, sf_dir):
-    df = _layer(spark, sf_dir, assign=True, keep="xAC,yAC first\nxAC,yGT first\nxCC,yGG second", **_PAIR)
+    df = _layer(spark, sf_dir, only="assigned discard ofile", assign=True, keep="xAC,yAC first\nxAC,yGT first\nxCC,yGG second", **_PAIR)
     return df.where("assigned and not discard").groupBy("ofile").agg(F.count(F.lit(1)).alias("n"))
 
 # records

@@ -32,35 +32,35 @@ def _hits(df: DataFrame) -> DataFrame:
 @query(_scan(["ACG", "CA", "GTT"], also="h.name <> 'GTT'", first="name = 'ACG'") + " SELECT read_id, nth, pos AS start, name FROM h")
 def star_tags(spark, sf_dir):
     """The scan begins with an initiator and ends with a terminator."""
-    return _hits(_layer(spark, sf_dir, tags="*ACG,CA,GTT*", ids="ACG,CA,GTT"))
+    return _hits(_layer(spark, sf_dir, only="hits", tags="*ACG,CA,GTT*", ids="ACG,CA,GTT"))
 
 
 @query(_scan(["AACG", "CGTT"]) + " SELECT read_id, nth, pos AS start, 'AACG' AS name FROM h")
 def revcomp_tag(spark, sf_dir):
-    return _hits(_layer(spark, sf_dir, tags="AACG", revcomp="1"))
+    return _hits(_layer(spark, sf_dir, only="hits", tags="AACG", revcomp="1"))
 
 
 @query(_scan(["ACG", "GT"], also="(h.name <> 'ACG' OR (q.name = 'GT' AND q.pos <= h.pos + 7))") + " SELECT read_id, nth, pos AS start, name FROM h")
 def next_tag(spark, sf_dir):
     """Behind ACG only a GT within four bases counts, else the scan ends."""
-    return _hits(_layer(spark, sf_dir, tags="ACG,GT", next="{GT}0-4,"))
+    return _hits(_layer(spark, sf_dir, only="hits", tags="ACG,GT", next="{GT}0-4,"))
 
 
 @query(_greedy(["ACG", "CGT", "GTT"]) + ", v AS (SELECT read_id, string_agg(name, ',' ORDER BY nth) AS names FROM h WHERE name <> 'ACG' GROUP BY read_id) SELECT read_id, coalesce(names, '') AS names FROM r LEFT JOIN v USING (read_id)")
 def exclude_tag(spark, sf_dir):
     """An excluded tag takes its place in the scan, but none in the list."""
-    return _layer(spark, sf_dir, tags="ACG,CGT,GTT", exclude="1,0,0").select("read_id", F.array_join("names", ",").alias("names"))
+    return _layer(spark, sf_dir, only="names", tags="ACG,CGT,GTT", exclude="1,0,0").select("read_id", F.array_join("names", ",").alias("names"))
 
 
 @query(_scan(["ACG", "CGT", "GTT"], also="(q.name = 'GTT' OR h.s < 2)", state="z.s + (z.name <> 'GTT')::INT", begin="(name <> 'GTT')::INT") + " SELECT read_id, nth, pos AS start, name FROM h")
 def group_limit(spark, sf_dir):
     """Two hits of one group at most; further ones take no place."""
-    return _hits(_layer(spark, sf_dir, tags="ACG,CGT,GTT", groups="a,a,b", maxfinds_g="a:2"))
+    return _hits(_layer(spark, sf_dir, only="hits", tags="ACG,CGT,GTT", groups="a,a,b", maxfinds_g="a:2"))
 
 
 @query(f"WITH {_R} SELECT read_id, len(regexp_extract_all(seq, 'CA|TG')) >= 4 AS kept FROM r")
 def group_least(spark, sf_dir):
-    return _layer(spark, sf_dir, tags="CA,TG", groups="a,a", minfinds_g="a:4").select("read_id", (F.size("names") > 0).alias("kept"))
+    return _layer(spark, sf_dir, only="names", tags="CA,TG", groups="a,a", minfinds_g="a:4").select("read_id", (F.size("names") > 0).alias("kept"))
 
 
 _INSERTED = "(seq[pos + 1:pos + 5] SIMILAR TO 'A[CGT]CGT|AC[ACGT]GT|ACG[ACGT]T|[ACGT]ACGT|ACGT[ACGT]' AND NOT contains(seq[pos + 1:pos + 5], 'ACGT'))"
@@ -91,7 +91,7 @@ def config_table(spark, sf_dir):
 @query(f"WITH {_R}, l AS (SELECT read_id, seq[33 - len(ltrim(qual, '#%&(*,')):][1:5] AS s FROM r) SELECT read_id, instr(s, 'ACG') - 1 AS start FROM l WHERE instr(s, 'ACG') > 0")
 def quality_trim_first(spark, sf_dir):
     """A quality trim before the scan moves the places of tags."""
-    df = _layer(spark, sf_dir, tags="ACG", locations="0:0:5", qtrim=12, qtrim_5=True, qtrim_naive=True, qtrim_pre=True)
+    df = _layer(spark, sf_dir, only="hits", tags="ACG", locations="0:0:5", qtrim=12, qtrim_5=True, qtrim_naive=True, qtrim_pre=True)
     return df.select("read_id", F.explode("hits").alias("h")).select("read_id", "h.start")
 
 
@@ -104,7 +104,7 @@ def trim_if_assigned(spark, sf_dir):
 @query(f"WITH {_R} SELECT read_id, seq[1:5] AS value FROM r")
 def umi_from_name(spark, sf_dir):
     """What is found in the header comment goes to an extraction."""
-    return _umi(_layer(spark, sf_dir, from_name="0,0,-1,::", extract="<u{:}>")).select("read_id", "value")
+    return _umi(_layer(spark, sf_dir, only="umis", from_name="0,0,-1,::", extract="<u{:}>")).select("read_id", "value")
 
 
 # extraction
@@ -112,26 +112,26 @@ def umi_from_name(spark, sf_dir):
 
 @query(f"WITH {_R} SELECT read_id, seq[3:9] AS value, qual[3:9] AS qual FROM r")
 def umi_locations(spark, sf_dir):
-    return _umi(_layer(spark, sf_dir, extract="0:2<u>0:9"))
+    return _umi(_layer(spark, sf_dir, only="umis", extract="0:2<u>0:9"))
 
 
 @query(f"WITH {_R} SELECT read_id, CASE WHEN instr(seq, 'ACG') > 0 AND instr(seq, 'ACG') + 2 < 20 THEN seq[instr(seq, 'ACG') + 3:20] ELSE '' END AS value FROM r")
 def umi_tag_to_location(spark, sf_dir):
-    return _umi(_layer(spark, sf_dir, tags="ACG", maxfinds="1", extract="{ACG}<u>0:20")).select("read_id", "value")
+    return _umi(_layer(spark, sf_dir, only="umis", tags="ACG", maxfinds="1", extract="{ACG}<u>0:20")).select("read_id", "value")
 
 
 @query(f"""{_P}, m AS (SELECT read_id, min(pos) AS pos FROM (SELECT read_id, pos, {_mismatches('ACGTAC')} AS err FROM p WHERE pos <= 26) WHERE err <= 1 GROUP BY read_id)
 SELECT read_id, CASE WHEN pos IS NULL THEN '' ELSE 'ACGTAC' END AS tag, coalesce(seq[pos + 1:pos + 6], '') AS bases FROM r LEFT JOIN m USING (read_id)""")
 def tag_sequence(spark, sf_dir):
     """The tag as it is written, and as the read has it."""
-    df = _layer(spark, sf_dir, tags="ACGTAC", ids="t", distances="1", maxfinds="1", extract="<u{t}>,<v{@t}>")
+    df = _layer(spark, sf_dir, only="umis", tags="ACGTAC", ids="t", distances="1", maxfinds="1", extract="<u{t}>,<v{@t}>")
     return df.select("read_id", F.element_at("umis", 1).value.alias("tag"), F.element_at("umis", 2).value.alias("bases"))
 
 
 @query(f"WITH {_R}, l AS (SELECT read_id, seq, coalesce(len(regexp_extract(seq, '^(.*?ACG).', 1)), 0) AS behind FROM r) SELECT read_id, CASE WHEN behind > 0 THEN seq[behind + 1] ELSE '' END AS value FROM l")
 def umi_not_chained(spark, sf_dir):
     """Only the first value of a name."""
-    return _umi(_layer(spark, sf_dir, tags="ACG", extract="{ACG}<u[1]>", no_chain=True)).select("read_id", "value")
+    return _umi(_layer(spark, sf_dir, only="umis", tags="ACG", extract="{ACG}<u[1]>", no_chain=True)).select("read_id", "value")
 
 
 @query(f"WITH {_R} SELECT read_id, CASE WHEN contains(seq, 'ACG') THEN seq[1:4] ELSE '' END AS value FROM r WHERE contains(seq, 'ACG')")
@@ -167,7 +167,7 @@ def assigned_count(spark, sf_dir):
 def keep_many_lists(spark, sf_dir):
     """More lists than an expression takes are a table that is joined."""
     keep = "\n".join(f"x{a}{b},y{c}{d} p{a}" for a in "ACG" for b in "ACGT" for c in "ACGT" for d in "ACGT") + "\n" + "\n".join(f"x{i},y{i}" for i in range(400))
-    return _layer(spark, sf_dir, keep=keep, **_PAIR).select("read_id", (~F.col("discard")).alias("kept"))
+    return _layer(spark, sf_dir, only="discard", keep=keep, **_PAIR).select("read_id", (~F.col("discard")).alias("kept"))
 
 
 # nested layers

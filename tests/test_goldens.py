@@ -2,8 +2,11 @@
 
 import pytest
 
-from tests.fixtures import BOUND, BOUND_FA, LEFT, NAMED, RIGHT, TERM, TWO, md5, run
+from tests.fixtures import (
+    BOUND, BOUND_FA, BOUNDS, BOUNDS_TAGS, ENDS, ENDS_TAGS, LEFT, NAMED, NANOPORE, NANOPORE_TAGS, POLY, POLY_TAGS, RIGHT, SPLIT, SPLIT_TAGS, TERM, TWO, md5, run,
+)
 
+#: fixed values: options of the cases and the digests of their outputs
 _PAIR = dict(groups="t,t,b,b,b", tags="GATACT,TAGAGAA,CCGG,AACC,AAAAACC")
 _FIX = dict(distances="1,1,1,1,1", locations="0:0:10,0:0:10,0,0,0")
 _PREV = dict(previous=",,{{t}}14-14,{{t}}14-14,{{t}}14-14")
@@ -111,6 +114,11 @@ CASES = [
     ("name_umi", [NAMED], dict(from_name="0,0,-1,::;0,0,-1,::+", extract="<umi{:}>,<umi{:}>"), "21f22aeb47e01c059f957fddb28a01aa"),
     ("name_umis", [NAMED], dict(from_name="0,0,-1,::;0,0,-1,::+", extract="<umi{:}>,<umi2{:}>"), "c5456433bca2f5599d15f0785637149e"),
     ("budget", [TERM], dict(assign=True, mod_names=True, groups="PART,RPM,RPM,ODD,Y", ids="Part,RTBC2,RTBC4,Odd2Bo1,NYBot1_Stg", tags="TGACTTG,TTTTTTT,GGGGGGG,TTCGTGGAATCTAGC,TATTATGGT", maxfinds_g="Y:1"), "79ad1ca9184b274e1396b5f2220cbade"),
+    ("nanopore", [NANOPORE], dict(assign=True, no_outb=True, mod_names=True, config=NANOPORE_TAGS), "86479a52fd7d35a1d0fcb62c5dbde424"),
+    ("split_pool", [SPLIT], dict(loc_names=True, fasta=True, config=SPLIT_TAGS), "a4508f24c69838b07cec04978def09ca"),
+    ("nested_lengths", [BOUNDS], dict(loc_names=True, fasta=True, config=BOUNDS_TAGS), "200fb9106e47c741b1891e4b2fedef05"),
+    ("poly_lengths", [POLY], dict(loc_names=True, fasta=True, config=POLY_TAGS), "4caa199550f26000ac787821cc62668c"),
+    ("poly_ends", [ENDS], dict(loc_names=True, fasta=True, config=ENDS_TAGS), "209698dea910ed4d4cd05dbce0889800"),
 ]
 
 
