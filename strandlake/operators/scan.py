@@ -226,19 +226,24 @@ def pattern_table(spark: SparkSession, layer: Layer) -> DataFrame:
     return F.broadcast(table) if len(rows) <= BROADCAST_KMERS else table.hint("merge")
 
 
+def kmers_of(reads: DataFrame, spans: list[list[tuple[int, int, int]]]) -> DataFrame:
+    """read_id, file, k, length, pos, kmer: the k-mers of reads between the first start and the last end of each length."""
+    rows = F.array(*[F.struct(F.lit(f).alias("file"), F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for f, s in enumerate(spans) for k, lo, hi in s])
+    each = reads.select("read_id", "seqs", F.explode(rows).alias("s")).select("read_id", F.element_at("seqs", F.col("s.file") + 1).alias("seq"), "s.*")
+    last = F.least(F.length("seq"), F.col("hi")) - F.col("k")
+    kmers = each.where(last >= F.col("lo")).select("read_id", "file", "k", F.length("seq").alias("length"), "seq", F.explode(F.sequence("lo", last)).alias("pos"))
+    return kmers.select("read_id", "file", "k", "length", "pos", F.expr("substring(seq, pos + 1, k)").alias("kmer"))
+
+
 def candidates(reads: DataFrame, layer: Layer) -> DataFrame:
     """A row for each place in a read where a pattern may be: read_id, file, pos, k, pattern, name, group, err.
 
     reads: read_id, seqs (normalised, one a file). The k-mers of a read are made between the first and the last place
-    where a pattern of that length may be only; the join is with the broadcast table of patterns.
+    where a pattern of that length may be only; the join is with the table of patterns, broadcast up to ``BROADCAST_KMERS``.
     """
     table = pattern_table(reads.sparkSession, layer)
     spans = place_spans(layer, expand(layer))
-    rows = F.array(*[F.struct(F.lit(f).alias("file"), F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for f, s in enumerate(spans) for k, lo, hi in s])
-    each = reads.select("read_id", "seqs", F.explode(rows).alias("s")).select("read_id", F.element_at("seqs", F.col("s.file") + 1).alias("seq"), "s.*")
-    last = F.least(F.length("seq"), F.col("hi")) - F.col("k")
-    kmers = each.where(last >= F.col("lo")).select("read_id", "file", "k", F.length("seq").alias("length"), "seq", F.explode(F.sequence("lo", last)).alias("pos"))
-    kmers = kmers.select("read_id", "file", "k", "length", "pos", F.expr("substring(seq, pos + 1, k)").alias("kmer"))
+    kmers = kmers_of(reads, spans)
     hit = kmers.join(table, ["kmer", "k", "file"])
     end, start = F.col("pos") + F.col("k"), F.when(F.col("start") < 0, F.col("start") + F.col("length")).otherwise(F.col("start"))
     ok = (start < 0) | ((F.col("pos") >= start) & ((F.col("end") == 0) | (end <= F.col("end"))))

@@ -17,7 +17,7 @@ from strandlake.operators.layer import ADDED, run_layer
 from strandlake.operators.neighbourhood import substituted
 from strandlake.operators.render import header_suffix, records
 from strandlake.operators.render import process as process_reads
-from strandlake.operators.scan import candidates, clear_hits
+from strandlake.operators.scan import candidates, clear_hits, kmers_of
 from strandlake.plans.options import build
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,9 +85,7 @@ def _mismatches(tag: str, pos: str = "pos", seq: str = "seq") -> str:
 
 @query(f"{_P} SELECT seq[pos + 1:pos + 4] AS kmer, count(*) AS n FROM p WHERE pos <= 28 GROUP BY 1")
 def kmer_generate(spark, sf_dir):
-    seq = F.element_at("segs", 1).seq
-    each = reads(spark, sf_dir).select(F.explode(F.transform(F.sequence(F.lit(1), F.length(seq) - 3), lambda i: F.substring(seq, i, 4))).alias("kmer"))
-    return each.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return kmers_of(_seqs(spark, sf_dir), [[(4, 0, 1 << 30)]]).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 @query("""WITH l AS (SELECT unnest(['A','C','G','T','N']) AS c), s AS (SELECT a.c || b.c || d.c || e.c AS kmer FROM l a, l b, l d, l e),
 h AS (SELECT kmer, (kmer[1] <> 'A')::INT + (kmer[2] <> 'C')::INT + (kmer[3] <> 'G')::INT + (kmer[4] <> 'T')::INT AS err FROM s) SELECT kmer, err FROM h WHERE err BETWEEN 1 AND 2""")
