@@ -26,7 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCK_CHARS, CACHED_WORDS = 4_000_000, 800_000
+BLOCK_CHARS, CACHED_WORDS, CACHED_PAIRS = 4_000_000, 300_000, 600_000  # what a worker keeps: some 150 MB
+SLICE_ROWS = 500
 
 
 class MergeReplay:
@@ -42,7 +43,7 @@ class MergeReplay:
 
     def _join(self, left: int, right: int) -> int:
         """The id that a pair merges to, or -1."""
-        if self.known > 2_000_000:
+        if self.known > CACHED_PAIRS:
             for row in self.joined:
                 row.clear()
             self.known = 0
@@ -143,6 +144,7 @@ class _Dictionary:
         self.replay, self.find = MergeReplay(vocabulary), regex.compile(pattern).findall
         self.digits = [str(i) for i in range(max(self.replay.token) + 1)]
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each text (the same list for equal texts in a row); the words of some texts at a time are replayed together."""
@@ -154,9 +156,11 @@ class _Dictionary:
                 end += 1
             here = list(map(text_or_empty, texts[at:end]))
             found = {t: self.find(t) for t in dict.fromkeys(here)}  # a text that comes again in the block is encoded once
-            if len(self.words) > CACHED_WORDS:
-                self.words.clear()
+            if len(self.words) > CACHED_WORDS // 2:  # words that come again move on, the others go
+                self.older, self.words = self.words, {}
             new = [w for w in set().union(*found.values()) if w not in self.words]
+            self.words.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in self.older]
             self.words.update(zip(new, map(tuple, self.replay.encode([w.encode() for w in new])), strict=True))
             last = None, []
             for t in here:
@@ -189,7 +193,7 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = _dictionary(vocabulary, pattern)
-        for b in batches:
+        for b in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             n, digests, back, last = [], [], [], None
             for ids in d.encode(b.column("text").to_pylist()):
                 again = ids is last
@@ -209,8 +213,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = _dictionary(vocabulary, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(at, SLICE_ROWS)
                 ids, back, last = [], [], None
                 for x in d.encode(part.column("text").to_pylist()):
                     again = x is last

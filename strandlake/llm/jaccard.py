@@ -37,7 +37,7 @@ from strandlake.llm.substring import Words, _mixed
 
 SHINGLE, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE, MISSED = 5, 0.8, 128, 4, 16, 1e-6, 1e-7
 KEY_SIDE, CLUSTER_SIDE = 1024, 256
-BLOCK_BYTES, CHUNK_ROWS, SLICE_ROWS = 2 << 20, 20_000, 500
+BLOCK_BYTES, TEXT_BYTES, CHUNK_ROWS, SLICE_ROWS = 2 << 20, 1 << 19, 20_000, 500
 _SEEDS = _mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _XOR, _TIMES = _SEEDS[:HASHES].astype(np.uint32), _SEEDS[HASHES:].astype(np.uint32) | np.uint32(1)
 
@@ -67,11 +67,11 @@ def band_rows(threshold: float) -> int:
 
 
 def _in_blocks(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
-    """texts, about BLOCK_BYTES at a time: the arrays over their bytes stay small."""
+    """texts, about TEXT_BYTES at a time: the arrays over their words stay small."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and size < BLOCK_BYTES:
+        while end < len(texts) and size < TEXT_BYTES:
             size += len(texts[end] or b"")
             end += 1
         yield texts[at:end]
@@ -211,7 +211,7 @@ def _signed(docs: DataFrame, per_key: int) -> DataFrame:
     """doc_id, uid, digest, sig (8 bits a value), keys (none for texts without runs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             sigs, keys = [], []
             for block in _in_blocks(texts):

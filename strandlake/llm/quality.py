@@ -190,7 +190,7 @@ def _scored(docs: DataFrame, voters: Voters | None, columns: list[str]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in (whole.slice(at, BLOCK) for whole in batches for at in range(0, whole.num_rows, BLOCK)):
             texts = b.column("_text").to_pylist()
             score = model.score(texts) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(np.clip(score, 0, 1), pa.float64())], names)
