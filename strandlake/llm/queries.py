@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import bpe, exact_dedup, jaccard, media, mixing, quality, substring, token_counts, url_filter, warc
+from strandlake.llm import bpe, divergence, exact_dedup, filter_audit, jaccard, media, mixing, quality, secret_scan, substring, token_counts, url_filter, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -57,9 +57,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_digests(_documents(spark, sf_dir))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_warc, op6_substring_dedup, op7_token_counts, op8_media, op9_jaccard_join, op10_url_filter)}
+    ours = (op1_mixing, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_warc, op6_substring_dedup, op7_token_counts, op8_media, op9_jaccard_join, op10_url_filter, op11_secret_scan, op12_divergence, op13_filter_audit)
+    return {f.__name__: f for f in ours}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_jaccard_join": jaccard.ORACLE, "op10_url_filter": url_filter.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op6_substring_dedup": substring.ORACLE, "op9_jaccard_join": jaccard.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_secret_scan": secret_scan.ORACLE, "op12_divergence": divergence.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
