@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import part
 from strandlake.operators.ordering import numbered, running, spans
-from strandlake.operators.unmask import CHUNK, chunked
+from strandlake.operators.pieces import chunks, joined, recut, sized
+from strandlake.sources.staging import staged
+
+#: bases of a chunk of the reference, to which alleles are joined
+CHUNK = 1 << 11
+#: bases of a block of a new sequence: whole lines of ``LINE``
+LINE = 60
+BLOCK = LINE * 1024
 
 
 def alleles(variants: DataFrame, diploid: bool = False, passed: bool = False) -> DataFrame:
@@ -113,15 +120,10 @@ def lifted(features: DataFrame, moved: DataFrame, diploid: bool = False, sample:
     return rows.select(name.alias("seqname"), "source", "feature", (F.col("start") + F.col("_start")).alias("start"), (F.col("end") + F.col("_end")).alias("end"), "rest", F.col("hap"))
 
 
-def contig_chunks(contigs: DataFrame) -> DataFrame:
-    """chrom, chunk, bases of contigs (name, seq): what stretches are joined to."""
-    return contigs.select(F.col("name").alias("chrom"), F.posexplode(chunked("seq")).alias("chunk", "bases"))
-
-
-def bases_of(stretches: DataFrame, chunks: DataFrame) -> DataFrame:
+def bases_of(stretches: DataFrame, grid: DataFrame) -> DataFrame:
     """stretches (key, chrom, start, end) with their bases; one is put together from the chunks that it covers."""
     first, last = (F.floor(c / CHUNK).cast("int") for c in (F.col("start"), F.col("end") - 1))
-    cover = stretches.where("end > start").withColumn("chunk", F.explode(F.sequence(first, last))).join(chunks, ["chrom", "chunk"])
+    cover = stretches.where("end > start").withColumn("chunk", F.explode(F.sequence(first, last))).join(grid, ["chrom", "chunk"])
     a = F.greatest(F.col("start") - F.col("chunk") * CHUNK, F.lit(0))
     b = F.least(F.col("end") - F.col("chunk") * CHUNK, F.length("bases"))
     parts = cover.select("key", "chunk", part(F.col("bases"), a, b - a).alias("t"))
@@ -129,28 +131,47 @@ def bases_of(stretches: DataFrame, chunks: DataFrame) -> DataFrame:
     return stretches.join(text, "key", "left").withColumn("bases", F.coalesce("bases", F.lit("")))
 
 
-def genome(contigs: DataFrame, rows: DataFrame, diploid: bool = False, sample: str = "", rename: bool = False) -> DataFrame:
-    """New sequences: chrom, hap, varied, header, seq; contigs (ordinal, name, seq), rows as from ``applied``.
+def genome_blocks(contigs: DataFrame, rows: DataFrame, diploid: bool = False) -> DataFrame:
+    """New sequences by blocks: ordinal, chrom, hap, varied, size (before), length (after), block, bases; rows as from ``applied``.
 
-    Contigs without variants are copied, and come after all others in FASTA order.
+    Stretches between alleles get their place in the new sequence from running sums of lengths, by ranges; then they are
+    cut at the chunks of the reference, and what they give, with the alleles, at the blocks of the new sequence. A contig
+    without any base has one empty block.
     """
     haps = F.array(F.lit(0), F.lit(1)) if diploid else F.array(F.lit(0))
-    whole = contigs.select("ordinal", F.col("name").alias("chrom"), F.length("seq").alias("size"), F.explode(haps).alias("hap"))
+    whole = sized(contigs).select("ordinal", F.col("name").alias("chrom"), "size", F.explode(haps).alias("hap"))
     ends = running(rows, ["chrom", "hap"], spans("start"), ["start", "pos"], {"_end": ("before", F.col("start") + F.length("ref"))})
-    pieces = ends.select("chrom", "hap", F.coalesce("_end", F.lit(0)).alias("from"), F.col("start").alias("to"), "alt")
-    ends = rows.groupBy("chrom", "hap").agg(F.max(F.col("start") + F.length("ref")).alias("from"))
-    tail = whole.join(ends, ["chrom", "hap"], "left").select("chrom", "hap", F.coalesce("from", F.lit(0)).alias("from"), F.col("size").alias("to"), F.lit("").alias("alt"))
-    stretches = pieces.unionByName(tail).select(F.struct("chrom", "hap", "from", "alt", "to").alias("key"), "chrom", F.col("from").alias("start"), F.col("to").alias("end"))
-    texts = bases_of(stretches, contig_chunks(contigs)).select("key.chrom", "key.hap", "key.from", "key.to", F.concat("bases", "key.alt").alias("t"))
-    seqs = texts.groupBy("chrom", "hap").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from", "to", "t"))), lambda x: x["t"]), "").alias("seq"), (F.count(F.lit(1)) > 1).alias("varied"))
-    out = whole.join(seqs, ["chrom", "hap"])
+    stretches = ends.select("chrom", "hap", F.coalesce("_end", F.lit(0)).cast("long").alias("from"), F.col("start").cast("long").alias("to"), "alt")
+    ends = rows.groupBy("chrom", "hap").agg(F.max(F.col("start") + F.length("ref")).cast("long").alias("from"))
+    tail = whole.join(ends, ["chrom", "hap"], "left").select("chrom", "hap", F.coalesce("from", F.lit(0).cast("long")).alias("from"), F.col("size").alias("to"), F.lit("").alias("alt"))
+    long = F.col("to") - F.col("from") + F.length("alt")
+    laid = running(stretches.join(whole.select("chrom", "hap"), ["chrom", "hap"], "left_semi").unionByName(tail), ["chrom", "hap"], spans("from"), ["from", "to", "alt"], {"_upto": ("sum", long)})
+    laid = staged(laid.withColumn("at", F.col("_upto") - long), "stretches")
+    first, last = F.floor(F.col("from") / CHUNK).cast("int"), F.floor((F.col("to") - 1) / CHUNK).cast("int")
+    cover = laid.where("to > from").withColumn("chunk", F.explode(F.sequence(first, last))).join(chunks(contigs, CHUNK), ["chrom", "chunk"])
+    low = F.col("chunk").cast("long") * CHUNK
+    a, b = F.greatest(F.col("from") - low, F.lit(0)).cast("int"), F.least(F.col("to") - low, F.length("bases")).cast("int")
+    kept = cover.select("chrom", "hap", (F.col("at") + F.greatest(low - F.col("from"), F.lit(0))).alias("start"), part(F.col("bases"), a, b - a).alias("bases"))
+    put_in = laid.where("alt <> ''").select("chrom", "hap", (F.col("at") + F.col("to") - F.col("from")).alias("start"), F.col("alt").alias("bases"))
+    blocks = recut(kept.unionByName(put_in), ["chrom", "hap"], BLOCK).withColumnRenamed("chunk", "block")
+    length = laid.groupBy("chrom", "hap").agg(F.max("_upto").alias("length"), (F.count(F.lit(1)) > 1).alias("varied"))
+    out = whole.join(length, ["chrom", "hap"]).join(blocks, ["chrom", "hap"], "left")
+    return out.select("ordinal", "chrom", "hap", "varied", "size", "length", F.coalesce("block", F.lit(0).cast("long")).alias("block"), F.coalesce("bases", F.lit("")).alias("bases"))
+
+
+def _header(diploid: bool, sample: str, rename: bool) -> Column:
     name = F.concat(F.lit(f"{sample}_" if rename and sample else ""), "chrom", F.when(F.col("hap") == 0, "_L").otherwise("_R") if diploid else F.lit(""))
-    size = F.length("seq").cast("string")
-    header = F.concat(F.lit(">"), name, F.lit(" "), name, F.lit(":1-"), size, F.lit(" from|"), "chrom", F.lit(":1-"), F.col("size").cast("string"))
-    return out.select("ordinal", "chrom", "hap", "varied", header.alias("header"), "seq")
+    return F.concat(F.lit(">"), name, F.lit(" "), name, F.lit(":1-"), F.col("length").cast("string"), F.lit(" from|"), "chrom", F.lit(":1-"), F.col("size").cast("string"))
+
+
+def genome(contigs: DataFrame, rows: DataFrame, diploid: bool = False, sample: str = "", rename: bool = False) -> DataFrame:
+    """New sequences, each one row, for contigs that fit into one: ordinal, chrom, hap, varied, header, seq."""
+    blocks = genome_blocks(contigs, rows, diploid)
+    whole = blocks.groupBy("ordinal", "chrom", "hap", "varied", "size", "length").agg(joined("block", "bases").alias("seq"))
+    return whole.select("ordinal", "chrom", "hap", "varied", _header(diploid, sample, rename).alias("header"), "seq")
 
 
-def wrapped(seq: Column, width: int = 60) -> Column:
+def wrapped(seq: Column, width: int = LINE) -> Column:
     return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
 
 
@@ -159,15 +180,15 @@ def variant_contigs(rows: DataFrame, contigs: DataFrame, k: int, diploid: bool =
 
     A longer allele (an insertion) takes the place of no base, a deletion that of the bases it deletes, others that of one.
     """
-    sizes = contigs.select(F.col("name").alias("chrom"), F.length("seq").alias("size"))
+    sizes = sized(contigs).select(F.col("name").alias("chrom"), F.col("size").cast("int").alias("size"))
     inserts = F.length("alt") > 1
     end = F.col("start") + (k - 1) + F.when(inserts, 0).otherwise(F.length("alt") + F.col("gone"))
     after = F.col("start") + F.when(F.col("gone") != 0, F.col("gone")).when(inserts, 0).otherwise(1)
     r = rows.join(sizes, "chrom").withColumns({"_a": F.greatest(F.col("start") - (k - 1), F.lit(0)), "_z": F.least(end, F.col("size")), "_b": after})
     r = r.withColumn("_key", F.struct("chrom", "hap", "start", "ref", "alt"))
-    chunks = contig_chunks(contigs)
-    left = bases_of(r.select(F.col("_key").alias("key"), "chrom", F.col("_a").alias("start"), F.col("start").alias("end")), chunks).select(F.col("key").alias("_key"), F.col("bases").alias("left"))
-    right = bases_of(r.select(F.col("_key").alias("key"), "chrom", F.col("_b").alias("start"), F.greatest("_b", "_z").alias("end")), chunks).select(F.col("key").alias("_key"), F.col("bases").alias("right"))
+    grid = chunks(contigs, CHUNK)
+    left = bases_of(r.select(F.col("_key").alias("key"), "chrom", F.col("_a").alias("start"), F.col("start").alias("end")), grid).select(F.col("key").alias("_key"), F.col("bases").alias("left"))
+    right = bases_of(r.select(F.col("_key").alias("key"), "chrom", F.col("_b").alias("start"), F.greatest("_b", "_z").alias("end")), grid).select(F.col("key").alias("_key"), F.col("bases").alias("right"))
     out = r.join(left, "_key").join(right, "_key")
     return out.select("chrom", "hap", (F.col("_a") + 1).alias("start"), F.col("_z").alias("end"), "id", F.concat("left", "alt", "right").alias("seq"))
 
@@ -177,14 +198,14 @@ def junction_contigs(junctions: DataFrame, contigs: DataFrame, k: int) -> DataFr
 
     Junctions that don't lie on their contig are left out.
     """
-    sizes = contigs.select(F.col("name").alias("chrom"), F.length("seq").alias("size"))
+    sizes = sized(contigs).select(F.col("name").alias("chrom"), F.col("size").cast("int").alias("size"))
     ok = (F.col("start") >= 1) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.col("size"))
     r = junctions.join(sizes, "chrom").where(ok).withColumns({"_a": F.greatest(F.col("start") - k, F.lit(0)), "_z": F.least(F.col("end") + (k - 1), F.col("size"))})
     r = r.withColumn("_key", F.struct("chrom", "start", "end"))
-    chunks = contig_chunks(contigs)
+    grid = chunks(contigs, CHUNK)
     once = r.dropDuplicates(["_key"])
-    left = bases_of(once.select(F.col("_key").alias("key"), "chrom", F.col("_a").alias("start"), (F.col("start") - 1).alias("end")), chunks).select(F.col("key").alias("_key"), F.col("bases").alias("left"))
-    right = bases_of(once.select(F.col("_key").alias("key"), "chrom", F.col("end").alias("start"), F.col("_z").alias("end")), chunks).select(F.col("key").alias("_key"), F.col("bases").alias("right"))
+    left = bases_of(once.select(F.col("_key").alias("key"), "chrom", F.col("_a").alias("start"), (F.col("start") - 1).alias("end")), grid).select(F.col("key").alias("_key"), F.col("bases").alias("left"))
+    right = bases_of(once.select(F.col("_key").alias("key"), "chrom", F.col("end").alias("start"), F.col("_z").alias("end")), grid).select(F.col("key").alias("_key"), F.col("bases").alias("right"))
     return r.join(left, "_key").join(right, "_key").select("chrom", "start", "end", F.concat("left", "right").alias("seq"))
 
 
@@ -206,7 +227,10 @@ def contig_fasta(contigs: DataFrame, diploid: bool = False, header: str = "", nu
     return rows.select("nth", F.concat(F.lit(">"), name, F.lit("\n"), F.col("seq"), F.lit("\n")).alias("text"))
 
 
-def genome_fasta(sequences: DataFrame) -> DataFrame:
-    """(nth, text) FASTA records of ``genome``, 60 bases a line: sequences with variants first, each kind in FASTA order."""
-    rows = numbered(sequences.withColumn("_late", (~F.col("varied")).cast("int")), ["_late", "ordinal", "hap"], "nth")
-    return rows.select("nth", F.concat("header", F.lit("\n"), wrapped(F.col("seq")), F.lit("\n")).alias("text"))
+def genome_fasta(contigs: DataFrame, rows: DataFrame, diploid: bool = False, sample: str = "", rename: bool = False) -> DataFrame:
+    """(nth, text) of FASTA, a row a block of lines of ``LINE`` bases, the header with the first: sequences with variants
+    first, each kind in FASTA order. No row has more than ``BLOCK`` bases."""
+    blocks = genome_blocks(contigs, rows, diploid).withColumn("_late", (~F.col("varied")).cast("int"))
+    rows = numbered(blocks, ["_late", "ordinal", "hap", "block"], "nth")
+    head = F.when(F.col("block") == 0, F.concat(_header(diploid, sample, rename), F.lit("\n"))).otherwise("")
+    return rows.select("nth", F.concat(head, wrapped(F.col("bases")), F.lit("\n")).alias("text"))

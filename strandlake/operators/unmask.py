@@ -10,9 +10,9 @@ from strandlake.operators.ordering import numbered, running, spans
 CHUNK = 1 << 16
 
 
-def chunked(seq: Column) -> Column:
+def chunked(seq: Column, size: int | None = None) -> Column:
     """A sequence as an array of chunks, cut in one pass."""
-    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size or CHUNK}}}"), F.lit(0))
 
 
 def unmasked_runs(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as S
-from strandlake.operators import assign, lift, ordering, unmask
+from strandlake.operators import assign, lift, ordering, pieces, unmask
 from strandlake.operators.layer import run_layer
 from strandlake.operators.render import process, records
 from strandlake.plans.options import build
@@ -234,8 +234,9 @@ def _lines(df: DataFrame, label: str) -> str:
 @query(f"WITH {_C} SELECT row_number() OVER (ORDER BY k) - 1 AS ordinal, chrom AS name, seq FROM c")
 def contig_scan(spark, sf_dir):
     """Contigs written as FASTA, sixty bases a line, and read back by splits of 4 KB; the longest has hundreds of KB."""
-    c = _contigs(spark, sf_dir)
-    path = _lines(c.select(F.col("ordinal").alias("nth"), F.concat(F.lit(">"), "name", F.lit("\n"), lift.wrapped(F.col("seq"))).alias("value")), "contigs")
+    c = pieces.recut(_contigs(spark, sf_dir), ["ordinal", "name"], lift.BLOCK)
+    head = F.when(F.col("chunk") == 0, F.concat(F.lit(">"), "name", F.lit("\n"))).otherwise("")
+    path = _lines(c.select(F.struct("ordinal", "chunk").alias("nth"), F.concat(head, lift.wrapped(F.col("bases"))).alias("value")), "contigs")
     return tables.read_contigs(spark, path, split_bytes=1 << 12)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as S
-from strandlake.operators import assign, lift, summary, unmask
+from strandlake.operators import assign, lift, ordering, pieces, summary, unmask
 from strandlake.operators.layer import ADDED, run_layer
 from strandlake.operators.neighbourhood import substituted
 from strandlake.operators.render import header_suffix, records
@@ -359,12 +359,13 @@ def unmask_runs(spark, sf_dir):
     return unmask.unmasked_runs(one, two)
 
 def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A contig of 256 bases for each supplier, and a first one that holds what all of them have, thirty-two digests each."""
+    """Pieces (ordinal, name, start, bases): a contig of 256 bases for each supplier, and a first one to which each of them
+    gives a piece of thirty-two digests."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), "s_name")
     digest = lambda i: F.translate(F.md5(F.concat("s_name", F.lit(str(i)))), HEX, BASES)
-    own = s.select(F.col("k").alias("ordinal"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("name"), F.concat(*map(digest, range(8))).alias("seq"))
-    parts = s.select("k", F.concat(*map(digest, range(32))).alias("t")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "").alias("seq"))
-    return parts.select(F.lit(-1).cast("long").alias("ordinal"), F.lit("long").alias("name"), "seq").unionByName(own)
+    own = s.select(F.col("k").alias("ordinal"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("name"), F.lit(0).cast("long").alias("start"), F.concat(*map(digest, range(8))).alias("bases"))
+    shared = ordering.numbered(s, ["k"], "nth").select(F.lit(-1).cast("long").alias("ordinal"), F.lit("long").alias("name"), (F.col("nth") * 1024).alias("start"), F.concat(*map(digest, range(32))).alias("bases"))
+    return shared.unionByName(own)
 
 def _digests(n: int) -> str:
     return " || ".join(f"translate(md5(s_name || '{i}'), '{HEX}', '{BASES}')" for i in range(n))
@@ -374,15 +375,27 @@ _C = f"c AS (SELECT -1 AS k, 'long' AS chrom, string_agg({_digests(32)}, '' ORDE
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A variant each ten bases: a substitution, an insertion or a deletion by turns; behind every fifth a substitution at the
     next base, which a deletion before it covers."""
-    c = _contigs(spark, sf_dir).select("ordinal", F.col("name").alias("chrom"), "seq", F.explode(F.sequence(F.lit(1), F.floor(F.length("seq") / 10).cast("int") - 1)).alias("i"))
-    kind, pos = (F.col("ordinal") + F.col("i")) % 3, F.col("i") * 10
-    one = S.part(F.col("seq"), pos, 1)
-    ref = F.when(kind == 2, S.part(F.col("seq"), pos, 3)).otherwise(one)
-    alt = F.when(kind == 0, F.translate(one, "ACGT", "CGTA")).when(kind == 1, F.concat(one, F.lit("GG"))).otherwise(one)
-    rows = c.select("chrom", pos.cast("int").alias("pos"), F.concat(F.lit("v"), F.col("i").cast("string")).alias("id"), ref.alias("ref"), F.array(alt).alias("alts"))
-    two = S.part(F.col("seq"), pos + 1, 1)
-    more = c.where("i % 5 = 0").select("chrom", (pos + 1).cast("int").alias("pos"), F.concat(F.lit("w"), F.col("i").cast("string")).alias("id"), two.alias("ref"), F.array(F.translate(two, "ACGT", "CGTA")).alias("alts"))
-    return rows.unionByName(more).withColumns({"filter": F.lit("PASS"), "gt": F.lit("1/1")})
+    contigs = _contigs(spark, sf_dir)
+    known = pieces.sized(contigs).select("ordinal", F.col("name").alias("chrom"), (F.floor(F.col("size") / 10) - 1).alias("top"))
+    size = 640
+    c = pieces.chunks(contigs, size, overlap=3).join(known, "chrom").withColumn("low", F.col("chunk") * size)
+    last = F.least(F.col("top"), F.floor((F.col("low") + size - 1) / 10))
+    c = c.withColumn("i", F.filter(F.sequence(F.greatest(F.ceil(F.col("low") / 10), F.lit(1)), F.greatest(last, F.lit(1))), lambda i: (i <= last) & (i * 10 >= F.col("low"))))
+
+    def made(i: Column, kind: Column) -> Column:
+        pos = i * 10 - F.col("low")
+        one, two = S.part(F.col("bases"), pos, 1), S.part(F.col("bases"), pos + 1, 1)
+        ref = F.when(kind == 2, S.part(F.col("bases"), pos, 3)).otherwise(one)
+        alt = F.when(kind == 0, F.translate(one, "ACGT", "CGTA")).when(kind == 1, F.concat(one, F.lit("GG"))).otherwise(one)
+
+        def row(at: Column, letter: str, ref: Column, alt: Column) -> Column:
+            return F.struct(at.cast("int").alias("pos"), F.concat(F.lit(letter), i.cast("string")).alias("id"), ref.alias("ref"), F.array(alt).alias("alts"))
+
+        first = row(i * 10, "v", ref, alt)
+        return F.when(i % 5 == 0, F.array(first, row(i * 10 + 1, "w", two, F.translate(two, "ACGT", "CGTA")))).otherwise(F.array(first))
+
+    rows = c.select("chrom", F.inline(F.flatten(F.transform("i", lambda i: made(i, (F.col("ordinal") + i) % 3)))))
+    return rows.withColumns({"filter": F.lit("PASS"), "gt": F.lit("1/1")})
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lift.applied(lift.alleles(_variants(spark, sf_dir)))
@@ -407,9 +420,9 @@ l AS (SELECT chrom, place, kind, coalesce(last_value(shift IGNORE NULLS) OVER (P
 q AS (SELECT DISTINCT chrom, place, by_ FROM l WHERE kind = 1)
 SELECT 's_' || f.chrom AS seqname, s AS old, (s + x.by_)::INT AS start, (s + 5 + y.by_)::INT AS "end" FROM f JOIN q x ON x.chrom = f.chrom AND x.place = s JOIN q y ON y.chrom = f.chrom AND y.place = s + 5""")
 def liftover_asof(spark, sf_dir):
-    c = _contigs(spark, sf_dir)
+    c = pieces.sized(_contigs(spark, sf_dir))
     short = c.select(F.col("name").alias("seqname"), F.explode(F.sequence(F.lit(1), F.lit(246), F.lit(7))).alias("start"))
-    long = c.where("ordinal < 0").select(F.col("name").alias("seqname"), F.explode(F.sequence(F.lit(1000), F.length("seq") - 11, F.lit(997))).alias("start"))
+    long = c.where("ordinal < 0").select(F.col("name").alias("seqname"), F.explode(F.sequence(F.lit(1000), F.col("size").cast("int") - 11, F.lit(997))).alias("start"))
     f = short.unionByName(long).select("seqname", F.lit("x").alias("source"), F.lit("y").alias("feature"), "start", (F.col("start") + 5).alias("end"), F.col("start").cast("string").alias("rest"))
     return lift.lifted(f, lift.shifts(_rows(spark, sf_dir)), sample="s").select("seqname", F.col("rest").cast("int").alias("old"), "start", "end")
 
@@ -418,6 +431,15 @@ def liftover_asof(spark, sf_dir):
 def genome(spark, sf_dir):
     return lift.genome(_contigs(spark, sf_dir), _rows(spark, sf_dir)).select("chrom", "seq")
 
+@query(f"""WITH {_V}, b AS (SELECT k, chrom, any_value(seq) AS seq, string_agg(seq[fr + 1:start] || alt, '' ORDER BY start, pos) AS t, max(start + len(ref)) AS e
+  FROM (SELECT *, coalesce(lag(start + len(ref)) OVER (PARTITION BY chrom ORDER BY start, pos), 0) AS fr FROM (SELECT a.*, c.k FROM a JOIN c USING (chrom))) GROUP BY k, chrom),
+g AS (SELECT k, chrom, len(seq) AS size, t || seq[e + 1:] AS s FROM b), x AS (SELECT *, unnest(range(0, len(s), 60)) AS o FROM g),
+y AS (SELECT k, o // 61440 AS block, (CASE WHEN o = 0 THEN '>' || chrom || ' ' || chrom || ':1-' || len(s) || ' from|' || chrom || ':1-' || size || chr(10) ELSE '' END) || s[o + 1:o + 60] || chr(10) AS line, o FROM x)
+SELECT row_number() OVER (ORDER BY k, block) - 1 AS nth, string_agg(line, '' ORDER BY o) AS text FROM y GROUP BY k, block""")
+def genome_lines(spark, sf_dir):
+    """The same as FASTA by blocks of lines: no row holds a whole contig."""
+    return lift.genome_fasta(_contigs(spark, sf_dir), _rows(spark, sf_dir))
+
 @query(f"""WITH {_V}, w AS (SELECT *, greatest(start - 7, 0) AS x, least(start + 7 + CASE WHEN len(alt) > 1 THEN 0 ELSE len(alt) + gone END, len(seq)) AS z,
   start + CASE WHEN gone > 0 THEN gone WHEN len(alt) > 1 THEN 0 ELSE 1 END AS y FROM a) SELECT chrom, id, x + 1 AS start, z AS "end", seq[x + 1:start] || alt || seq[y + 1:z] AS seq FROM w""")
 def variant_contig(spark, sf_dir):
@@ -427,7 +449,7 @@ def variant_contig(spark, sf_dir):
 SELECT chrom, s AS start, e AS "end", seq[greatest(s - 8, 0) + 1:s - 1] || seq[e + 1:least(e + 7, len(seq))] AS seq FROM j""")
 def sj_contig(spark, sf_dir):
     c = _contigs(spark, sf_dir)
-    j = c.where("ordinal >= 0").select(F.col("name").alias("chrom"), F.explode(F.sequence(F.lit(3), F.lit(225), F.lit(11))).alias("start")).withColumn("end", F.col("start") + 30)
+    j = pieces.sized(c).where("ordinal >= 0").select(F.col("name").alias("chrom"), F.explode(F.sequence(F.lit(3), F.lit(225), F.lit(11))).alias("start")).withColumn("end", F.col("start") + 30)
     return lift.junction_contigs(j, c, 8)
 
 @query(f"{_P}, o AS (SELECT t AS tag, read_id, 0 AS err FROM p, (SELECT unnest(['ACGT', 'GGAC']) AS t) WHERE seq[pos + 1:pos + 4] = t) SELECT tag, count(DISTINCT read_id) AS reads, count(*) AS hits FROM o GROUP BY 1")

@@ -380,7 +380,7 @@ def test_fasta_of_contigs(spark, tmp_path):
     assert got[0] == ">v1 c1:1-5\nATGTA\n" and len(got) == 4
     got = [r.text for r in lift.contig_fasta(lift.variant_contigs(rows, contigs, 4), diploid=True, header="k", number=True).orderBy("nth").collect()]
     assert got[0] == ">k0_L c1:1-5\nATGTA\n"
-    whole = [r.text for r in lift.genome_fasta(lift.genome(contigs, rows)).orderBy("nth").collect()]
+    whole = [r.text for r in lift.genome_fasta(contigs, rows).orderBy("nth").collect()]
     assert whole[0].startswith(">c1 c1:1-20 from|c1:1-20\n") and whole[1] == ">c2 c2:1-8 from|c2:1-8\nTTTTGGGG\n"
 
 
