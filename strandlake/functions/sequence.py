@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def normalised(seq: Column) -> Column:
     return F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f has it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def filler(n: Column) -> Column:
     return F.repeat(F.lit(FILLER), n)
 

@@ -6,6 +6,7 @@ Positions are 0-based and half open. ``end`` 0 means up to the end of the read,
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from math import comb
 
 from pyspark.sql import types as T
 
@@ -175,15 +176,9 @@ class Expanded:
     kmers: dict[str, list[tuple[int, int]]]
 
 
-def expand(layer: Layer) -> Expanded:
+def patterns_of(layer: Layer) -> list[Pattern]:
+    """The patterns of a layer's tags; an id is a pattern's place."""
     patterns: list[Pattern] = []
-    kmers: dict[str, list[tuple[int, int]]] = {}
-
-    def add(pattern: Pattern, found: dict[str, int]) -> None:
-        patterns.append(pattern)
-        for kmer, errors in found.items():
-            kmers.setdefault(kmer, []).append((pattern.id, errors))
-
     for tag in layer.tags:
         text = tag.seq.upper()
         opens, closes = text.startswith("*"), len(text) > 1 and text.endswith("*")
@@ -196,10 +191,54 @@ def expand(layer: Layer) -> Expanded:
                 if tag.end and tag.end - tag.start < len(seq):
                     raise ValueError(f"{seq} does not fit into its location")
                 whole = Pattern(len(patterns), tag, seq, seq if tag.sub == "." else tag.sub, file, tag.end, opens=opens, closes=closes)
-                add(whole, combined(seq, tag.mismatches, tag.indels, tag.total) | {seq: 0})
+                patterns.append(whole)
                 if tag.partial5[0] and tag.start <= 0:
                     end = min(len(seq), tag.end) if tag.end else len(seq)
-                    add(replace(whole, id=len(patterns), end=end, at_start=True), partials(seq, *tag.partial5, five=True))
+                    patterns.append(replace(whole, id=len(patterns), end=end, at_start=True))
                 if tag.partial3[0]:
-                    add(replace(whole, id=len(patterns), at_end=True), partials(seq, *tag.partial3, five=False))
+                    patterns.append(replace(whole, id=len(patterns), at_end=True))
+    return patterns
+
+
+def neighbours(p: Pattern) -> dict[str, int]:
+    """The k-mers of a pattern, and their errors."""
+    if p.at_start or p.at_end:
+        return partials(p.seq, *(p.tag.partial5 if p.at_start else p.tag.partial3), five=p.at_start)
+    return combined(p.seq, p.tag.mismatches, p.tag.indels, p.tag.total) | {p.seq: 0}
+
+
+@dataclass(frozen=True)
+class Form:
+    """A text that a pattern may be in reads, within errors. more: what counts besides where it is not exactly the text."""
+
+    text: str
+    mismatches: int
+    indels: int
+    total: int
+    more: int = 0
+
+
+def forms(p: Pattern) -> list[Form]:
+    """What ``neighbours`` are made of."""
+    if not (p.at_start or p.at_end):
+        most = min(p.tag.mismatches, p.tag.total), min(p.tag.indels, p.tag.total)
+        return [Form(p.seq, *most, p.tag.total if any(most) else 0)]
+    least, share = p.tag.partial5 if p.at_start else p.tag.partial3
+    sizes = [(n, int(share * n + 1e-9)) for n in range(len(p.seq), least - 1, -1)]
+    return [Form(p.seq[len(p.seq) - n :] if p.at_start else p.seq[:n], d, 0, d, len(p.seq) - n) for n, d in sizes if n]
+
+
+def most_neighbours(f: Form) -> int:
+    """At least as many as a form has neighbours."""
+    m = len(f.text) + f.indels
+    subs = sum(comb(m, n) * 4**n for n in range(min(f.mismatches, m) + 1))
+    return subs * (1 + sum((5 * (m + 1)) ** n + comb(m, n) for n in range(1, f.indels + 1)))
+
+
+def expand(layer: Layer) -> Expanded:
+    patterns = patterns_of(layer)
+    kmers: dict[str, list[tuple[int, int]]] = {}
+    for p in patterns:
+        for kmer, errors in neighbours(p).items():
+            kmers.setdefault(kmer, []).append((p.id, errors))
     return Expanded(patterns, kmers)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import barcode
-from strandlake.model import Layer, expand
+from strandlake.model import Layer, patterns_of
 from strandlake.operators.ordering import numbered
 
 
@@ -63,7 +63,7 @@ def with_ids(df: DataFrame, key: str, ids: DataFrame, into: str) -> DataFrame:
 def radix_table(layer: Layer, groups: list[str]) -> dict[str, tuple[int, dict[str, int]]]:
     """group -> (number of values, tag name -> value from 1 on), for codes of mixed radix."""
     out: dict[str, tuple[int, dict[str, int]]] = {}
-    for p in expand(layer).patterns:
+    for p in patterns_of(layer):
         g = p.tag.group
         if g in groups and not (p.at_start or p.at_end):
             _, values = out.setdefault(g, (1, {}))

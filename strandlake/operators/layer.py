@@ -10,7 +10,7 @@ from strandlake.model import Layer
 from strandlake.operators import assign
 from strandlake.operators.edit import inserted, substituted, tag_cuts
 from strandlake.operators.extract import extractions
-from strandlake.operators.scan import find_tags
+from strandlake.operators.scan import with_found
 
 #: what a layer adds to read_id, run_id, segs and head (the names of the segments so far)
 ADDED = ("hits", "names", "groups", "umis", "assigned", "discard", "passes", "out", "ofile", "key", "id", "sub_id", "cuts")
@@ -69,11 +69,10 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
     df = settled(df.select(*reads.columns, *[f"{c}{j}{e}" for j in range(n) for c, e in (("_s", ""), ("_q", ""), ("_a", ""), ("_s", "_"), ("_q", "_"))], *[f"{c}{j}" for j in range(n) for c in ("_l5", "_l3") if trims and layer.qtrim_pre]))
     df = df.withColumns({"_seqs": F.array(*[normalised(F.col(f"_s{j}_")) for j in range(n)]), "_quals": F.array(*[F.col(f"_q{j}_") for j in range(n)])})
     if layer.tags:
-        df = df.withColumn("_found", find_tags(df.sparkSession, layer, F.col("_seqs")))
-        df = df.withColumns({"hits": F.col("_found.hits"), "_unmet": F.col("_found.unmet")})
+        df = with_found(settled(df), layer)
     else:
         df = df.withColumns({"hits": F.array().cast(_hits_type()), "_unmet": F.lit(False)})
-    df = settled(df.drop("_found"))
+    df = settled(df)
     # extraction
     given = [_placed(p, segs) for p in layer.placements[::-1] if p.pos == -1]  # the last listed comes first
     df = df.withColumn("umis", extractions(layer, F.col("hits"), F.col("_seqs"), F.col("_quals"), given) if layer.extracts and "umis" in only else F.array().cast("array<struct<value:string,qual:string>>"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as S
+from strandlake.model import Layer, Tag
 from strandlake.operators import assign, lift, ordering, pieces, summary, unmask
 from strandlake.operators.layer import ADDED, run_layer
 from strandlake.operators.neighbourhood import substituted
@@ -87,10 +88,13 @@ def _mismatches(tag: str, pos: str = "pos", seq: str = "seq") -> str:
 def kmer_generate(spark, sf_dir):
     return kmers_of(_seqs(spark, sf_dir), [[(4, 0, 1 << 30)]]).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
-@query("""WITH l AS (SELECT unnest(['A','C','G','T','N']) AS c), s AS (SELECT a.c || b.c || d.c || e.c AS kmer FROM l a, l b, l d, l e),
-h AS (SELECT kmer, (kmer[1] <> 'A')::INT + (kmer[2] <> 'C')::INT + (kmer[3] <> 'G')::INT + (kmer[4] <> 'T')::INT AS err FROM s) SELECT kmer, err FROM h WHERE err BETWEEN 1 AND 2""")
+@query(f"""{_P}, k AS (SELECT seq[pos + 1:pos + 4] AS kmer, count(*) AS n FROM p WHERE pos <= 28 GROUP BY 1), l AS (SELECT unnest(['A','C','G','T','N']) AS c), s AS (SELECT a.c || b.c || d.c || e.c AS kmer FROM l a, l b, l d, l e),
+h AS (SELECT kmer, (kmer[1] <> 'A')::INT + (kmer[2] <> 'C')::INT + (kmer[3] <> 'G')::INT + (kmer[4] <> 'T')::INT AS err FROM s) SELECT kmer, err, coalesce(n, 0) AS n FROM h LEFT JOIN k USING (kmer) WHERE err BETWEEN 1 AND 2""")
 def hamming_neighbourhood(spark, sf_dir):
-    return spark.createDataFrame(list(substituted("ACGT", 2).items()), "kmer string, err int")
+    """The neighbourhood of a tag, and how often reads have each of its k-mers."""
+    found = kmers_of(_seqs(spark, sf_dir), [[(4, 0, 1 << 30)]]).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    near = spark.createDataFrame(list(substituted("ACGT", 2).items()), "kmer string, err int")
+    return near.join(found, "kmer", "left").select("kmer", "err", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 @query(f"{_P} SELECT read_id, pos, t AS name FROM p, (SELECT unnest(['ACGT', 'GGA']) AS t) WHERE seq[pos + 1:pos + len(t)] = t")
 def exact_match(spark, sf_dir):
@@ -124,6 +128,22 @@ FROM e WHERE (a <= 2 AND b > 2) OR (b <= 2 AND a > 2) OR (a <= 2 AND b <= 2 AND
 def min_delta(spark, sf_dir):
     return _clear(spark, sf_dir, tags="AGGC,ACCG", distances="2", min_delta=0)
 
+_B = f"translate(md5('b' || %s), '{HEX}', '{BASES}')[1:16]"
+
+@query(f"""WITH t AS (SELECT {_B % 'p_partkey'} AS tag FROM part), d AS (SELECT doc_id, {_B % '(doc_id % 200 + 1)'} AS b, (doc_id % 17)::INT AS j, translate(md5(coalesce(text, '')), '{HEX}', '{BASES}') AS rest FROM documents),
+r AS (SELECT doc_id AS read_id, CASE WHEN j = 16 THEN b ELSE b[1:j] || translate(b[j + 1], 'ACGT', 'CGTA') || b[j + 2:16] END || rest AS seq FROM d),
+h AS (SELECT read_id, tag, hamming(tag, seq[1:16]) AS err FROM r, (SELECT DISTINCT tag FROM t) WHERE hamming(tag, seq[1:16]) <= 1)
+SELECT read_id, any_value(tag) AS name, any_value(err)::INT AS err FROM h GROUP BY read_id HAVING count(*) = 1""")
+def barcode_list(spark, sf_dir):
+    """A long list of barcodes, each with one error, in the ordered scan: the table is too large for its neighbourhood, so seeds find them."""
+    made = lambda c: F.substring(F.translate(F.md5(F.concat(F.lit("b"), c.cast("string"))), HEX, BASES), 1, 16)
+    codes = sorted(r.tag for r in spark.read.parquet(f"{sf_dir}/part.parquet").select(made(F.col("p_partkey")).alias("tag")).distinct().collect())  # the user's list
+    b, j = made(F.col("read_id") % 200 + 1), (F.col("read_id") % 17).cast("int")
+    changed = F.concat(S.part(b, 0, j), F.translate(S.part(b, j, 1), "ACGT", "CGTA"), S.part(b, j + 1, 16))
+    df = reads(spark, sf_dir).withColumn("segs", F.transform("segs", lambda s: s.withField("seq", F.concat(changed, s.seq)).withField("qual", F.concat(F.repeat(F.lit("#"), 16), s.qual))))
+    layer = Layer(tags=[Tag(c, name=c, mismatches=1, total=1, file=0, end=16) for c in codes])
+    return run_layer(df, layer, only=("hits",)).select("read_id", F.explode("hits").alias("h")).select("read_id", "h.name", "h.err")
+
 def _greedy(tags: list[str], budget: str = "") -> str:
     """SQL: non-overlapping hits of exact tags from left to right: read_id, nth, pos, name."""
     name = "CASE " + " ".join(f"WHEN seq[pos + 1:pos + {len(t)}] = '{t}' THEN '{t}'" for t in sorted(tags, key=len, reverse=True)) + " END"
