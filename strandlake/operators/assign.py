@@ -56,8 +56,10 @@ def first_appearance(df: DataFrame, key: str, known: DataFrame | None = None) ->
 
 
 def with_ids(df: DataFrame, key: str, ids: DataFrame, into: str) -> DataFrame:
-    """df with the id of each key. The join is left to Spark, which broadcasts by size and splits skewed partitions."""
-    return df.join(ids.select(F.col(key).alias("_key"), F.col("id").alias(into)), F.col(key) == F.col("_key"), "left").drop("_key")
+    """df with the id of each key. Rows without a key are kept out of the join, where they would be one key; the join is
+    left to Spark, which broadcasts by size and splits skewed partitions."""
+    found = df.where(F.col(key).isNotNull()).join(ids.select(F.col(key).alias("_key"), F.col("id").alias(into)), F.col(key) == F.col("_key"), "left").drop("_key")
+    return found.unionByName(df.where(F.col(key).isNull()).withColumn(into, F.lit(None).cast("long")))
 
 
 def radix_table(layer: Layer, groups: list[str]) -> dict[str, tuple[int, dict[str, int]]]:

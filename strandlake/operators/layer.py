@@ -11,6 +11,7 @@ from strandlake.operators import assign
 from strandlake.operators.edit import inserted, substituted, tag_cuts
 from strandlake.operators.extract import extractions
 from strandlake.operators.scan import with_found
+from strandlake.sources.staging import staged
 
 #: what a layer adds to read_id, run_id, segs and head (the names of the segments so far)
 ADDED = ("hits", "names", "groups", "umis", "assigned", "discard", "passes", "out", "ofile", "key", "id", "sub_id", "cuts")
@@ -150,12 +151,18 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
 
 
 def _numbered(df: DataFrame, reads: DataFrame, layer: Layer, known: DataFrame | None, ids: bool, only: tuple[str, ...]) -> DataFrame:
-    """df with the ids by first appearance, where they are asked for."""
-    if ids and layer.assign and not layer.encode and "id" in only:
-        df = assign.with_ids(df.drop("id"), "key", assign.first_appearance(df, "key", known), "id")
-    if ids and layer.assign and not layer.encode and layer.sub_assign and "sub_id" in only:
-        df = df.withColumn("sub_key", F.when(F.col("key").isNotNull(), assign.picked(F.col("names"), layer.sub_assign))).drop("sub_id")
-        df = assign.with_ids(df, "sub_key", assign.first_appearance(df, "sub_key"), "sub_id").drop("sub_key")
+    """df with the ids by first appearance, where they are asked for. The layer's output is written once: keys are counted
+    in one pass over it and ids joined in another, the layer itself runs once."""
+    ids = ids and layer.assign and not layer.encode
+    sub = ids and bool(layer.sub_assign) and "sub_id" in only
+    if ids and ("id" in only or sub):
+        if sub:
+            df = df.withColumn("_sub", F.when(F.col("key").isNotNull(), assign.picked(F.col("names"), layer.sub_assign)))
+        df = staged(df, "layer")
+        if "id" in only:
+            df = assign.with_ids(df.drop("id"), "key", assign.first_appearance(df.select("read_id", "key"), "key", known), "id")
+        if sub:
+            df = assign.with_ids(df.drop("sub_id"), "_sub", assign.first_appearance(df.select("read_id", "_sub"), "_sub"), "sub_id")
     return df.select(*reads.columns, *only)
 
 

@@ -81,7 +81,7 @@ def applied(rows: DataFrame, snv_only: bool = False) -> DataFrame:
 def unsorted(variants: DataFrame) -> DataFrame:
     """What is out of order in a file of variants: chrom, pos, problem (``position`` for a variant that comes before the one
     above it, ``chromosome`` for one that begins a chromosome that was there before). variants: ordinal, chrom, pos, and, where
-    it is read from a file in parts, block, the number of the part."""
+    it is read from files in parts, block, the place of the part in their order."""
     rows = variants.select(F.col("block") if "block" in variants.columns else F.lit(0).alias("block"), "ordinal", "chrom", "pos")
     rows = running(rows, [], F.col("block"), ["ordinal"], {"_before": ("prior", F.struct("chrom", "pos"))})
     same = F.col("_before.chrom") == F.col("chrom")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.sequence import barcode, filler
 from strandlake.model import Layer
 from strandlake.operators.layer import run_layer
+from strandlake.sources.staging import staged
 
 #: fixed values: the annotation tags of tag sequences, extractions, ids, sub-ids, barcodes, places
 SAM_TAGS = (("CB:Z:",), ("RX:Z:",), ("BI:i:",), ("SI:i:",), ("BC:Z:",), ("LX:Z:",), ("YM:Z:",))
@@ -209,6 +210,7 @@ def process(reads: DataFrame, layer: Layer, o: Output) -> tuple[DataFrame, list[
     df = run_layer(reads, layer)
     if layer.child is None:
         return records(df, layer, o), [(layer, df)]
+    df = staged(df, "layer")  # its own records, barcodes and what the child gets come from one run
     own = records(df.where(~strictly(F.col("assigned"), F.col("discard"))), layer, o)
     if layer.assign_here and o.outb:
         own = own.unionByName(records(df, layer, o).where("stream = 'barcodes'"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.model import Layer
-from strandlake.operators.scan import expand
+from strandlake.model import Layer, expand
+from strandlake.sources.staging import staged
 
 
 def counts(df: DataFrame) -> DataFrame:
@@ -80,7 +80,9 @@ def tag_table(layer: Layer) -> dict[str, int]:
 
 
 def as_json(df: DataFrame, layer: Layer) -> DataFrame:
-    """One row, one column: the whole report as JSON. Each part is bounded by files, tags or names, not by reads."""
+    """One row, one column: the whole report as JSON. Each part is bounded by files, tags or names, not by reads. What the
+    parts need is written once, so the layer runs once."""
+    df = staged(df.select("hits", "names", "umis", "assigned", "discard", "passes", "cuts"), "report")
     parts = {"lengths": lengths(df).orderBy("file"), "trims": trims(df).orderBy("file"), "extractions": extraction_lengths(df, layer).orderBy("name"), "tag_qc": tag_errors(df, layer).orderBy("tag", "distance"), "tag_trims": trimming_tags(df).orderBy("name", "match_length")}
     out = counts(df)
     columns = [F.col(c) for c in out.columns]

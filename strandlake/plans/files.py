@@ -193,16 +193,23 @@ def _there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-@query("""WITH t AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), p AS (SELECT a.c || b.c AS c FROM t a, t b)
-SELECT 'x' AS "group", 'x' || c AS name, 17 AS domain, 1 AS weight FROM p UNION ALL SELECT 'y', 'y' || c, 17, 17 FROM p""")
+@query(f"""WITH {_R}, t AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), p AS (SELECT a.c || b.c AS c FROM t a, t b),
+m AS (SELECT 'x' AS "group", 'x' || c AS name, 17 AS domain, 1 AS weight, c, 1 AS at FROM p UNION ALL SELECT 'y', 'y' || c, 17, 17, c, 3 FROM p),
+n AS (SELECT 'x' || seq[1:2] AS name, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT 'y' || seq[3:4], count(*) FROM r GROUP BY 1)
+SELECT "group", name, domain, weight, coalesce(n, 0) AS n FROM m LEFT JOIN n USING (name)""")
 def radix_mapping(spark, sf_dir):
+    """The table that codes of mixed radix are read with, and how many reads have each place of a code."""
     layer, _ = build(assign=True, barcode_encode="x,y", **_PAIR)
-    return sinks.radix_mapping(spark, layer)
+    found = run_layer(reads(spark, sf_dir), layer, only=("names",)).select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.radix_mapping(spark, layer).join(found, "name", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-@query(f"WITH {_R} SELECT read_id FROM r WHERE false")
+@query(f"WITH {_R} SELECT count(*) AS n_reads, 0::BIGINT AS n_records FROM r")
 def no_output(spark, sf_dir):
-    return _records(spark, sf_dir, tags="ACG", no_output=True).select("read_id")
+    """All reads are processed, and none is written."""
+    layer, o = build(tags="ACG", no_output=True)
+    written, layers = process(reads(spark, sf_dir), layer, o)
+    return layers[0][1].agg(F.count(F.lit(1)).alias("n_reads"), F.lit(written.count()).cast("long").alias("n_records"))
 
 
 @query(f"""WITH {_R}, l AS (SELECT *, CASE WHEN instr(seq, 'ACG') > 0 THEN instr(seq, 'ACG') - 1 ELSE 32 END AS stay FROM r)
@@ -327,8 +334,9 @@ def revcomp(spark, sf_dir):
     return run_layer(reads(spark, sf_dir), layer).select("read_id", F.element_at("umis", 1).value.alias("barcode"))
 
 
-@query(f"WITH {_R} SELECT read_id, {S.FILLER!r} || 'A' AS x FROM r WHERE false")
+@query(f"WITH {_R} SELECT count(*) AS n_reads, 0::BIGINT AS n_assigned, 0::BIGINT AS n_records FROM r")
 def nothing_found(spark, sf_dir):
-    """A tag that no read has."""
-    rows = _records(spark, sf_dir, tags="ACGTACGTACGTACGTACGTACGTACGTACGTACGT", assign=True, pipe=True)
-    return rows.select("read_id", F.col("text").alias("x"))
+    """A tag that no read has: reads are counted, none is assigned or written."""
+    layer, o = build(tags="ACGTACGTACGTACGTACGTACGTACGTACGTACGT", assign=True, pipe=True)
+    written, layers = process(reads(spark, sf_dir), layer, o)
+    return layers[0][1].agg(F.count(F.lit(1)).alias("n_reads"), F.count_if("assigned").alias("n_assigned"), F.lit(written.count()).cast("long").alias("n_records"))

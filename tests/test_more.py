@@ -374,6 +374,50 @@ def test_contigs(spark, tmp_path, monkeypatch, chunk):
     assert lift.unsorted(spark.createDataFrame([(0, "c", 5), (1, "c", 3)], "ordinal long, chrom string, pos int")).count() == 1
 
 
+def test_order_of_a_folder_of_variants(spark, tmp_path):
+    """Part files of unequal sizes, which Spark packs by size, are in the order of their names."""
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts0\n"
+    lines = [f"c{1 + i // 2000}\t{i + 1}\tv\tA\tC\t.\tPASS\t.\tGT\t1/1\n" for i in range(3470)]
+    at = 0
+    (tmp_path / "v").mkdir()
+    for k, n in enumerate((50, 400, 20, 3000)):
+        (tmp_path / "v" / f"part-0000{k}.txt").write_text((head if not k else "") + "".join(lines[at : at + n]))
+        at += n
+    rows = tables.read_vcf(spark, str(tmp_path / "v"), "s0")
+    assert rows.count() == 3470 and lift.unsorted(rows).count() == 0
+    (tmp_path / "v" / "part-00009.txt").write_text(lines[5])
+    assert [tuple(r) for r in lift.unsorted(tables.read_vcf(spark, str(tmp_path / "v"), "s0")).collect()] == [("c1", 5, "chromosome")]
+
+
+def test_long_contigs_by_pieces(spark, monkeypatch):
+    """A contig in pieces of odd lengths gives the same as in one row, lines over the borders of pieces, chunks and blocks included."""
+    monkeypatch.setattr(unmask, "CHUNK", 64)
+    monkeypatch.setattr(lift, "CHUNK", 37)
+    monkeypatch.setattr(lift, "BLOCK", 120)
+    rng = random.Random(2)
+    seq = "".join(rng.choice("ACGT") for _ in range(1000))
+    whole = spark.createDataFrame([(0, "c", seq), (1, "d", "ACG"), (2, "e", "")], "ordinal long, name string, seq string")
+    cuts, parts = [0, 1, 200, 263, 640, 999, 1000], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        parts.append((0, "c", a, seq[a:b]))
+    pieces_ = spark.createDataFrame([*parts, (1, "d", 0, "ACG"), (2, "e", 0, "")], "ordinal long, name string, start long, bases string")
+    variants = [("c", 5 + 13 * i, "v", seq[5 + 13 * i : 8 + 13 * i] if i % 3 == 2 else seq[5 + 13 * i], [seq[5 + 13 * i] + ("GGT" if i % 3 == 1 else "")] if i % 3 else ["N"], "PASS", "1/1") for i in range(70)]
+    rows = lift.applied(lift.alleles(spark.createDataFrame(variants, "chrom string, pos int, id string, ref string, alts array<string>, filter string, gt string")))
+    want, at = "", 0
+    for r in rows.orderBy("start").collect():
+        want += seq[at : r.start] + r.alt
+        at = r.start + len(r.ref)
+    want += seq[at:]
+    for contigs in (whole, pieces_):
+        assert {r.chrom: r.seq for r in lift.genome(contigs, rows).collect()} == {"c": want, "d": "ACG", "e": ""}
+        text = "".join(r.text for r in lift.genome_fasta(contigs, rows).orderBy("nth").collect())
+        lines = "\n".join(want[i : i + 60] for i in range(0, len(want), 60))
+        assert text == f">c c:1-{len(want)} from|c:1-1000\n{lines}\n>d d:1-3 from|d:1-3\nACG\n>e e:1-0 from|e:1-0\n\n"
+        assert max(len(r.text) for r in lift.genome_fasta(contigs, rows).collect()) < 200
+    one, two = ({(r.id, r.start, r.seq) for r in lift.variant_contigs(rows, c, 9).collect()} for c in (whole, pieces_))
+    assert one == two and len(one) > 40
+
+
 def test_fasta_of_contigs(spark, tmp_path):
     contigs, rows = _lifted(spark, tmp_path)
     got = [r.text for r in lift.contig_fasta(lift.variant_contigs(rows, contigs, 4)).orderBy("nth").collect()]
