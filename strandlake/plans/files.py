@@ -14,6 +14,7 @@ from strandlake.operators.render import process, records
 from strandlake.plans.options import build
 from strandlake.plans.queries import _C, _K, _PAIR, _R, HEX, QUALITIES, _base4, _contigs, _greedy, _occurrences, query, reads
 from strandlake.sources import sinks, tables
+from strandlake.sources.fasta import read_pieces
 from strandlake.sources.fastx import read_batch, read_reads
 from strandlake.sources.staging import new_folder
 
@@ -238,13 +239,27 @@ def _lines(df: DataFrame, label: str) -> str:
     return path
 
 
-@query(f"WITH {_C} SELECT row_number() OVER (ORDER BY k) - 1 AS ordinal, chrom AS name, seq FROM c")
-def contig_scan(spark, sf_dir):
-    """Contigs written as FASTA, sixty bases a line, and read back by splits of 4 KB; the longest has hundreds of KB."""
+def _contig_file(spark: SparkSession, sf_dir: str, width: int = lift.LINE, masked: str = "") -> str:
+    """Contigs as FASTA, sixty bases a line, in a folder of files that may cut a contig; the longest has hundreds of KB.
+    Masked bases are N."""
     c = pieces.recut(_contigs(spark, sf_dir), ["ordinal", "name"], lift.BLOCK)
     head = F.when(F.col("chunk") == 0, F.concat(F.lit(">"), "name", F.lit("\n"))).otherwise("")
-    path = _lines(c.select(F.struct("ordinal", "chunk").alias("nth"), F.concat(head, lift.wrapped(F.col("bases"))).alias("value")), "contigs")
-    return tables.read_contigs(spark, path, split_bytes=1 << 12)
+    return _lines(c.select(F.struct("ordinal", "chunk").alias("nth"), F.concat(head, lift.wrapped(F.translate("bases", masked, "N" * len(masked)), width)).alias("value")), "contigs")
+
+
+@query(f"WITH {_C} SELECT row_number() OVER (ORDER BY k) - 1 AS ordinal, chrom AS name, seq FROM c")
+def contig_scan(spark, sf_dir):
+    """Contigs read back by ranges of 64 KB and put together, a row each."""
+    c = read_pieces(spark, _contig_file(spark, sf_dir), split_bytes=1 << 16)
+    return c.groupBy("ordinal", "name").agg(pieces.joined("start", "bases").alias("seq"))
+
+
+@query(f"""WITH {_C}, n AS (SELECT row_number() OVER (ORDER BY k) - 1 AS ordinal, chrom AS name, seq FROM c), b AS (SELECT *, unnest(range(0, (len(seq) + 999) // 1000)) AS chunk FROM n)
+SELECT ordinal, name, chunk, substr(seq, (chunk * 1000 + 1)::INT, 1000) AS bases FROM b""")
+def contig_pieces(spark, sf_dir):
+    """Contigs read back by ranges that end within lines and headers, cut to blocks of 1,000 bases: no row holds a contig."""
+    c = read_pieces(spark, _contig_file(spark, sf_dir), split_bytes=50_021)
+    return pieces.recut(c, ["ordinal", "name"], 1000)
 
 
 _VCF = """v AS (SELECT p_partkey AS k, 'c' || (p_partkey % 5) AS chrom, p_partkey * 3 AS pos, CASE p_partkey % 3 WHEN 0 THEN 'PASS' ELSE 'q10' END AS filter,
@@ -327,6 +342,14 @@ def unmask_fasta(spark, sf_dir):
     return unmask.unmasked_fasta(unmask.unmasked_runs(one, two))
 
 
+@query(f"""WITH {_C}, n AS (SELECT row_number() OVER (ORDER BY k) - 1 AS ordinal, seq FROM c), p AS (SELECT ordinal, unnest(regexp_extract_all(seq, 'A+')) AS bases FROM n) SELECT ordinal, len(bases)::BIGINT AS size, count(*) AS n FROM p GROUP BY ALL""")
+def unmask_pieces(spark, sf_dir):
+    """Two FASTA files of other line widths, read by ranges and compared by chunk: runs of A, which the second one masks, by
+    contig and length."""
+    runs = unmask.unmasked_runs(read_pieces(spark, _contig_file(spark, sf_dir), 50_021), read_pieces(spark, _contig_file(spark, sf_dir, 50, "A"), 1 << 16))
+    return runs.groupBy("ordinal", F.length("bases").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {_R} SELECT read_id, barcode FROM (SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS barcode FROM r)")
 def revcomp(spark, sf_dir):
     """A transform of an extraction of the whole read."""

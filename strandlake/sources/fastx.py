@@ -31,6 +31,16 @@ def _system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
+def _files(uri: str) -> list[tuple[str, fs.FileInfo]]:
+    """The file, or the files of a folder in order of name, as Spark writes them."""
+    system, path = _system(uri)
+    info = system.get_file_info(path)
+    if info.type != fs.FileType.Directory:
+        return [(uri, info)]
+    inside = (i for i in system.get_file_info(fs.FileSelector(path)) if i.is_file and i.base_name[0] not in "._" and i.size)
+    return [(f"{uri.rstrip('/')}/{i.base_name}", i) for i in sorted(inside, key=lambda i: i.base_name)]
+
+
 def parse_records(lines: Iterator[bytes]) -> Iterator[tuple[str, str, str, str | None]]:
     """(name, comment, seq, qual) of FASTA or FASTQ lines; sequences may take several lines.
 
@@ -104,13 +114,8 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         """Parts of the file, or of the files of a folder in order of name, as Spark writes them."""
-        system, path = _system(self.path)
-        info = system.get_file_info(path)
-        if info.type == fs.FileType.Directory:
-            files = sorted((i for i in system.get_file_info(fs.FileSelector(path)) if i.is_file and i.base_name[0] not in "._" and i.size), key=lambda i: i.base_name)
-            cuts = [c for i in files for c in self._cuts(system, f"{self.path.rstrip('/')}/{i.base_name}", i)]
-        else:
-            cuts = self._cuts(system, self.path, info)
+        system, _ = _system(self.path)
+        cuts = [c for uri, info in _files(self.path) for c in self._cuts(system, uri, info)]
         return [Part(n, *c) for n, c in enumerate(cuts or [(self.path, 0, 0)])]
 
     def _cuts(self, system: fs.FileSystem, uri: str, info: fs.FileInfo) -> list[tuple[str, int, int, bool]]:
