@@ -77,6 +77,26 @@ def keep_one(docs: DataFrame, gone: DataFrame, twins: DataFrame, digest: Column)
     return rows.where("not _maybe").select("_row.*").unionByName(asked.select("_row.*"))
 
 
+def repeated_rows(rows: DataFrame, key: str, digest: str) -> DataFrame:
+    """The digests (``_sha``) that several rows with one key have, as a staged table; counts are added up in the tasks first."""
+    several = rows.groupBy(key, digest).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return staged(several.select(F.col(digest).alias("_sha")).distinct(), "repeated")
+
+
+def fold_repeats(rows: DataFrame, key: str, digest: str, twins: DataFrame) -> DataFrame:
+    """rows with those that agree in key and digest as one, and ``times``, how many these were. twins: from ``repeated_rows``.
+
+    Only rows whose digest may be among twins are exchanged, and a task folds its own before that: a row repeated a million
+    times travels once a task. The other columns have to agree in such rows.
+    """
+    if not twins.limit(1).count():
+        return rows.withColumn("times", F.lit(1).cast("long"))
+    rows = maybe_among(rows, F.col(digest), twins)
+    others = [c for c in rows.columns if c not in (key, digest, "_maybe")]
+    once = rows.where("_maybe").groupBy(key, digest).agg(*[F.first(c).alias(c) for c in others], F.count(F.lit(1)).alias("times"))
+    return rows.where("not _maybe").drop("_maybe").withColumn("times", F.lit(1).cast("long")).unionByName(once)
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of edges (a long, b long): one row (node, root) a node, root its smallest node.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import components, keep_one, maybe_among, salted_join, staged
+from strandlake.llm.common import components, fold_repeats, keep_one, maybe_among, repeated_rows, salted_join, staged
 from strandlake.llm.substring import Words, _mixed
 
 SHINGLE, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE, MISSED = 5, 0.8, 128, 4, 16, 1e-6, 1e-7
@@ -309,6 +309,7 @@ def _joined(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     clustered = staged(clusters.join(texts, "node").select("node", "root", "members", "sig", "digest", "rep_id", "copies"), "jaccard-clustered")
     rows = docs.select(F.col("doc_id").alias("_id"), _digest(), F.col("text").cast("string").alias("text"))
     rows = maybe_among(rows, F.col("digest"), clustered.select(F.col("digest").alias("_sha"))).where("_maybe").drop("_maybe")
+    rows = fold_repeats(rows, "_id", "digest", repeated_rows(signed, "doc_id", "digest")).drop("times")
     rows = rows.join(clustered.hint("merge"), (F.col("_id").eqNullSafe(F.col("rep_id"))) & (rows["digest"] == clustered["digest"]))
     found = staged(_verified(_blocks(rows, "root", "members", CLUSTER_SIDE).select("_group", "_side", "node", "copies", "sig", "text"), threshold), "jaccard-links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"), F.sum("documents").alias("n_linked_docs"))

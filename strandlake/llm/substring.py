@@ -18,8 +18,8 @@ Words are hashed by BLAKE2b to 128 bits and a run of words by two polynomials of
 equal by 128 bits in which every word counts as a whole. Probes travel as 48 bits, which can only add anchors.
 
 Edge cases: a null text has no words; rows with the same id don't remove each other's words; a null id counts as larger
-than every other, and rows with null ids are dealt by their texts; rows that agree in id and text share a batch. A text of
-any length is taken whole: one beyond ``BATCH_BYTES`` makes its batch as large as it is. Texts shorter than a window stay
+than every other, and rows with null ids are dealt by their texts; rows that agree in id and text go as one with their
+number, and each of them gets the answer. A text of any length is taken whole: one beyond ``BATCH_BYTES`` makes its batch as large as it is. Texts shorter than a window stay
 whole; an empty table gives an empty table. Other columns are ignored.
 """
 
@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import fold_repeats, repeated_rows, staged
+
 WINDOW, BATCH_BYTES, BUCKET_BYTES, MOST_BUCKETS = 50, 2 << 20, 16 << 20, 1 << 15
 _BASES, _LAST = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (1 << 63) - 1
 _STEP = np.uint64((1 << 32) - 1)
@@ -159,6 +161,8 @@ class Batch:
         order = sorted(range(len(ids)), key=lambda i: _LAST if ids[i] is None else ids[i])
         self.window, self.block, self.floors = window, (window + 1) // 2, bucket_floors(buckets)
         self.rows = [ids[i] for i in order]
+        times = docs.column("times").to_pylist()
+        self.times = [times[i] for i in order]
         texts = docs.column("text").cast(pa.binary()).to_pylist()
         self.words = w = Words([texts[i] for i in order])
         self.ids = np.array([_LAST if i is None else i for i in self.rows], np.int64)
@@ -294,7 +298,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, bat
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     batches = max(1, -(-size // batch_bytes))
     buckets = int(min(MOST_BUCKETS, max(8, -(-size // bucket_bytes))))
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    once = fold_repeats(rows, "doc_id", "digest", repeated_rows(rows, "doc_id", "digest")).drop("digest")
+    dealt = once.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         return _asking(table.column("batch")[0].as_py(), *Batch(table, window, buckets).probes())
@@ -313,7 +320,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, bat
         return pa.table({
             "doc_id": pa.array(b.rows, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()),
             "spans": pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], span),
-            "kept": pa.array([k.decode() for k in kept] if texts else [hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+            "kept": pa.array([k.decode() for k in kept] if texts else [hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "times": pa.array(b.times, pa.int64()),
         })
 
     def shared(table: pa.Table) -> pa.Table:
@@ -321,10 +328,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, bat
 
     asking, answer = "bucket int, batch long, probes binary, blocks binary", "batch long, bucket int, answer binary"
     by_batch = dealt.groupBy("batch")
-    anchors = by_batch.applyInArrow(ask_anchors, asking).groupBy("bucket").applyInArrow(shared, answer)
+    anchors = staged(by_batch.applyInArrow(ask_anchors, asking).groupBy("bucket").applyInArrow(shared, answer), "anchors")
     windows = by_batch.cogroup(anchors.groupBy("batch")).applyInArrow(ask_windows, asking)
     smaller = windows.groupBy("bucket").applyInArrow(_smaller_elsewhere, answer)
-    out = by_batch.cogroup(anchors.union(smaller).groupBy("batch")).applyInArrow(resolve, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
+    out = by_batch.cogroup(anchors.union(smaller).groupBy("batch")).applyInArrow(resolve, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string, times long")
+    out = out.withColumn("times", F.explode(F.expr("array_repeat(0, int(times))"))).drop("times")
     return out.withColumnRenamed("kept", "kept_text" if texts else "kept_sha256")
 
 

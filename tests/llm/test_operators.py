@@ -482,6 +482,22 @@ def test_near_copies(spark, monkeypatch, side):
     assert {i: n for i, n in kept.items() if i is not None} == {i: n for i, n in once.items() if i is not None}
 
 
+def test_a_row_repeated_many_times(spark):
+    """A row that comes 200,000 times is worked on as one, and each of its rows gets the answer."""
+    near = helpers.PASSAGE.split()
+    near[30] = "other"
+    few = spark.createDataFrame([(3, helpers.PASSAGE + " tail"), (9, " ".join(near)), (7, "short"), (7, None), (7, "")], "doc_id long, text string")
+    many = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(helpers.PASSAGE).alias("text"))
+    docs = many.unionByName(few)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    folded = common.fold_repeats(rows, "doc_id", "digest", common.repeated_rows(rows, "doc_id", "digest"))
+    assert Counter((r.doc_id, r.text, r.times) for r in folded.collect()) == Counter([(3, helpers.PASSAGE + " tail", 1), (9, " ".join(near), 1), (7, "short", 1), (7, "", 2), (7, helpers.PASSAGE, 200_000)])
+    got = {(r.doc_id, r.n_words, r.n_removed): r.n for r in substring.drop_repeats(docs).groupBy("doc_id", "n_words", "n_removed").agg(F.count("*").alias("n")).collect()}
+    assert got == {(3, 61, 0): 1, (9, 60, 0): 1, (7, 60, 60): 200_000, (7, 1, 0): 1, (7, 0, 0): 2}
+    got = {(r.doc_id, r.class_id, r.copies, r.n_links): r.n for r in jaccard.near_copies(docs).groupBy("doc_id", "class_id", "copies", "n_links").agg(F.count("*").alias("n")).collect()}
+    assert got == {(3, 3, 1, 2): 1, (9, 3, 1, 2): 1, (7, 3, 200_000, 2): 200_000, (7, 7, 1, 0): 1, (7, 7, 2, 0): 2}
+
+
 def test_near_copies_empty(spark):
     assert jaccard.near_copies(helpers.empty(spark)).count() == 0 and jaccard.drop_near_copies(helpers.empty(spark)).count() == 0
 
