@@ -13,9 +13,9 @@ from strandlake.operators.layer import run_layer
 from strandlake.operators.render import process, records
 from strandlake.plans.options import build
 from strandlake.plans.queries import _C, _K, _PAIR, _R, HEX, QUALITIES, _base4, _contigs, _greedy, _occurrences, query, reads
-from strandlake.sources import sinks, tables
+from strandlake.sources import bam, bgzf, sinks, tables
 from strandlake.sources.fasta import read_pieces
-from strandlake.sources.fastx import read_batch, read_reads
+from strandlake.sources.fastx import read_batch, read_fastx, read_reads
 from strandlake.sources.staging import new_folder
 
 #: fixed values: hexadecimal digits to letters of reads, lower case and N among them
@@ -58,6 +58,16 @@ def gzip_reads(spark, sf_dir):
     return _read(spark, [[_file(odd_reads(spark, sf_dir), compression="gzip")]]).drop("run_id")
 
 
+@query(f"WITH {_O} SELECT nth AS read_id, name, comment, seq, qual FROM o")
+def blocked_reads(spark, sf_dir):
+    """The same from blocked gzip, whose files are split."""
+    layer, o = build(keep_comments=True)
+    path = f"{new_folder(spark, 'blocked')}/reads"
+    sinks.write_blocked(records(run_layer(odd_reads(spark, sf_dir), layer), layer, o), "out:0", path)
+    rows = read_fastx(spark, path, split_bytes=1 << 20)
+    return rows.select(F.col("ordinal").alias("read_id"), "seg.*")
+
+
 @query(f"WITH {_O} SELECT nth AS read_id, name, comment, seq, repeat('K', len(seq)) AS qual FROM o")
 def fasta_reads(spark, sf_dir):
     return _read(spark, [[_file(odd_reads(spark, sf_dir), fasta=True)]]).drop("run_id")
@@ -229,6 +239,17 @@ def extractions_only(spark, sf_dir):
     return _records(spark, sf_dir, extract="0:2<u[6]>", x_only=True, pipe=True).select("read_id", "text")
 
 
+@query(f"WITH {_O} SELECT concat_ws(chr(9), name, '12', '*', '0', '0', '*', '*', '0', '0', translate(seq, 'acgt', 'ACGT'), qual, 'XD:Z:' || (doc_id % 7), 'XI:i:' || (doc_id - 50)) AS line FROM o")
+def bam_records(spark, sf_dir):
+    """Records written as binary alignment records and read back, shown as lines of text."""
+    layer, _ = build(keep_comments=True)
+    comment = F.concat(F.lit("XD:Z:"), (F.col("read_id") % 7).cast("string"), F.lit(" nothing XI:i:"), (F.col("read_id") - 50).cast("string"))
+    df = odd_reads(spark, sf_dir).withColumn("segs", F.transform("segs", lambda s: s.withField("comment", comment)))
+    path = f"{new_folder(spark, 'bam')}/reads"
+    bam.write_bam(sinks.sam_fields(run_layer(df, layer), 1), path)
+    return bam.read_bam(spark, path).select(sinks.sam_line().alias("line"))
+
+
 # tables
 
 
@@ -281,6 +302,16 @@ def vcf_scan(spark, sf_dir):
     return tables.read_vcf(spark, _vcf(spark, sf_dir), "two").select("chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"), "filter", "gt")
 
 
+@query(f"WITH {_VCF} SELECT chrom, pos::INT AS pos, 'v' || k AS id, filter, gt, (row_number() OVER (ORDER BY k % 5, k) - 1)::BIGINT AS nth FROM v")
+def vcf_of_blocks(spark, sf_dir):
+    """Variants of blocked gzip, and their places in the order of files, ranges and lines."""
+    path = f"{new_folder(spark, 'vcf-blocks')}/rows"
+    text = spark.read.text(_vcf(spark, sf_dir)).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("nth")).alias("place"))
+    bgzf.write_lines(text.repartitionByRange("place").sortWithinPartitions("place"), F.col("value"), path)
+    rows = tables.read_vcf(spark, path, "two", split_bytes=1 << 20)
+    return ordering.numbered(rows, ["block", "ordinal"], "nth").select("chrom", "pos", "id", "filter", "gt", "nth")
+
+
 @query(f"""WITH {_VCF}, h AS (SELECT *, unnest([0, 1]) AS hap FROM v WHERE filter = 'PASS') SELECT chrom, hap, pos::INT AS pos, CASE WHEN gt = '1|2' AND hap = 1 THEN 'T' ELSE 'C' END AS alt
 FROM h WHERE gt IN ('1/1', '1|2') OR (gt = '0/1' AND hap = 1)""")
 def diploid_alleles(spark, sf_dir):

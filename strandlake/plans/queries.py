@@ -340,7 +340,7 @@ def nested_layer(spark, sf_dir):
     layer, o = build(config="tags\tleft\nACG\t1\n\n@nest\n\ntags\tsubs\nGTT\tA\n", pipe=True, fasta=True)
     return process_reads(reads(spark, sf_dir), layer, o)[0].select("read_id", "text")
 
-@query(f"WITH {_R} SELECT read_id, 'r' || read_id || chr(9) || '4' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || '*' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || seq || chr(9) || qual AS line FROM r")
+@query(f"WITH {_R} SELECT read_id, 'r' || read_id || chr(9) || '12' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || '*' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || seq || chr(9) || qual AS line FROM r")
 def sam_records(spark, sf_dir):
     from strandlake.sources.sinks import sam_lines
 

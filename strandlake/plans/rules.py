@@ -227,44 +227,6 @@ def keep_many_lists(spark, sf_dir):
     return _layer(spark, sf_dir, only="discard", keep=keep, **_PAIR).select("read_id", (~F.col("discard")).alias("kept"))
 
 
-# nested layers
-
-
-@query(_greedy(["ACG"]) + """, a AS (SELECT read_id, string_agg('[ACG]', '') AS t FROM h GROUP BY read_id),
-b AS (SELECT read_id, repeat('[GTT]', len(regexp_extract_all(seq, 'GTT'))) AS t FROM r) SELECT read_id, '>r' || read_id || '::' || coalesce(a.t, '') || '::' || b.t AS name FROM r LEFT JOIN a USING (read_id) JOIN b USING (read_id)""")
-def nested_names(spark, sf_dir):
-    """Each layer adds its tags to the name."""
-    layer, o = build(config="tags\nACG\n\n@nest\n\ntags\nGTT\n", pipe=True, fasta=True, mod_names=True)
-    return process(reads(spark, sf_dir), layer, o)[0].select("read_id", F.element_at(F.split("text", "\n"), 1).alias("name"))
-
-
-@query(f"WITH {_R} SELECT read_id, '>r' || read_id || chr(10) || seq[3:8] || seq[9:10] || chr(10) AS text FROM (SELECT read_id, seq FROM r)")
-def nested_extraction(spark, sf_dir):
-    """What the first layer extracts is the segment of the second."""
-    layer, o = build(config="@x-only\n@extract 0:2<u[8]>\n\n@nest\n\n@trim-5 0\n", pipe=True, fasta=True)
-    return process(reads(spark, sf_dir), layer, o)[0].select("read_id", "text")
-
-
-# reports
-
-
-@query(f"WITH {_R}, l AS (SELECT 32 - len(rtrim(qual, '#%&(*,')) AS n FROM r) SELECT 0 AS file, sum(n)::BIGINT AS bases_quality_3, count(*) FILTER (n > 0) AS reads_quality_3, 0 AS bases_quality_5 FROM l")
-def quality_summary(spark, sf_dir):
-    return summary.trims(_layer(spark, sf_dir, qtrim=12, qtrim_3=True, qtrim_naive=True)).select("file", "bases_quality_3", "reads_quality_3", "bases_quality_5")
-
-
-@query(f"WITH {_R}, l AS (SELECT coalesce(len(regexp_extract(seq, '^(.*ACG)', 1)), 0) AS n FROM r) SELECT 'ACG' AS name, 3 AS match_length, count(*) AS reads, 0 AS errors, sum(n)::BIGINT AS cut_left, 0 AS cut_right FROM l WHERE n > 0 GROUP BY 1, 2")
-def tag_trim_summary(spark, sf_dir):
-    return summary.trimming_tags(_layer(spark, sf_dir, tags="ACG", left="1"))
-
-
-@query("SELECT 3 AS n_tags, 2 AS n_names, 1 AS n_groups, 3 AS n_kmers, 1 AS n_extractions")
-def tag_table(spark, sf_dir):
-    layer, _ = build(tags="ACG/CGT,GTT", groups="a,", extract="{ACG/CGT}<u[4]>")
-    table = summary.tag_table(layer)
-    return spark.createDataFrame([tuple(table.values())], ", ".join(f"{k} int" for k in table))
-
-
 @query(f"WITH {_R} SELECT count(*) AS n_processed, count(*) FILTER (contains(seq, 'ACG')) AS n_assigned, 3 AS k FROM r")
 def summary_json(spark, sf_dir):
     """The report as JSON, and some of its fields."""

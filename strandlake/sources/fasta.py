@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from strandlake.sources.fastx import SPLIT_BYTES, Part, _files, _system
+from strandlake.sources.fastx import SPLIT_BYTES, Part
+from strandlake.sources.files import files_of, system_of
 
 #: bytes that are read at once, bases of a piece, and bases of a batch of them
 WINDOW, PIECE, BATCH_BASES = 1 << 20, 1 << 16, 8 << 20
@@ -130,7 +131,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         cuts: list[tuple[str, int, int]] = []
-        for uri, info in _files(self.path):
+        for uri, info in files_of(self.path):
             if uri.endswith(".gz"):
                 cuts.append((uri, 0, -1))
             else:
@@ -140,7 +141,7 @@ class _Reader(DataSourceReader):
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if part.start == part.end:  # nothing is there
             return
-        system, path = _system(part.file)
+        system, path = system_of(part.file)
         with system.open_input_file(path) as f:
             data = gzip.GzipFile(fileobj=f) if part.end < 0 else io.BufferedReader(f, WINDOW)
             if self.summary:

@@ -1,12 +1,13 @@
-"""FASTA and FASTQ files as a Spark data source that splits plain files at records, and reads made of them."""
+"""FASTA and FASTQ files as a Spark data source that splits plain files and blocked gzip at records, and reads made of them."""
 
 from __future__ import annotations
 
 import gzip
 import io
 import re
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyarrow import fs
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandlake.sources import bgzf
+from strandlake.sources.files import files_of, system_of
+
 SPLIT_BYTES, BATCH_ROWS, BATCH_BYTES, WINDOW = 64 << 20, 20_000, 16 << 20, 1 << 20
 SCHEMA = "part int, nth long, name string, comment string, seq string, qual string"
 
@@ -25,20 +29,7 @@ class Part(InputPartition):
     start: int
     end: int
     fastq: bool = True
-
-
-def _system(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
-
-
-def _files(uri: str) -> list[tuple[str, fs.FileInfo]]:
-    """The file, or the files of a folder in order of name, as Spark writes them."""
-    system, path = _system(uri)
-    info = system.get_file_info(path)
-    if info.type != fs.FileType.Directory:
-        return [(uri, info)]
-    inside = (i for i in system.get_file_info(fs.FileSelector(path)) if i.is_file and i.base_name[0] not in "._" and i.size)
-    return [(f"{uri.rstrip('/')}/{i.base_name}", i) for i in sorted(inside, key=lambda i: i.base_name)]
+    blocked: bool = False
 
 
 def parse_records(lines: Iterator[bytes]) -> Iterator[tuple[str, str, str, str | None]]:
@@ -114,18 +105,20 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         """Parts of the file, or of the files of a folder in order of name, as Spark writes them."""
-        system, _ = _system(self.path)
-        cuts = [c for uri, info in _files(self.path) for c in self._cuts(system, uri, info)]
+        system, _ = system_of(self.path)
+        cuts = [c for uri, info in files_of(self.path) for c in self._cuts(system, uri, info)]
         return [Part(n, *c) for n, c in enumerate(cuts or [(self.path, 0, 0)])]
 
-    def _cuts(self, system: fs.FileSystem, uri: str, info: fs.FileInfo) -> list[tuple[str, int, int, bool]]:
-        if uri.endswith(".gz"):
-            return [(uri, 0, -1, True)]
+    def _cuts(self, system: fs.FileSystem, uri: str, info: fs.FileInfo) -> list[tuple[str, int, int, bool, bool]]:
+        packed = uri.endswith((".gz", ".bgz"))
+        blocked = packed and bgzf.is_blocked(system, info.path)
+        if packed and not blocked:
+            return [(uri, 0, -1, True, False)]
         with system.open_input_file(info.path) as f:
-            head = f.read(min(info.size, WINDOW))
+            head = (bgzf.BlockText(f, 0) if blocked else f).read(WINDOW)
         multiline, fastq = self._multiline(head), head[:1] == b"@"
         step = max(info.size, 1) if multiline else self.split
-        return [(uri, a, min(a + step, info.size), fastq) for a in range(0, max(info.size, 1), step)]
+        return [(uri, a, min(a + step, info.size), fastq, blocked) for a in range(0, max(info.size, 1), step)]
 
     @staticmethod
     def _multiline(head: bytes) -> bool:
@@ -137,10 +130,13 @@ class _Reader(DataSourceReader):
         if part.start == part.end:  # nothing is there
             return
         kinds = pa.schema([("part", pa.int32()), ("nth", pa.int64()), *((n, pa.string()) for n in ("name", "comment", "seq", "qual"))])
-        system, path = _system(part.file)
+        system, path = system_of(part.file)
         with system.open_input_file(path) as f:
             if part.end < 0:
                 found = parse_records(_lines(io.BufferedReader(gzip.GzipFile(fileobj=f))))
+            elif part.blocked:
+                mine = bgzf.text_of(f, part.start, part.end, f.size())
+                found = self._range(mine[0], replace(part, start=mine[1], end=mine[2]), sys.maxsize) if mine else ()
             else:
                 found = self._range(f, part, f.size())
             rows: list[tuple] = []
@@ -203,7 +199,7 @@ def _pieces(f, start: int, end: int) -> io.BufferedReader:
 
 
 class FastxSource(DataSource):
-    """spark.read.format("fastx").load(file or folder): FASTA or FASTQ, plain or .gz; part and nth give the order."""
+    """spark.read.format("fastx").load(file or folder): FASTA or FASTQ, plain, .gz or .gz in blocks (split too); part and nth give the order."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,4 +1,4 @@
-"""Writers: streams of records, single ordered files, barcode tables, SAM text."""
+"""Writers: streams of records, single ordered files, blocked gzip, barcode tables, SAM text."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.assign import radix_rows
 from strandlake.model import Layer
+from strandlake.sources import bgzf
 
 
 def write_streams(records: DataFrame, folder: str, compression: str | None = None) -> None:
@@ -20,6 +21,12 @@ def write_files(records: DataFrame, folder: str, n_files: int, compression: str
     _write(records, file_of(F.col("stream"), n_files, fasta, r1_r2), "file", folder, compression)
 
 
+def write_blocked(records: DataFrame, stream: str, path: str) -> None:
+    """One stream as a folder of blocked gzip in order; ``read_fastx`` splits such files."""
+    rows = records.where(F.col("stream") == stream).repartitionByRange("read_id").sortWithinPartitions("read_id", "nth")
+    bgzf.write_lines(rows, F.regexp_replace("text", "\n$", ""), path)
+
+
 def _write(records: DataFrame, by: Column, name: str, folder: str, compression: str | None) -> None:
     out = records.repartitionByRange("read_id").withColumn(name, by).sortWithinPartitions(name, "read_id", "nth")
     out = out.select(name, F.regexp_replace("text", "\n$", "").alias("value"))
@@ -56,22 +63,33 @@ def radix_mapping(spark, layer: Layer) -> DataFrame:
     return spark.createDataFrame(radix_rows(layer, layer.sub_encode or layer.encode), "group string, name string, domain int, weight long")
 
 
-def sam_lines(df: DataFrame, n_files: int, select: list[int] | None = None) -> DataFrame:
-    """read_id, nth, line: unmapped SAM records of processed reads that are assigned; comment tokens XX:T:value become tags
-    (Z and i only), and a list of names ::[a][b] at the end of a name becomes YM:Z:."""
+def sam_fields(df: DataFrame, n_files: int, select: list[int] | None = None) -> DataFrame:
+    """read_id, nth, name, flag, seq, qual, tags: unmapped records of processed reads that are assigned. A list of names
+    ::[a][b] at the end of a name becomes YM:Z:a:b, before the comment tokens XX:T:value (Z and i only). Flags are those of a
+    read without a place whose mate has none; with two segments, paired and first or second."""
     chosen = [j for j in range(n_files) if select is None or j in select]
     paired = len(chosen) == 2
     rows = []
     for nth, j in enumerate(chosen):
         s = F.element_at("out", j + 1)
-        flag = 4 + ((1 + 8 + (64 if nth == 0 else 128)) if paired else 0)
+        flag = 4 + 8 + ((1 + (64 if nth == 0 else 128)) if paired else 0)
         tokens = F.filter(F.split(F.coalesce(s["comment"], F.lit("")), r"\s+"), lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:[Zi]:"))
-        listed = F.regexp_extract(s["name"], r"::((?:\[[^\]]*\])+)$", 1)
-        tags = F.concat(tokens, F.when(listed != "", F.array(F.concat(F.lit("YM:Z:"), listed))).otherwise(F.array().cast("array<string>")))
-        line = F.concat_ws("\t", F.regexp_replace(s["name"], "::.*$", ""), F.lit(str(flag)), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("0"), F.lit("0"), _or_star(s.seq), _or_star(s.qual), tags)
-        rows.append(F.struct(F.lit(nth).alias("nth"), line.alias("line")))
+        listed = F.regexp_extract(s["name"], r"::\[((?:[^\]]*\]\[)*[^\]]*)\]$", 1)
+        names = F.when(listed != "", F.array(F.concat(F.lit("YM:Z:"), F.replace(listed, F.lit("]["), F.lit(":"))))).otherwise(F.array().cast("array<string>"))
+        rows.append(F.struct(F.lit(nth).alias("nth"), F.regexp_replace(s["name"], "::.*$", "").alias("name"), F.lit(flag).alias("flag"), _or_star(s.seq).alias("seq"), _or_star(s.qual).alias("qual"), F.concat(names, tokens).alias("tags")))
     ours = df.where(F.col("passes") & F.col("assigned") & ~F.col("discard"))
-    return ours.select("read_id", F.explode(F.array(*rows)).alias("r")).select("read_id", "r.nth", "r.line")
+    return ours.select("read_id", F.explode(F.array(*rows)).alias("r")).select("read_id", "r.*")
+
+
+def sam_line() -> Column:
+    """The fields as a line of text."""
+    place = [F.lit(x) for x in ("*", "0", "0", "*", "*", "0", "0")]
+    return F.concat_ws("\t", "name", F.col("flag").cast("string"), *place, "seq", "qual", "tags")
+
+
+def sam_lines(df: DataFrame, n_files: int, select: list[int] | None = None) -> DataFrame:
+    """read_id, nth, line: the same records as text."""
+    return sam_fields(df, n_files, select).select("read_id", "nth", sam_line().alias("line"))
 
 
 def _or_star(text: Column) -> Column:

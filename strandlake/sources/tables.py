@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.sources.bgzf import all_blocked, read_lines
 from strandlake.sources.fastx import SPLIT_BYTES, read_fastx
 
 
-def read_vcf(spark: SparkSession, path: str, sample: str) -> DataFrame:
-    """block, ordinal, chrom, pos (0-based), id, ref, alts, filter, gt of one sample, from VCF text (plain or .gz), a file or a
-    folder of part files. block (file, offset) rises in the order of the files and their parts; a part is read by one task,
+def read_vcf(spark: SparkSession, path: str, sample: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """block, ordinal, chrom, pos (0-based), id, ref, alts, filter, gt of one sample, from VCF text (plain, .gz, or .gz in
+    blocks, which is split), a file or a folder of part files. block (file, offset) rises in the order of the files and their parts; a part is read by one task,
     so ordinal rises within it."""
-    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"))
-    lines = spark.read.text(path).withColumns({"block": block, "ordinal": F.monotonically_increasing_id()})
+    if all_blocked(path):
+        lines = read_lines(spark, path, split_bytes).select("value", F.struct("file", "offset").alias("block"), F.col("nth").alias("ordinal"))
+    else:
+        block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"))
+        lines = spark.read.text(path).withColumns({"block": block, "ordinal": F.monotonically_increasing_id()})
     head = lines.where(F.col("value").startswith("#CHROM")).first()
     columns = head[0].split("\t") if head else []
     if sample not in columns[9:]:
