@@ -122,6 +122,7 @@ class Layer:
     remultiplex: bool = False
     min_delta: int | None = None
     no_chain: set[str] | None = None  # None: chain all; empty: chain none; else: don't chain these
+    x_next: bool = False  # between two tags: a left tag is done with the next right one, even if nothing is between them
     x_only: bool = False
     no_tags: bool = False
     prefix: str = ""

@@ -62,8 +62,9 @@ def _of_hits(hits: Column, wanted, make) -> Column:
     return F.filter(F.transform(F.filter(hits, wanted), make), lambda x: x.isNotNull())
 
 
-def _pairs(e: Extract, hits: Column, seq, qual, rank: int) -> Column:
-    """From each open left tag of a file to a right tag; a left tag is done with its first extraction."""
+def _pairs(e: Extract, hits: Column, seq, qual, rank: int, only_next: bool) -> Column:
+    """From each open left tag of a file to a right tag; a left tag is done with its first extraction, or, with ``only_next``,
+    with the right tag that follows, whether that gives an extraction or not."""
     left, right = e.left, e.right
 
     def step(state: Column, h: Column) -> Column:
@@ -77,7 +78,8 @@ def _pairs(e: Extract, hits: Column, seq, qual, rank: int) -> Column:
 
         got = F.filter(F.transform(F.when(_is(h, right), opened).otherwise(F.array().cast("array<struct<file:int,end:int>>")), made), lambda p: p.x.isNotNull())
         # one entry is taken away for each extraction; ends of one file differ, so the entry tells them apart
-        rest = F.filter(state.open, lambda o: ~F.exists(got, lambda p: (p.o.file == o.file) & (p.o.end == o.end)))
+        done = (lambda o: _is(h, right) & (o.file == h.file)) if only_next else (lambda o: F.exists(got, lambda p: (p.o.file == o.file) & (p.o.end == o.end)))
+        rest = F.filter(state.open, lambda o: ~done(o))
         own = F.when(_is(h, left), F.array(F.struct(h.file.alias("file"), h.end.alias("end")))).otherwise(F.array().cast("array<struct<file:int,end:int>>"))
         return F.struct(F.concat(rest, own).alias("open"), F.concat(state.out, F.transform(got, lambda p: p.x)).alias("out"))
 
@@ -85,7 +87,7 @@ def _pairs(e: Extract, hits: Column, seq, qual, rank: int) -> Column:
     return F.aggregate(hits, start, step, lambda s: s.out)
 
 
-def _values(e: Extract, rank: int, hits: Column, seqs: Column, quals: Column, given: Column | None) -> Column:
+def _values(e: Extract, rank: int, hits: Column, seqs: Column, quals: Column, given: Column | None, only_next: bool) -> Column:
     def seq(file: Column) -> Column:
         return F.element_at(seqs, file.cast("int") + 1)
 
@@ -134,7 +136,7 @@ def _values(e: Extract, rank: int, hits: Column, seqs: Column, quals: Column, gi
 
         return _of_hits(hits, lambda h: _is(h, right), precedes)
     if left and right and left.tag and right.tag:
-        return _pairs(e, hits, seq, qual, rank)
+        return _pairs(e, hits, seq, qual, rank, only_next)
     if left and right and right.tag:  # from a location to a tag
 
         def to_tag(h: Column) -> Column:
@@ -187,7 +189,7 @@ def extractions(layer: Layer, hits: Column, seqs: Column, quals: Column, given:
     for rank, e in enumerate(layer.extracts):
         by_group = bool((e.left and e.left.is_group) or (e.right and e.right.is_group and not (e.left and e.left.tag)))
         value = next(nth_given, None) if e.special == "placement" else None
-        columns.append(_values(e, rank + (1000 if by_group else 0), hits, seqs, quals, value) if e.special != "placement" or value is not None else None)
+        columns.append(_values(e, rank + (1000 if by_group else 0), hits, seqs, quals, value, layer.x_next) if e.special != "placement" or value is not None else None)
     for name in layer.names:
         mine = [c for e, c in zip(layer.extracts, columns, strict=True) if e.name == name and c is not None]
         if not mine:

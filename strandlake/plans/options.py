@@ -14,11 +14,11 @@ def build(n_files: int = 1, tags: str = "", config: str = "", assign: bool = Fal
     """Options, all by name: tag lists (``distances="1,1"``, ``previous="{{g}}0-5,"`` ...), ``extract``, ``trim_5``, ``trim_3``,
     ``filter_len``, ``qtrim`` and its flags, ``min_delta``, ``no_chain``, ``prefix``, ``bclen``, ``barcode_encode``,
     ``sub_assign``, ``from_name``, ``random``, ``keep``, ``keep_grp``, ``remove``, ``remove_grp`` (texts), ``minfinds_g``,
-    ``maxfinds_g`` ("group:n,..."), ``remultiplex``, ``x_only``, and those of the output. Unknown names are errors.
+    ``maxfinds_g`` ("group:n,..."), ``remultiplex``, ``x_next``, ``x_only``, and those of the output. Unknown names are errors.
     """
     opts = dict(options)
     layer = Layer(n_files=n_files, assign=assign)
-    for name in ("qtrim", "bclen", "min_delta", "prefix", "x_only", "remultiplex", "phred64"):
+    for name in ("qtrim", "bclen", "min_delta", "prefix", "x_next", "x_only", "remultiplex", "phred64"):
         if name in opts:
             setattr(layer, name, opts.pop(name))
     for name, into in (("qtrim_5", "qtrim5"), ("qtrim_3", "qtrim3"), ("qtrim_pre", "qtrim_pre"), ("qtrim_naive", "qtrim_naive")):

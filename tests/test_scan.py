@@ -1,12 +1,15 @@
 """The fold over candidates against a plain loop, with candidates from constant tables and from seeds; large tag tables."""
 
+import hashlib
 import random
+import re
 
 import pytest
 
 from strandlake.model import Layer, Tag
 from strandlake.operators import scan, seeds
 from strandlake.operators.layer import run_layer
+from strandlake.plans import queries as Q
 from strandlake.plans.options import build
 from tests.scanner import Scanner
 
@@ -78,3 +81,27 @@ def test_seeds_of_odd_tables(spark):
     layer, _ = build(tags="A,ACGTT", distances="1,1")
     got = {r._uid: len(r._flat) for r in seeds.seed_candidates(reads, layer, scan.patterns_of(layer)).collect()}
     assert got.get(1, 0) > 0 and not got.get(3)
+
+
+def test_tags_that_touch(spark, tmp_path):
+    """Two tags that touch have nothing between them: the query takes what lies between the second and the third only, as its
+    SQL does; without ``x_next`` the first one stays open for the third."""
+    duckdb = pytest.importorskip("duckdb")
+    made = str.maketrans(Q.HEX, Q.BASES)
+    reads = {i: hashlib.md5(f"t{i}".encode()).hexdigest().translate(made) for i in range(20_000)}
+    rows = [(i, f"t{i}") for i, s in reads.items() if re.search("ACGACG.*ACG", s)]
+    assert len(rows) > 5
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, _ in rows:
+        hits = [m.start() for m in re.finditer("ACG", reads[i])]
+        want[i] = "".join(reads[i][a + 3 : b] for a, b in zip(hits, hits[1:], strict=False))
+    got = {r.read_id: r.value for r in Q.umi_between(spark, str(tmp_path)).collect()}
+    assert got == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert dict(con.sql(Q.SQL["umi_between"]).fetchall()) == want
+    layer, _ = build(tags="ACG", extract="{ACG}<u>{ACG}")
+    segs = "array<struct<name:string,comment:string,seq:string,qual:string>>"
+    df = spark.createDataFrame([(1, 0, [("r", "", "TTACGACGTTTACGTT", "#" * 16)])], f"read_id long, run_id int, segs {segs}")
+    assert run_layer(df, layer).first().umis[0].value == "ACGTTTTTT"
