@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from math import comb
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from strandlake.operators.neighbourhood import combined, partials
@@ -122,6 +123,8 @@ class Layer:
     remultiplex: bool = False
     min_delta: int | None = None
     no_chain: set[str] | None = None  # None: chain all; empty: chain none; else: don't chain these
+    listed: DataFrame | None = None  # more tags, as a table (seq, name) of any length: plain sequences under the rules of listed_as
+    listed_as: Tag | None = None
     x_next: bool = False  # between two tags: a left tag is done with the next right one, even if nothing is between them
     x_only: bool = False
     no_tags: bool = False

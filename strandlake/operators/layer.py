@@ -69,7 +69,7 @@ def run_layer(reads: DataFrame, layer: Layer, known: DataFrame | None = None, id
         df = df.withColumns({f"_a{j}": F.col(f"_a{j}") + F.col(f"_l5{j}") for j in range(n)})
     df = settled(df.select(*reads.columns, *[f"{c}{j}{e}" for j in range(n) for c, e in (("_s", ""), ("_q", ""), ("_a", ""), ("_s", "_"), ("_q", "_"))], *[f"{c}{j}" for j in range(n) for c in ("_l5", "_l3") if trims and layer.qtrim_pre]))
     df = df.withColumns({"_seqs": F.array(*[normalised(F.col(f"_s{j}_")) for j in range(n)]), "_quals": F.array(*[F.col(f"_q{j}_") for j in range(n)])})
-    if layer.tags:
+    if layer.tags or layer.listed is not None:
         df = with_found(settled(df), layer)
     else:
         df = df.withColumns({"hits": F.array().cast(_hits_type()), "_unmet": F.lit(False)})

@@ -128,9 +128,10 @@ def _places(flat: str) -> Column:
 
 def _folded(layer: Layer, patterns: list[Pattern]) -> Column:
     """struct(hits, unmet) of the candidates in ``_flat``."""
-    limits = bool(any(t.min_finds or t.max_finds for t in layer.tags) or layer.min_finds_group or layer.max_finds_group)
+    tags = [*layer.tags, *([layer.listed_as] if layer.listed_as else [])]
+    limits = bool(any(t.min_finds or t.max_finds for t in tags) or layer.min_finds_group or layer.max_finds_group)
     needed = len({t.name for t in layer.tags if t.min_finds}) + sum(n > 0 for n in layer.min_finds_group.values())
-    bounded = bool(layer.max_finds_group) and all(t.group and t.group in layer.max_finds_group for t in layer.tags)
+    bounded = bool(layer.max_finds_group) and all(t.group and t.group in layer.max_finds_group for t in tags)
     budget = sum(layer.max_finds_group.values()) if bounded else None
     return _fold(SparkContext._active_spark_context, limits, needed, budget, tuple(sorted({p.file for p in patterns if p.opens})), layer.min_delta)
 
@@ -237,7 +238,7 @@ def _fold(context: SparkContext, limits: bool, needed: int, budget: int | None,
 def with_found(df: DataFrame, layer: Layer) -> DataFrame:
     """df with hits and _unmet, from ``_seqs``: an array of normalised sequences, one a file."""
     patterns = patterns_of(layer)
-    if sum(most_neighbours(f) for p in patterns for f in forms(p)) <= LITERAL_KMERS:
+    if layer.listed is None and sum(most_neighbours(f) for p in patterns for f in forms(p)) <= LITERAL_KMERS:
         df = df.withColumn("_flat", literal_candidates(layer, expand(layer), F.col("_seqs")))
     else:
         from strandlake.operators.seeds import with_candidates

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.model import Layer, Tag
 from strandlake.operators import scan, seeds
@@ -105,3 +106,37 @@ def test_tags_that_touch(spark, tmp_path):
     segs = "array<struct<name:string,comment:string,seq:string,qual:string>>"
     df = spark.createDataFrame([(1, 0, [("r", "", "TTACGACGTTTACGTT", "#" * 16)])], f"read_id long, run_id int, segs {segs}")
     assert run_layer(df, layer).first().umis[0].value == "ACGTTTTTT"
+
+
+@pytest.mark.parametrize(("errors", "place"), [(0, {}), (1, dict(end=14)), (2, dict(start=3, end=20)), (1, dict(start=-15))])
+def test_listed_tags(spark, errors, place):
+    """Tags that come as a table give what the same tags in a layer's list give."""
+    rng = random.Random(errors + 7)
+    codes = list({"".join(rng.choice("ACGT") for _ in range(rng.choice((7, 9, 11)))) for _ in range(900)})
+    rows = []
+    for i in range(300):
+        s = list("".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 6))) + rng.choice(codes) + "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 12))))
+        s[rng.randrange(len(s))] = rng.choice("ACGTN")
+        rows.append((i, 0, [("r", "", "".join(s), None)]))
+    df = spark.createDataFrame(rows, "read_id long, run_id int, segs array<struct<name:string,comment:string,seq:string,qual:string>>")
+    rules = dict(mismatches=errors, total=errors, file=0, max_finds=2, **place)
+    table = spark.createDataFrame([(c, f"t{c[:2]}") for c in codes + codes[:9]], "seq string, name string")
+    one = Layer(tags=[Tag(c, name=f"t{c[:2]}", **rules) for c in sorted(codes)])
+    found = [{r.read_id: r.hits for r in run_layer(df, layer, only=("hits",)).collect()} for layer in (one, Layer(listed=table, listed_as=Tag("", **rules)))]
+    assert found[0] == found[1] and sum(map(len, found[0].values())) > 30
+
+
+def test_listed_tags_are_checked(spark):
+    df = spark.createDataFrame([(1, 0, [("r", "", "ACGT", None)])], "read_id long, run_id int, segs array<struct<name:string,comment:string,seq:string,qual:string>>")
+    for seq, rules in (("ACX", {}), ("ACGTA", dict(end=4)), ("A", dict(mismatches=1, total=1)), ("ACGT", dict(indels=1, total=1))):
+        with pytest.raises(ValueError):
+            run_layer(df, Layer(listed=spark.createDataFrame([(seq, "x")], "seq string, name string"), listed_as=Tag("", file=0, **rules)), only=("hits",))
+
+
+def test_barcode_list_leaves_the_list_in_spark(spark, tmp_path, monkeypatch):
+    """The query makes no Python object a barcode: the driver held them all, with their patterns."""
+    spark.range(1, 3000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    monkeypatch.setattr(Q, "Tag", lambda *a, **b: made.append(a) or Tag(*a, **b))
+    assert Q.barcode_list(spark, str(tmp_path)).count() == 50 and len(made) == 1
