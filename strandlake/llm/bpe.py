@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandlake.llm.common import kept, small_batches
+
 BLOCK_CHARS, CACHED_WORDS, CACHED_PAIRS = 4_000_000, 300_000, 600_000  # what a worker keeps: some 150 MB
 SLICE_ROWS = 500
 
@@ -170,14 +172,8 @@ class _Dictionary:
             at = end
 
 
-_dictionaries: dict[tuple[str, str], _Dictionary] = {}
-
-
 def _dictionary(vocabulary: str, pattern: str) -> _Dictionary:
-    if (vocabulary, pattern) not in _dictionaries:
-        _dictionaries.clear()
-        _dictionaries[vocabulary, pattern] = _Dictionary(vocabulary, pattern)
-    return _dictionaries[vocabulary, pattern]
+    return kept(("byte-level BPE", vocabulary, pattern), lambda: _Dictionary(vocabulary, pattern))
 
 
 def text_or_empty(text: str | None) -> str:
@@ -203,6 +199,7 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 last = ids
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -223,6 +220,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                     last = x
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded_sha256 string")
 

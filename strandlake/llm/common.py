@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Hashable
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.sources.staging import new_folder, shared_dir, staged  # noqa: F401
 
-FILTER_BITS = 1 << 27
+FILTER_BITS, BATCH_BYTES = 1 << 27, 4 << 20
+_kept: dict[Hashable, Any] = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python about BATCH_BYTES at a time, whatever their length: by its default 10,000
+    texts are one batch, which both sides of the pipe hold more than once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def kept(key: Hashable, make: Callable[[], Any] = lambda: None) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time, so what another operator left is let go."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import components, fold_repeats, keep_one, maybe_among, repeated_rows, salted_join, staged
+from strandlake.llm.common import components, fold_repeats, keep_one, kept, maybe_among, repeated_rows, salted_join, small_batches, staged
 from strandlake.llm.substring import Words, _mixed
 
 SHINGLE, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE, MISSED = 5, 0.8, 128, 4, 16, 1e-6, 1e-7
@@ -211,6 +211,7 @@ def _signed(docs: DataFrame, per_key: int) -> DataFrame:
     """doc_id, uid, digest, sig (8 bits a value), keys (none for texts without runs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("jaccard")
         for b in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             sigs, keys = [], []
@@ -223,6 +224,7 @@ def _signed(docs: DataFrame, per_key: int) -> DataFrame:
                 [b.column("doc_id"), b.column("uid"), b.column("digest"), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "uid", "digest", "sig", "keys"]
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), _digest(), F.col("text").cast("string"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return staged(rows.mapInArrow(run, f"doc_id {kind}, uid long, digest binary, sig binary, keys array<long>"), "jaccard-signed")

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import kept, small_batches
+
 MAX_LABELLED, RANK, NEIGHBOURS, POWER, THRESHOLD = 4000, 48, 25, 8.0, 0.7
 HASHED, WEIGHTS = 4096, (0.5, 0.5, 1.0, 1.0)  # of words, runs of bytes, pairs of classes, marks
 BLOCK, SEED = 256, 7
@@ -185,10 +187,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 def _scored(docs: DataFrame, voters: Voters | None, columns: list[str]) -> DataFrame:
     """The columns of docs and ``_score``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(voters)
     names = [*columns, "_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("quality")
         model = shared.value
         for b in (whole.slice(at, BLOCK) for whole in batches for at in range(0, whole.num_rows, BLOCK)):
             texts = b.column("_text").to_pylist()

@@ -99,3 +99,23 @@ def test_empty_tables(spark, tmp_path):
 def test_no_labels_and_no_words(spark, tmp_path):
     _tables(spark, str(tmp_path), [(1, None, "a"), (2, "", None), (2, "", None)], [(1, None, 0)])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_python_gets_small_batches(spark):
+    """Long texts come to Python some megabytes at a time, and a worker keeps what one operator needs only."""
+    import pyarrow as pa
+
+    from strandlake.llm import common
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(sha2(string(id), 512), 40) AS text").coalesce(1)
+    corpus_pipeline.encode_texts(spark, docs, "")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert len(found) > 2 and sum(found) > 3000 * 5120 and max(found) < 2 * common.BATCH_BYTES
+    one = common.kept("one", list)
+    assert common.kept("one", list) is one and common.kept("two", dict) == {} and common.kept("one", list) is not one
