@@ -32,7 +32,8 @@ def recut(rows: DataFrame, keys: list[str], size: int, overlap: int = 0) -> Data
     """keys, chunk, bases: rows (keys, start, bases) cut to a grid of ``size`` places; a chunk also has the ``overlap`` bases behind it."""
     end = F.col("start") + F.length("bases")
     first, last = F.greatest(F.floor((F.col("start") - overlap) / size), F.lit(0)), F.floor((end - 1) / size)
-    each = rows.where(F.length("bases") > 0).select(*keys, "start", "bases", F.explode(F.sequence(first, last)).alias("chunk"))
+    # a condition of the list, not a filter: that would go down to the scan, and make bases there for nothing else
+    each = rows.select(*keys, "start", "bases", F.explode(F.when(F.length("bases") > 0, F.sequence(first, last))).alias("chunk"))
     a = F.greatest(F.col("chunk") * size - F.col("start"), F.lit(0)).cast("int")
     b = F.least((F.col("chunk") + 1) * size + overlap - F.col("start"), F.length("bases")).cast("int")
     cut = each.select(*keys, "chunk", (F.col("start") + a).alias("at"), part(F.col("bases"), a, b - a).alias("t"))

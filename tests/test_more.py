@@ -418,6 +418,57 @@ def test_long_contigs_by_pieces(spark, monkeypatch):
     assert one == two and len(one) > 40
 
 
+_VARIANT = "chrom string, pos int, id string, ref string, alts array<string>, filter string, gt string"
+
+
+def test_alleles_reach_over_bins(spark, monkeypatch):
+    """Bins of which alleles reach into others, and those that stand alone, give what one loop over all alleles gives."""
+    rng = random.Random(5)
+    variants = []
+    for c, most in (("c", 3), ("d", 40), ("e", 9)):
+        for i in range(150):
+            ref = "".join(rng.choice("ACGT") for _ in range(rng.choice((1, 1, 1, rng.randint(2, most)))))
+            variants.append((c, rng.randrange(0, 1200), f"v{i}", ref, [rng.choice(("A", "C", ref[0], ref[0] + "GG"))], "PASS", "1/1"))
+    alleles = lift.alleles(spark.createDataFrame(variants, _VARIANT)).localCheckpoint()
+    for size, snv_only in ((16, False), (256, False), (16, True)):
+        monkeypatch.setattr(lift, "BIN", size)
+        want = []
+        for c in "cde":
+            lo = hi = -1
+            last = 0
+            for r in sorted((r for r in alleles.collect() if r.chrom == c), key=lambda r: (r.pos, r.start, r.ref, r.alt, r.deletes, r.indel, r.id)):
+                if lo <= r.pos <= hi:
+                    continue
+                if r.start >= last and not (r.indel and snv_only):
+                    want.append((c, r.pos, r.start, r.ref, r.alt, r.id))
+                    last = r.start + len(r.ref)
+                if r.deletes:
+                    lo, hi = r.start, r.start + len(r.ref) - 1
+        got = [(r.chrom, r.pos, r.start, r.ref, r.alt, r.id) for r in lift.applied(alleles, snv_only).collect()]
+        assert sorted(got) == sorted(want) and len(want) > 100
+
+
+@pytest.mark.parametrize("diploid", [False, True])
+def test_genome_goes_over_alleles_once(spark, monkeypatch, diploid):
+    """New sequences take one run over the alleles, a deletion over several chunks and two insertions at a place included."""
+    monkeypatch.setattr(lift, "CHUNK", 16)
+    seq = "".join(random.Random(3).choice("ACGT") for _ in range(200))
+    contigs = spark.createDataFrame([(0, "c", seq), (1, "d", "")], "ordinal long, name string, seq string")
+    variants = [("c", 3, "a", seq[3], ["N"]), ("c", 20, "b", seq[20:90], [seq[20]]), ("c", 95, "i", seq[95], [seq[95] + "TT"]), ("c", 95, "j", seq[95], [seq[95] + "GG"]), ("x", 3, "k", "A", ["C"])]
+    rows = lift.applied(lift.alleles(spark.createDataFrame([(*v, "PASS", "1/1") for v in variants], _VARIANT), diploid), False)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = lift.genome(contigs, rows.mapInArrow(counted, rows.schema), diploid).collect()
+    assert seen.value == 5 * (2 if diploid else 1)
+    want = seq[:3] + "N" + seq[4:21] + seq[90:96] + "GG" + "TT" + seq[96:]
+    assert {(r.chrom, r.hap, r.varied, r.seq) for r in got} == {x for hap in ((0, 1) if diploid else (0,)) for x in (("c", hap, True, want), ("d", hap, False, ""))}
+
+
 def test_fasta_of_contigs(spark, tmp_path):
     contigs, rows = _lifted(spark, tmp_path)
     got = [r.text for r in lift.contig_fasta(lift.variant_contigs(rows, contigs, 4)).orderBy("nth").collect()]
